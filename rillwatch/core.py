@@ -110,3 +110,17 @@ def pin(df: DataFrame) -> DataFrame:
     """Fix a frame whose rows must not be computed twice with another outcome; survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join aggregates back onto the rows they came from.
+
+    The aggregates are computed once, pinned and counted. Up to ``BROADCAST_ROWS`` of them are broadcast, so the large side
+    is not shuffled and a hot key costs nothing; beyond that it is an ordinary join, where adaptive execution splits skew.
+    """
+    held = pin(stats)
+    small = held.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(held) if small else held, list(keys), how)

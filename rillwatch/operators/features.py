@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DIRECTION_PAIRS
-from ..core import col, numeric_columns, one_row, present, ratio, replace_columns
+from ..core import col, join_stats, numeric_columns, one_row, present, ratio, replace_columns
 from ..errors import DataError
 from ..ordering import add_rolling
 from .profile import top_by_variance
@@ -110,8 +110,7 @@ def group_features(df: DataFrame, group: Sequence[str], columns: Sequence[str] |
                    functions: Sequence[str] = ("mean", "std")) -> DataFrame:
     """Group aggregates joined back onto the rows as ``c__f__group``.
 
-    Aggregated before the join, so a hot group is one row; Spark broadcasts the aggregates when they are small and splits
-    skewed partitions when they are not.
+    Aggregated before the join, so a hot group is one row.
     """
     keys = [g for g in group if g in df.columns]
     names = [c for c in (columns or numeric_columns(df, exclude=group)) if c in df.columns]
@@ -123,4 +122,4 @@ def group_features(df: DataFrame, group: Sequence[str], columns: Sequence[str] |
         raise DataError(f"unknown aggregate functions: {sorted(unknown)}")
     made = [(f"{c.strip()}__{f}__{'_'.join(keys)}", known[f](present(df, c))) for f in functions for c in names]
     stats = df.groupBy(*[col(k) for k in keys]).agg(*[value.alias(name) for name, value in made])
-    return df.join(stats, keys, "left").select(*[col(c) for c in df.columns], *[col(name) for name, _ in made])
+    return join_stats(df, stats, keys).select(*[col(c) for c in df.columns], *[col(name) for name, _ in made])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SEED, TEST_SIZE, VAL_SIZE
-from ..core import col, is_infinite, numeric_columns, one_row, present, replace_columns, require
+from ..core import col, is_infinite, join_stats, numeric_columns, one_row, present, replace_columns, require
 from ..errors import DataError
 from ..quantiles import hash_cuts, hash_order, modes, quantile_row
 from . import clean as cleaning
@@ -154,7 +154,7 @@ def add_split(df: DataFrame, key: Sequence[str], label: str | None, test_size: f
     by_group = cuts.groupBy(col("group").alias("_group")).agg(  # one row per class
         F.max(F.when(col("name") == "test", col("digest"))).alias("_test"),
         F.max(F.when(col("name") == "val", col("digest"))).alias("_val"))
-    placed = keyed.join(by_group, "_group", "left")
+    placed = join_stats(keyed, by_group, ["_group"])
     split = (F.when(col("_digest") <= col("_test"), "test").when(col("_digest") <= col("_val"), "val")
              .otherwise("train"))
     return placed.select(*[col(c) for c in df.columns], split.alias("split"))

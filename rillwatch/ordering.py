@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import col, pin
+from .core import col, join_stats, pin
 
 _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 _SLOT_MASK = (1 << _SLOT_BITS) - 1
@@ -50,7 +50,7 @@ def add_group_position(df: DataFrame, group: Sequence[str], order: Sequence[str
     """0-based position inside each group. A hot group is spread over many range partitions."""
     rows = add_position(df, [*group, *order], "_at")
     starts = rows.groupBy(*[col(g) for g in group]).agg(F.min("_at").alias("_start"))
-    return (rows.join(starts, list(group))
+    return (join_stats(rows, starts, group, "inner")
             .select(*[col(c) for c in df.columns], (col("_at") - col("_start")).alias(name)))
 
 

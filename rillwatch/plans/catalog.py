@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_data, queries_features  # noqa: F401
+from . import queries_data, queries_features, queries_metrics, queries_rules  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -57,7 +57,7 @@ DETECTIONS = f"""
   FROM (SELECT event_id, ts, 'user_' || user_id AS sample_id, least(value / 150.0, 1.0) AS anomaly_score,
                value / 150.0 > 0.3 AS is_anomaly, {CLASS_SQL} AS raw_class,
                CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0 AS classification_confidence,
-               event_id // 100 AS batch_id, (event_id % 97) * 0.5 AS detection_latency_ms
+               event_id // 100 AS batch_id, (event_id % 97) * 0.5::DOUBLE AS detection_latency_ms
         FROM events) e"""
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import col, count_when, one_row, present
+from .core import col, count_when, join_stats, one_row, present
 from .ordering import add_running_totals
 
 _ACCURACY = 10_000  # percentile_approx is at most n / accuracy ranks off
@@ -29,7 +29,7 @@ def _pick(counted: DataFrame, keys: list[str], sizes: DataFrame, probs: Column)
     """
     running = add_running_totals(counted, [*keys, "value"], {"_through": "n"})
     first = running.groupBy(*keys).agg(F.min(col("_through") - col("n")).alias("_origin"))
-    ranked = (running.join(sizes.join(first, keys), keys)
+    ranked = (join_stats(running, sizes.join(first, keys), keys, "inner")
               .withColumn("_from", col("_through") - col("n") - col("_origin") + col("_skipped"))
               .withColumn("_to", col("_from") + col("n")))
     at = lambda p: p * (col("_rows") - 1)
@@ -110,7 +110,7 @@ def floor_index_quantiles(df: DataFrame, column: str, probs: Sequence[float], by
     if keys:
         ends = running.groupBy(*keys).agg(F.min(col("_through") - col("n")).alias("_origin"),
                                           F.sum("n").alias("_rows"))
-        ranked = running.join(ends, keys)
+        ranked = join_stats(running, ends, keys, "inner")
     else:
         ends = one_row(running.agg(F.lit(0).alias("_origin"), F.sum("n").alias("_rows")))
         ranked = running.withColumn("_e", ends).select("*", "_e.*").drop("_e")
@@ -152,5 +152,5 @@ def hash_cuts(df: DataFrame, group: Column, digest: Column, sizes: dict[str, Col
            .select("group", "cell", "cut.name", "cut.k", (col("through") - col("n")).alias("ahead"), "through"))
     hit = cum.filter("k > ahead and k <= through").select("group", "cell", "name", (col("k") - col("ahead")).alias("nth"))
     local = Window.partitionBy("group", "name").orderBy("digest")
-    return (keyed.join(hit, ["group", "cell"])
+    return (join_stats(keyed, hit, ["group", "cell"], "inner")
             .withColumn("at", F.row_number().over(local)).filter("at = nth").select("group", "name", "digest"))
