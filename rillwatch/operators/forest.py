@@ -130,8 +130,8 @@ def sample_trees(df: DataFrame, features: Sequence[str], key: Sequence[str], row
     """
     keys = [col(k) for k in key]
     unit = lambda h: F.shiftrightunsigned(h, 11) / float(1 << 53)  # hash to [0, 1)
-    values = [F.coalesce(F.when(~is_infinite(present(df, c)), present(df, c).cast("double")), F.lit(0.0)).alias(c)
-              for c in features]
+    values = [F.coalesce(F.when(~is_infinite(present(df, c)), present(df, c).cast("double")), F.lit(0.0)).alias(f"_f{i}")
+              for i, c in enumerate(features)]
     share = min(1.0, 4.0 * sample / rows)
     if share * trees >= 1.0 or share == 1.0:
         drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
@@ -143,7 +143,7 @@ def sample_trees(df: DataFrame, features: Sequence[str], key: Sequence[str], row
             *values, *[col(k).alias(f"_k{i}") for i, k in enumerate(key)],
             F.pmod(F.xxhash64(*keys, F.lit(seed + 1)), F.lit(trees)).cast("int").alias("tree"))
     rank = F.xxhash64(*[col(f"_k{i}") for i in range(len(key))], col("tree"), F.lit(seed + 2))
-    return some.select("tree", rank.alias("_rank"), *[col(c) for c in features])
+    return some.select("tree", rank.alias("_rank"), *[col(f"_f{i}").alias(c) for i, c in enumerate(features)])
 
 
 def fit(df: DataFrame, features: Sequence[str], key: Sequence[str], trees: int = FOREST_TREES,

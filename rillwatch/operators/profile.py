@@ -79,22 +79,29 @@ def correlation(x: Column, y: Column) -> Column:
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) for every pair of columns, a before b.
 
-    Complete tables with many columns go through one MLlib pass; otherwise pairs are aggregated, so that rows with a missing
-    value still count for the other pairs. Either way only p x p numbers leave the executors.
+    With many columns those without missing values go through one MLlib pass. Other pairs are aggregated, so that a row with
+    a missing value still counts for the pairs it has. Either way only p x p numbers leave the executors.
     """
     names = list(columns)
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
     pairs = [(i, j) for j in range(len(names)) for i in range(j)]
+    passes = []
     if len(pairs) > _PAIRS_PER_PASS:
-        flaws = df.agg(*[count_when(is_missing(df, c)).alias(c) for c in names]).first()
-        spread = variances(df, names)
-        if not any(flaws[c] for c in names) and all(spread.values()):
-            vectors = VectorAssembler(inputCols=names, outputCol="_v").transform(df.select(*[col(c) for c in names]))
+        state = df.agg(*[F.struct(count_when(is_missing(df, c)).alias("missing"), F.min(present(df, c)).alias("lo"),
+                                  F.max(present(df, c)).alias("hi")).alias(c) for c in names]).first()
+        whole = [c for c in names if not state[c].missing and state[c].lo != state[c].hi]
+        fixed = {c for c in names if state[c].lo == state[c].hi}  # a constant correlates with nothing
+        known = {}
+        if len(whole) > 1:
+            vectors = VectorAssembler(inputCols=[f"_{i}" for i in range(len(whole))], outputCol="_v").transform(
+                df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(whole)]))
             matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
-            return df.sparkSession.createDataFrame([(names[i], names[j], float(matrix[i][j])) for i, j in pairs],
-                                                   "a string, b string, r double")
-    passes = []
+            known = {(a, b): float(matrix[i][j]) for i, a in enumerate(whole) for j, b in enumerate(whole)}
+        done = [(names[i], names[j], known.get((names[i], names[j]))) for i, j in pairs
+                if (names[i], names[j]) in known or names[i] in fixed or names[j] in fixed]
+        passes.append(df.sparkSession.createDataFrame(done, "a string, b string, r double"))
+        pairs = [(i, j) for i, j in pairs if (names[i], names[j]) not in known and not {names[i], names[j]} & fixed]
     for at in range(0, len(pairs), _PAIRS_PER_PASS):
         cells = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"),
                                    correlation(present(df, names[i]), present(df, names[j])).alias("r"))

@@ -51,9 +51,11 @@ def mutual_information(df: DataFrame, label: str, columns: Sequence[str] | None
     names = list(columns or numeric_columns(df, exclude=[label]))
     probs = [i / bins for i in range(1, bins)]
     edges = quantile_row(df, names, probs).first()  # bins - 1 numbers per column
-    cell = lambda c: sum((F.when(present(df, c) > float(edges[f"{c}@{p}"]), 1).otherwise(0) for p in probs), F.lit(0))
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), cell(c).alias("bin")) for c in names])
-    counts = (df.select(col(label).alias("label"), F.inline(cells)).groupBy("column", "bin", "label")
+    limits = lambda c: F.array(*[F.lit(float(edges[f"{c}@{p}"])) for p in probs if edges[f"{c}@{p}"] is not None])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), present(df, c).cast("double").alias("value"), limits(c).cast("array<double>").alias("edges"))
+                      for c in names])
+    bins = F.size(F.filter("edges", lambda e: F.coalesce(F.col("value") > e, F.lit(False))))
+    counts = (df.select(col(label).alias("label"), F.inline(cells)).groupBy("column", bins.alias("bin"), "label")
               .agg(F.count(F.lit(1)).alias("n")))
     by = lambda *k: Window.partitionBy(*k)  # at most bins x classes rows per column
     joint = counts.select("column", "n", F.sum("n").over(by("column")).alias("rows"),

@@ -164,7 +164,7 @@ def _(spark, folder):
 
 
 @query("parsed_times", """
-  SELECT event_id, ts AS from_text, date_trunc('second', ts) AS from_format, make_timestamp((event_id * 60) * 1000000) AS from_epoch, epoch_ms(ts) AS ms FROM events""")
+  SELECT event_id, ts AS from_text, date_trunc('second', ts) AS from_format, make_timestamp((event_id * 60) * 1000000) AS from_epoch, epoch_us(ts) // 1000 AS ms FROM events""")
 def _(spark, folder):
     e = table(spark, folder, "events")
     ntz = lambda c: c.cast("timestamp_ntz")
