@@ -17,19 +17,28 @@ from ..core import col, join_stats, pin
 from ..errors import DataError
 
 
+_BUCKET_ROWS = 50_000
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _chains(t: np.ndarray, wait: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted distinct times: the next time that may be emitted after each, and the last of the chain it starts."""
-    after = np.searchsorted(t, t + wait, side="left")
-    last = np.where(after < len(t), after, np.arange(len(t)))
-    while True:
-        further = last[last]
-        if np.array_equal(further, last):
-            return after, last
-        last = further
+def _groups(codes: np.ndarray) -> np.ndarray:
+    """For sorted group codes: the end of the group of each row."""
+    cuts = np.append(np.flatnonzero(np.diff(codes)) + 1, len(codes))
+    return np.repeat(cuts, np.diff(np.append(0, cuts)))
+
+
+def _after(code: np.ndarray, t: np.ndarray, wait: int, span: int) -> np.ndarray:
+    """For rows sorted by (code, t) with 0 <= t < span: the first row of the same code at least ``wait`` later, or its end."""
+    key = code.astype(np.int64) * (span + wait) + t
+    return np.searchsorted(key, key + wait, side="left")
+
+
+def _bucket(rows: int, *by: str) -> Column:
+    """A bucket of about ``_BUCKET_ROWS`` rows: whole groups together, so that small groups share a Python call."""
+    return F.pmod(F.xxhash64(*[col(b) for b in by]), F.lit(rows // _BUCKET_ROWS + 1)).alias("bucket")
 
 
 def cool_down(df: DataFrame, source: str, ts: str, ident: str, seconds: float = COOL_DOWN_SECONDS,
@@ -55,42 +64,60 @@ def cool_down(df: DataFrame, source: str, ts: str, ident: str, seconds: float =
              .groupBy("source", "t").agg(F.min("ident").alias("ident")).withColumn("slice", F.floor(col("t") / width)))
     times = pin(times)
 
-    def ways(group: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(group["t"].to_numpy())
-        start = int(group["slice"].iloc[0]) * width
-        last = _chains(t, wait)[1]
-        entries = min(int(np.searchsorted(t, start + wait)) + 1, len(t))
-        ends = t[last[:entries]]
-        final = np.append(ends[1:] != ends[:-1], True)  # neighbouring entries that end alike are one
-        return pd.DataFrame({"source": [group["source"].iloc[0]], "slice": [int(group["slice"].iloc[0])],
-                             "upto": [t[:entries][final].tolist()], "ends": [ends[final].tolist()]})
-
-    def carry(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("slice")
-        kept, carried = None, []
-        for upto, ends in zip(group["upto"], group["ends"]):
+    def ways(bucket: pd.DataFrame) -> pd.DataFrame:
+        bucket = bucket.sort_values(["source", "slice", "t"], ignore_index=True)
+        code = bucket.groupby(["source", "slice"], sort=False).ngroup().to_numpy()
+        t = bucket["t"].to_numpy() - bucket["slice"].to_numpy() * width
+        end, after = _groups(code), _after(code, t, wait, width)
+        last = np.where(after < end, after, np.arange(len(t)))
+        while not np.array_equal(last[last], last):  # follow every chain to its end, doubling the step
+            last = last[last]
+        first = np.append(True, np.diff(code) > 0)
+        entry = first | np.append(True, t[:-1] < wait)  # the first row, and each whose predecessor could still be too early
+        ends = t[last]
+        follows = np.append(entry[1:] & (code[1:] == code[:-1]), False)
+        final = entry & ~(follows & np.append(ends[1:] == ends[:-1], False))  # neighbours that end alike are one
+        out = bucket.loc[final, ["source", "slice"]]
+        start = out["slice"].to_numpy() * width
+        out = out.assign(upto=t[final] + start, ends=ends[final] + start)
+        return out.groupby(["source", "slice"], sort=False).agg(list).reset_index()
+
+    def carry(bucket: pd.DataFrame) -> pd.DataFrame:
+        bucket = bucket.sort_values(["source", "slice"])
+        of, kept, carried = None, None, []
+        for source, upto, ends in zip(bucket["source"], bucket["upto"], bucket["ends"]):
+            if source != of:
+                of, kept = source, None
             carried.append(kept)
             i = 0 if kept is None else int(np.searchsorted(upto, kept + wait))
             if i < len(upto):
                 kept = int(ends[i])
-        return pd.DataFrame({"source": group["source"], "slice": group["slice"],
-                             "kept": pd.array(carried, dtype="Int64")})
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", ignore_index=True)
-        t, before = group["t"].to_numpy(), group["kept"].iloc[0]
-        after = _chains(t, wait)[0]
-        i, chosen = (0 if pd.isna(before) else int(np.searchsorted(t, int(before) + wait))), []
-        while i < len(t):
-            chosen.append(i)
-            i = int(after[i])
-        return group.iloc[chosen][["ident"]]
-
-    table = times.select("source", "slice", "t").groupBy("source", "slice").applyInPandas(
-        ways, "source string, slice long, upto array<long>, ends array<long>")
-    starts = table.groupBy("source").applyInPandas(carry, "source string, slice long, kept long")
+        return pd.DataFrame({"source": bucket["source"], "slice": bucket["slice"], "kept": pd.array(carried, dtype="Int64")})
+
+    def keep(bucket: pd.DataFrame) -> pd.DataFrame:
+        bucket = bucket.sort_values(["source", "slice", "t"], ignore_index=True)
+        code = bucket.groupby(["source", "slice"], sort=False).ngroup().to_numpy()
+        start = bucket["slice"].to_numpy() * width
+        t = bucket["t"].to_numpy() - start
+        end, after = _groups(code), _after(code, t, wait, width)
+        earliest = (bucket["kept"] + wait).fillna(-1).to_numpy(dtype=np.int64) - start
+        chosen = []
+        for at in np.flatnonzero(np.append(True, np.diff(code) > 0)):
+            stop = end[at]
+            i = at + int(np.searchsorted(t[at:stop], earliest[at]))
+            while i < stop:
+                chosen.append(i)
+                i = after[i]
+        return bucket.iloc[chosen][["ident"]]
+
+    n = times.count()
+    table = pin(times.select("source", "slice", "t", _bucket(n, "source", "slice")).groupBy("bucket").applyInPandas(
+        ways, "source string, slice long, upto array<long>, ends array<long>"))
+    starts = table.withColumn("bucket", _bucket(table.count(), "source")).groupBy("bucket").applyInPandas(
+        carry, "source string, slice long, kept long")
     kind = dict(df.dtypes)[ident]
-    chosen = times.join(starts, ["source", "slice"]).groupBy("source", "slice").applyInPandas(keep, f"ident {kind}")
+    chosen = (times.join(starts, ["source", "slice"]).withColumn("bucket", _bucket(n, "source", "slice")).groupBy("bucket")
+              .applyInPandas(keep, f"ident {kind}"))
     return df.join(chosen.withColumnRenamed("ident", ident), ident, "left_semi")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import KEEP_FEATURES, MAX_CORRELATION, MIN_VARIANCE
 from ..core import col, numeric_columns, one_row, present
-from ..quantiles import quantile_row
+from ..quantiles import exact_quantiles, quantile_row
 from .profile import correlation, correlation_pairs, top_by_variance, variance_table, variances
 
 
@@ -50,8 +50,10 @@ def mutual_information(df: DataFrame, label: str, columns: Sequence[str] | None
     """
     names = list(columns or numeric_columns(df, exclude=[label]))
     probs = [i / bins for i in range(1, bins)]
-    edges = quantile_row(df, names, probs).first()  # bins - 1 numbers per column
-    limits = lambda c: F.array(*[F.lit(float(edges[f"{c}@{p}"])) for p in probs if edges[f"{c}@{p}"] is not None])
+    edges: dict[str, list[float]] = {c: [] for c in names}
+    for r in exact_quantiles(df, names, probs).collect():  # bins - 1 numbers per column
+        edges[r["column"]].append(float(r["quantile"]))
+    limits = lambda c: F.array(*[F.lit(x) for x in edges[c]])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), present(df, c).cast("double").alias("value"), limits(c).cast("array<double>").alias("edges"))
                       for c in names])
     bins = F.size(F.filter("edges", lambda e: F.coalesce(F.col("value") > e, F.lit(False))))

@@ -84,12 +84,12 @@ def _(spark, folder):
 @query("engineered_features")
 def _(spark, folder):
     e = table(spark, folder, "events").select("event_id", "event_type", "value", "user_id")
-    return pipelines.engineer_features(e, ["event_id"], "event_type", n=6)[0]
+    return pipelines.engineer_features(e, ["event_id"], "event_type", ["value"], n=6)[0]
 
 
 @query("engineered_splits")
 def _(spark, folder):
-    e = prepare.add_split(table(spark, folder, "events").select("event_id", "event_type", "value", "user_id"), ["event_id"], "event_type")
+    e = prepare.add_split(table(spark, folder, "events").select("event_id", "event_type", "value"), ["event_id"], "event_type")
     return pipelines.engineer_splits(e, ["event_id"], "event_type")
 
 
@@ -257,7 +257,7 @@ def _events(spark, folder):
 
 def models(spark, folder):
     e = _events(spark, folder)
-    return (forest.fit(e, ["value", "k"], ["event_id"], trees=50),
+    return (forest.fit(e, ["value", "k"], ["event_id"], trees=25),
             classify.train(e, ["value", "k"], "Label", trees=8, depth=4))
 
 

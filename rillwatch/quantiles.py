@@ -51,18 +51,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """Exact quantiles with linear interpolation: one row per (by..., column, prob).
 
     The rows are counted first: up to ``_SMALL`` of them go through Spark's ``percentile``, whose state holds every distinct
-    value. On a larger table without groups the first pass also brackets each wanted rank with ``percentile_approx`` (bounded
-    state), and only the values inside the bracket - about 4 in 10,000 - are counted by value and ordered. With groups all
-    distinct values are counted and ordered together, so a hot group is spread over the cluster.
+    value. On a larger table without groups one pass brackets each wanted rank with ``percentile_approx`` (bounded state), and
+    only the values inside the bracket - about 4 in 10,000 - are counted by value and ordered. With groups all distinct values
+    are counted and ordered together, so a hot group is spread over the cluster.
     """
     probs = [float(p) for p in probs]
     values = {c: present(df, c).cast("double") for c in columns}
     slack = 2.0 / _ACCURACY
     ends = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
-    # One row comes back: the row count, and without groups 2 x len(probs) numbers per column.
-    digest = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.percentile_approx(v, ends, _ACCURACY).alias(c)
-                                                        for c, v in values.items() if not by]).first()
-    if digest["_rows"] < _SMALL:
+    if df.count() < _SMALL:
         targets = F.array(*[F.lit(p) for p in probs])
         found = df.groupBy(*[col(b) for b in by]).agg(F.array(*[
             F.struct(F.lit(c).alias("column"), F.percentile(v, targets).alias("at")) for c, v in values.items()]).alias("all"))
@@ -75,6 +72,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_skipped", F.lit(0))
         return _pick(counted, keys, sizes, F.array(*[F.lit(p) for p in probs]))
 
+    # One row comes back: 2 x len(probs) numbers per column.
+    digest = df.agg(*[F.percentile_approx(v, ends, _ACCURACY).alias(c) for c, v in values.items()]).first()
     cells, below = [], []
     for c, v in values.items():
         for i, p in enumerate(probs):
