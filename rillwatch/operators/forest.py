@@ -54,6 +54,26 @@ def _grow(tree: int, x: np.ndarray, usable: np.ndarray, rng: np.random.Generator
     return pd.DataFrame(rows, columns=["tree", "node", "feature", "split", "left", "right", "path"])
 
 
+def _compact(tree: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Arrays of a tree with the two children of a node side by side; a leaf is its own left child and never goes right."""
+    nodes = {int(n.node): n for n in tree.itertuples()}
+    order, depth, level = [0], 0, [0]
+    children = {}
+    while level:
+        below = []
+        for n in level:
+            if nodes[n].feature >= 0:
+                children[n] = len(order)
+                order += [int(nodes[n].left), int(nodes[n].right)]
+                below += order[-2:]
+        depth += bool(below)
+        level = below
+    feature = np.array([max(nodes[n].feature, 0) for n in order], dtype=np.intp)
+    split = np.array([nodes[n].split if nodes[n].feature >= 0 else np.inf for n in order])
+    child = np.array([children.get(n, i) for i, n in enumerate(order)], dtype=np.intp)
+    return feature, split, child, np.array([nodes[n].path for n in order]), depth
+
+
 @dataclass(frozen=True)
 class Forest:
     """A grown forest: the node table, the feature order and the fitted limits."""
@@ -75,23 +95,18 @@ class Forest:
     def score_column(self, df: DataFrame) -> Column:
         """Raw score -2^(-E[path] / c(sample)); lower is more anomalous."""
         require(df, self.features)
-        trees = [g.sort_values("node") for _, g in self.nodes.groupby("tree", sort=True)]
-        tables = [(t["feature"].to_numpy(np.int32), t["split"].to_numpy(), t["left"].to_numpy(np.int32),
-                   t["right"].to_numpy(np.int32), t["path"].to_numpy()) for t in trees]
+        tables = [_compact(t) for _, t in self.nodes.groupby("tree", sort=True)]
         unit = float(mean_path(self.sample_size)) or 1.0
 
         @F.pandas_udf("double")
         def raw(*columns: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            total = np.zeros(len(x))
-            for feature, split, left, right, path in tables:
-                at = np.zeros(len(x), dtype=np.int32)
-                live = np.arange(len(x))
-                while len(live):
-                    here = at[live]
-                    inner = feature[here] >= 0
-                    live, here = live[inner], here[inner]
-                    at[live] = np.where(x[live, feature[here]] <= split[here], left[here], right[here])
+            x = np.concatenate([c.to_numpy(dtype=float) for c in columns])  # column by column
+            n = len(columns[0])
+            row, total = np.arange(n), np.zeros(n)
+            for offset, split, child, path, depth in tables:
+                at = np.zeros(n, dtype=np.intp)
+                for _ in range(depth):
+                    at = child[at] + (x[offset[at] * n + row] > split[at])
                 total += path[at]
             return pd.Series(-np.exp2(-(total / len(tables)) / unit))
 
@@ -134,9 +149,9 @@ def sample_trees(df: DataFrame, features: Sequence[str], key: Sequence[str], row
               for i, c in enumerate(features)]
     share = min(1.0, 4.0 * sample / rows)
     if share * trees >= 1.0 or share == 1.0:
-        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                         lambda t: unit(F.xxhash64(*keys, t, F.lit(seed))) < share)
-        some = df.select(*values, *[col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.explode(drawn).alias("tree"))
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(F.xxhash64("_lot", t)) < share)
+        some = (df.select(*values, *[col(k).alias(f"_k{i}") for i, k in enumerate(key)],
+                          F.xxhash64(*keys, F.lit(seed)).alias("_lot")).withColumn("tree", F.explode(drawn)))
     else:  # a row is drawn by at most one tree: with so few draws per row the samples stay independent enough
         lot = F.xxhash64(*keys, F.lit(seed))
         some = df.filter(unit(lot) < share * trees).select(

@@ -14,7 +14,7 @@ from ..core import col, count_when, is_missing, numeric_columns, one_row, presen
 from ..quantiles import exact_quantiles
 from .clean import duplicate_count, missing_counts
 
-_PAIRS_PER_PASS = 60
+_PAIRS_PER_PASS = 10  # wider aggregates compile to methods too long for the JIT
 
 
 def table_summary(df: DataFrame, label: str) -> DataFrame:
@@ -79,15 +79,15 @@ def correlation(x: Column, y: Column) -> Column:
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) for every pair of columns, a before b.
 
-    With many columns those without missing values go through one MLlib pass. Other pairs are aggregated, so that a row with
-    a missing value still counts for the pairs it has. Either way only p x p numbers leave the executors.
+    The columns without missing values go through one MLlib pass. Other pairs are aggregated, so that a row with a missing
+    value still counts for the pairs it has. Either way only p x p numbers leave the executors.
     """
     names = list(columns)
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
     pairs = [(i, j) for j in range(len(names)) for i in range(j)]
     passes = []
-    if len(pairs) > _PAIRS_PER_PASS:
+    if len(names) > 2:
         state = df.agg(*[F.struct(count_when(is_missing(df, c)).alias("missing"), F.min(present(df, c)).alias("lo"),
                                   F.max(present(df, c)).alias("hi")).alias(c) for c in names]).first()
         whole = [c for c in names if not state[c].missing and state[c].lo != state[c].hi]

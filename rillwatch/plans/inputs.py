@@ -14,6 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table that comes in fewer partitions than there are cores, before work that is heavy per row.
+
+    The given tables are single files; a table of many splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # Labelled flows: lineitem, 'N' in the role of the benign label.
 FLOWS = "SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem"
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..core import col, work_path
+from ..core import col, pin, work_path
 from ..functions import rules
 from ..operators import classify, clean, detect, forest, metrics, opstats, prepare
 from . import pipelines
-from .inputs import DIRTY, NUMERIC, dirty, table
+from .inputs import DIRTY, NUMERIC, dirty, spread, table
 from .registry import query, rnd, rounded, sql_rnd
 
 _N = list(NUMERIC)
@@ -33,7 +33,7 @@ _FLAGSHIP = f"""
 @query("flagship", _FLAGSHIP)
 def flagship(spark, folder):
     """Dirty flows to severity statistics: clean, scale, score, normalise, grade, count."""
-    cleaned = clean.clean(dirty(spark, folder))
+    cleaned = pin(clean.clean(dirty(spark, folder)))  # three passes follow: fit, extremes, rows
     scored = forest.normalise(pipelines.score_by_deviation(cleaned, _N).select("raw_score", "l_returnflag"))
     zero_day = col("l_returnflag") == "R"
     graded = scored.withColumn("severity", rules.severity_boosted(col("anomaly_score"), zero_day))
@@ -96,7 +96,7 @@ def _(spark, folder):
 # --- isolation forest -----------------------------------------------------------------------------------------------
 
 def _lines(spark, folder):
-    return table(spark, folder, "lineitem")
+    return spread(table(spark, folder, "lineitem"))
 
 
 def _grown(spark, folder, trees=100):

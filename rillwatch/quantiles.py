@@ -11,7 +11,7 @@ from .core import col, count_when, join_stats, one_row, present
 from .ordering import add_running_totals
 
 _ACCURACY = 10_000  # percentile_approx is at most n / accuracy ranks off
-_SMALL = 50 * _ACCURACY  # below this many rows, counted first, Spark's own exact aggregate is safe
+_SMALL = 2_000_000  # up to this many values, counted first, Spark's own exact aggregate is safe
 
 
 def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -50,7 +50,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                     by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per (by..., column, prob).
 
-    The rows are counted first: up to ``_SMALL`` of them go through Spark's ``percentile``, whose state holds every distinct
+    The rows are counted first: up to ``_SMALL`` values go through Spark's ``percentile``, whose state holds every distinct
     value. On a larger table without groups one pass brackets each wanted rank with ``percentile_approx`` (bounded state), and
     only the values inside the bracket - about 4 in 10,000 - are counted by value and ordered. With groups all distinct values
     are counted and ordered together, so a hot group is spread over the cluster.
@@ -59,7 +59,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     values = {c: present(df, c).cast("double") for c in columns}
     slack = 2.0 / _ACCURACY
     ends = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
-    if df.count() < _SMALL:
+    if df.count() * len(columns) <= _SMALL:
         targets = F.array(*[F.lit(p) for p in probs])
         found = df.groupBy(*[col(b) for b in by]).agg(F.array(*[
             F.struct(F.lit(c).alias("column"), F.percentile(v, targets).alias("at")) for c, v in values.items()]).alias("all"))
