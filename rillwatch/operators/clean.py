@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import BENIGN, LABEL_COLUMN
-from ..core import (chain, col, count_when, fractional_columns, is_infinite, is_missing, numeric_columns, one_row, present,
+from ..core import (col, count_when, fractional_columns, is_infinite, is_missing, numeric_columns, one_row, present,
                     replace_columns)
 from ..errors import DataError
 from ..quantiles import hash_cuts, hash_order, quantile_row

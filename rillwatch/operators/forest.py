@@ -23,6 +23,7 @@ from ..quantiles import quantile_row
 
 _NODES = "tree int, node int, feature int, split double, left int, right int, path double"
 _LARGEST_SAMPLE = 100_000  # rows of one tree; a tree is grown in one task
+_LARGEST_FOREST = 4_000_000  # nodes; the node table is shipped to every task that scores
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -173,6 +174,8 @@ def fit(df: DataFrame, features: Sequence[str], key: Sequence[str], trees: int =
               int(max_samples * rows) if isinstance(max_samples, float) else min(int(max_samples), rows))
     if not 1 <= sample <= _LARGEST_SAMPLE:
         raise ModelError(f"{sample} rows per tree; at most {_LARGEST_SAMPLE}")
+    if trees * (2 * sample - 1) > _LARGEST_FOREST:
+        raise ModelError(f"{trees} trees of {sample} rows make a forest too large to ship; at most {_LARGEST_FOREST} nodes")
     names, width = list(features), max(1, int(max_features * len(features)))
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:

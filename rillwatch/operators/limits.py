@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import ACTIONS_PER_MINUTE, ALERTS_PER_MINUTE, COOL_DOWN_SECONDS
 from ..core import col, join_stats, pin
 from ..errors import DataError
+from ..ordering import add_running_totals
 
 
 _BUCKET_ROWS = 50_000
@@ -132,6 +133,19 @@ def per_minute_limit(df: DataFrame, ts: str, ident: str, limit: int = ALERTS_PER
             .withColumn("_rank", F.row_number().over(order)).filter(col("_rank") <= limit).drop("_minute", "_rank"))
 
 
+def anchored_minute_limit(df: DataFrame, ts: str, ident: str, limit: int = ALERTS_PER_MINUTE, seconds: float = 60) -> DataFrame:
+    """The first ``limit`` rows of each minute that starts at the first row more than ``seconds`` after the last start.
+
+    The starts are what a cool-down over the whole stream keeps; a running count of them numbers the minutes.
+    """
+    one = df.select(ident, ts).withColumn("_all", F.lit("all"))
+    starts = cool_down(one, "_all", ts, ident, seconds + 1e-6).select(ident, F.lit(1).cast("bigint").alias("_start"))
+    marked = df.join(starts, ident, "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
+    numbered = add_running_totals(marked, [ts, ident], {"_minute": "_start"})
+    order = Window.partitionBy("_minute").orderBy(ts, ident)
+    return numbered.withColumn("_rank", F.row_number().over(order)).filter(col("_rank") <= limit).drop("_start", "_minute", "_rank")
+
+
 def alert_limits(df: DataFrame, source: str, ts: str, ident: str, seconds: float = COOL_DOWN_SECONDS,
                  limit: int = ALERTS_PER_MINUTE) -> DataFrame:
     """Cool-down first; only what passes it counts against the minute."""

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SEVERITY_RANKED
 from ..core import col, count_when, join_stats, one_row
 from ..functions.rules import threat_level
-from ..ordering import add_position
+from ..ordering import add_position, add_running_totals
 from ..quantiles import exact_quantiles, floor_index_quantiles
 
 
@@ -57,16 +57,14 @@ def history_metrics(d: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def batch_summary(d: DataFrame, batch: str = "batch_id") -> DataFrame:
     """Per batch: samples, alerts (anomaly or zero-day), counts, and running totals with the running alert rate.
 
-    The window runs over one row per batch.
+    A large table has very many batches, so their totals are accumulated in range partitions as well.
     """
     per = d.groupBy(batch).agg(F.count(F.lit(1)).alias("total_samples"),
                                count_when(col("is_anomaly") | col("is_zero_day")).alias("total_alerts"),
                                count_when(col("is_anomaly")).alias("anomaly_count"),
                                count_when(col("is_zero_day")).alias("zero_day_count"))
-    so_far = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
-    seen, alerts = F.sum("total_samples").over(so_far), F.sum("total_alerts").over(so_far)
-    return per.select("*", seen.alias("processed_count"), alerts.alias("alert_count"),
-                      F.round(alerts / F.greatest(seen, F.lit(1)), 4).alias("alert_rate"))
+    run = add_running_totals(per, [batch], {"processed_count": "total_samples", "alert_count": "total_alerts"})
+    return run.withColumn("alert_rate", F.round(col("alert_count") / F.greatest(col("processed_count"), F.lit(1)), 4))
 
 
 def threat_levels(d: DataFrame, by: str) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import SEED, TEST_SIZE, VAL_SIZE
-from ..core import col, is_infinite, join_stats, numeric_columns, one_row, present, replace_columns, require
+from ..core import col, is_infinite, join_stats, numeric_columns, one_row, present, replace_columns
 from ..errors import DataError
 from ..quantiles import hash_cuts, hash_order, modes, quantile_row
 from . import clean as cleaning
@@ -135,6 +135,17 @@ def unscale(df: DataFrame, fitted: DataFrame) -> DataFrame:
                                   + F.col("_s").getField(f"{c}@center") for c in names}).drop("_s")
 
 
+# --- storage --------------------------------------------------------------------------------------------------------
+
+def save_fitted(fitted: DataFrame, path: str) -> None:
+    """A fitted imputer or scaler is one row; label indexers are stored with MLlib's own ``write()``."""
+    fitted.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_fitted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 # --- splitting ------------------------------------------------------------------------------------------------------
 
 def add_split(df: DataFrame, key: Sequence[str], label: str | None, test_size: float = TEST_SIZE,

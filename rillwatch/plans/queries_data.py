@@ -277,6 +277,13 @@ for _method, _parts in {
         return rounded(prepare.scale(features, prepare.fit_scaler(features, NUMERIC, method)))
 
 
+@query("scaler_saved_and_loaded", _scaled_sql("avg({c})", "stddev_pop({c})"))
+def _(spark, folder):
+    features, path = table(spark, folder, "lineitem").select(*NUMERIC), work_path(spark, "scaler")
+    prepare.save_fitted(prepare.fit_scaler(features, NUMERIC), path)
+    return rounded(prepare.scale(features, prepare.load_fitted(spark, path)))
+
+
 @query("scaling_undone", f"SELECT {', '.join(sql_rnd(c) + f' AS {c}' for c in NUMERIC)} FROM lineitem")
 def _(spark, folder):
     features = table(spark, folder, "lineitem").select(*NUMERIC)

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..core import col
 from ..operators import features, profile, select, validate
-from ..operators.clean import duplicate_count, missing_counts  # noqa: F401
 from .inputs import DIRTY, FLOWS, NUMERIC, dirty, flows, table
-from .registry import query, rnd, rounded, sql_rnd
+from .registry import query, rounded, sql_rnd
 
 _N = list(NUMERIC)
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..core import col, one_row
+from ..core import col
 from ..operators import curves, metrics
-from .inputs import JUDGED, judged, table
-from .registry import query, rnd, rounded, sql_rnd
+from .inputs import JUDGED, judged
+from .registry import query, rounded, sql_rnd
 
 _Q = "CASE WHEN {b} > 0 THEN {a} / ({b})::DOUBLE ELSE 0.0 END"
 _REPORT = f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..core import col, pin, work_path
 from ..functions import rules
-from ..operators import classify, clean, detect, forest, metrics, opstats, prepare
+from ..operators import classify, clean, detect, forest, opstats, prepare
 from . import pipelines
 from .inputs import DIRTY, NUMERIC, dirty, spread, table
 from .registry import query, rnd, rounded, sql_rnd

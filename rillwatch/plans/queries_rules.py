@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import ALERT_COLUMNS
 from ..core import col
 from ..functions import rules
 from ..operators import metrics, opstats

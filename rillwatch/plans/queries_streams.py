@@ -13,7 +13,7 @@ from ..sources import alert_store
 from ..streaming import jobs, readers, stateful
 from .inputs import DETECTIONS, JUDGED, detections, from_events, judged, table
 from .queries_models import _events, models
-from .registry import query, rnd, rounded, sql_rnd
+from .registry import query, rounded, sql_rnd
 
 _SQL_ALERTS = f"SELECT ts AS timestamp, 'a' || event_id AS alert_id, severity, predicted_class, anomaly_score, classification_confidence, is_zero_day, sample_id, 'm' AS message FROM ({DETECTIONS}) d WHERE is_anomaly"
 
@@ -120,10 +120,28 @@ def _(spark, folder):
     return limits.per_minute_limit(cooled, "ts", "event_id", 4, 86400)
 
 
-@query("actions_limited")
+@query("alerts_per_anchored_minute", f"""
+  WITH RECURSIVE d AS MATERIALIZED (SELECT event_id, ts, sample_id FROM ({DETECTIONS}) x WHERE is_anomaly),
+  starts AS (SELECT min(ts) AS s FROM d UNION ALL SELECT (SELECT min(ts) FROM d WHERE ts > s + INTERVAL 1 HOUR) FROM starts WHERE (SELECT min(ts) FROM d WHERE ts > s + INTERVAL 1 HOUR) IS NOT NULL),
+  named AS (SELECT event_id, ts, sample_id, s FROM d ASOF JOIN starts ON d.ts >= starts.s)
+  SELECT event_id, ts, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ts, event_id) AS r FROM named) y WHERE r <= 4""")
+def _(spark, folder):
+    return limits.anchored_minute_limit(_hits(spark, folder), "ts", "event_id", 4, 3600)
+
+
+# Row after row with the times of the last three executed actions: the rule as it reads.
+_EXECUTED = f"""
+  WITH RECURSIVE d AS MATERIALIZED (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS i FROM ({DETECTIONS}) x WHERE is_anomaly OR is_zero_day),
+  run AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS a, NULL::TIMESTAMP AS b, NULL::TIMESTAMP AS c, FALSE AS executed
+          UNION ALL SELECT d.i, d.event_id, CASE WHEN ok THEN b ELSE a END, CASE WHEN ok THEN c ELSE b END, CASE WHEN ok THEN d.ts ELSE c END, ok
+          FROM (SELECT run.*, d.i AS j, d.event_id AS e, d.ts AS t, run.a IS NULL OR run.a <= d.ts - INTERVAL 1 HOUR AS ok FROM run JOIN d ON d.i = run.i + 1) x JOIN d ON d.i = x.j)
+  SELECT event_id, executed FROM run WHERE i > 0"""
+
+
+@query("actions_limited", _EXECUTED)
 def _(spark, folder):
-    actions = rules.response_actions(detections(spark, folder)).filter("step = 0").select("event_id", "ts", "action_type", "target")
-    return limits.action_limit(actions, "ts", "event_id", 3, 3600).groupBy("executed").agg(F.count(F.lit(1)).alias("n"))
+    actions = rules.response_actions(detections(spark, folder)).filter("step = 0").select("event_id", "ts")
+    return limits.action_limit(actions, "ts", "event_id", 3, 3600).select("event_id", "executed")
 
 
 # --- streams --------------------------------------------------------------------------------------------------------

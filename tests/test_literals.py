@@ -172,7 +172,7 @@ def test_auc_ties_and_threshold(spark):
 
 def test_calibration_leaves_out_certainty(spark):
     df = spark.createDataFrame([("A", "A", 1.0), ("A", "A", 0.95), ("A", "B", 0.05)], "t string, p string, c double")
-    rows = curves and metrics.calibration(df, "t", "p", "c").collect()
+    rows = metrics.calibration(df, "t", "p", "c").collect()
     assert sum(r.n for r in rows) == 2 and rows[0].ece == pytest.approx(0.05)
 
 

@@ -91,6 +91,20 @@ def test_cool_down_equals_brute_force(spark, seed):
         assert got == brute_cool_down(rows, wait), (wait, width)
 
 
+def test_anchored_minutes_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = sorted((rng.randrange(0, 5000), i) for i in range(2000))
+    want, start, n = [], None, 0
+    for t, i in rows:
+        if start is None or t - start > 60:
+            start, n = t, 0
+        n += 1
+        if n <= 5:
+            want.append(i)
+    df = spark.createDataFrame(rows, "t long, id long").withColumn("ts", F.timestamp_seconds("t"))
+    assert sorted(r.id for r in limits.anchored_minute_limit(df, "ts", "id", 5).collect()) == sorted(want)
+
+
 def brute_actions(rows, limit, span):
     done, out = [], []
     for t, ident in sorted(rows):
