@@ -31,9 +31,9 @@ def _running(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     order = [*by, F.desc("threshold")]
     run = add_running_totals(grouped, order, {"tp": "pos", "fp": "neg"})
     if not by:
-        ends = one_row(grouped.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
+        ends = one_row(run.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))  # from the pinned rows, not the table
         return run.withColumn("_e", ends).select("*", "_e.*").drop("_e")
-    ends = grouped.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    ends = run.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     ahead = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)  # one row per class
     ends = ends.select("*", *[F.coalesce(F.sum(t).over(ahead), F.lit(0)).alias(f"_{t}") for t in ("P", "N")])
     return (join_stats(run, ends, by, "inner").withColumns({"tp": col("tp") - col("_P"), "fp": col("fp") - col("_N")}).drop("_P", "_N"))
@@ -43,7 +43,7 @@ def roc_points(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> Dat
     """(by..., threshold, fpr, tpr): one point per distinct score, and the origin with threshold 1."""
     run = _running(_by_score(df, y, score, by), by)
     points = run.select(*by, "threshold", ratio(col("fp"), col("N")).alias("fpr"), ratio(col("tp"), col("P")).alias("tpr"))
-    groups = df.select(*[col(b) for b in by]).distinct() if by else df.sparkSession.range(1).select()
+    groups = run.select(*by).distinct() if by else df.sparkSession.range(1).select()
     origin = groups.select(*by, F.lit(1.0).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(points)
 
@@ -53,7 +53,7 @@ def roc_points_by_row(df: DataFrame, y: str, score: str, key: Sequence[str]) ->
     flagged = df.select(*key, score, (col(y) == 1).cast("bigint").alias("pos"), (col(y) == 0).cast("bigint").alias("neg"))
     order = [F.desc(score), *key]
     run = add_running_totals(flagged, order, {"tp": "pos", "fp": "neg"})
-    ends = one_row(flagged.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
+    ends = one_row(run.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
     points = run.withColumn("_e", ends).select(
         (col("tp") + col("fp")).alias("position"), col(score).alias("threshold"),
         ratio(col("fp"), F.col("_e.N")).alias("fpr"), ratio(col("tp"), F.col("_e.P")).alias("tpr"))

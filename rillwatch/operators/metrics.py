@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import col, count_when, one_row, ratio
+from ..core import col, count_when, one_row, pin, ratio
 from ..quantiles import quantile_row
 
 
@@ -101,7 +101,7 @@ def false_positive_rate(pairs: DataFrame, target: str) -> DataFrame:
 
 def evaluation(df: DataFrame, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """Long form (section, class, metric, value): summary, per-class metrics and matrix from one scan of the rows."""
-    pairs = pair_counts(df, true, pred)
+    pairs = pin(pair_counts(df, true, pred))  # one pass over the rows; everything below is as large as the classes
     report = class_report(pairs)
     summary = overall(report)
     entry = lambda section, cls, name, value: F.struct(
@@ -195,7 +195,7 @@ def evaluation_report(df: DataFrame, name: str, true: str = "y_true", pred: str
 
     The arrays hold one entry per class, per cell of the class grid and per operation.
     """
-    pairs = pair_counts(df, true, pred)
+    pairs = pin(pair_counts(df, true, pred))  # one pass over the rows; everything below is as large as the classes
     report = class_report(pairs)
     summary = overall(report)
     listed = lambda frame, order: one_row(frame.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("rows"))).getField("rows")

@@ -105,10 +105,10 @@ def engineer_features(df: DataFrame, order: Sequence[str], label: str | None = L
         out = features.ratio_features(out, numeric=made(out))
         out = features.difference_features(out, made(out))
     if transform:
-        out = features.row_statistics(out, made(out))
+        out = pin(features.row_statistics(out, made(out)))  # read again for the variances and for the result
         out = features.interaction_features(out, columns=made(out))
         out = features.direction_ratios(out)
-    if choose:
+    if choose and not transform:
         out = pin(out)  # several passes follow: missing counts, correlations, variances
     names = made(out)
     flaws = out.agg(*[F.max(is_missing(out, c).cast("int")).alias(c) for c in names]).first() if choose else {}
