@@ -12,12 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import pin
+from .bloom import MOST_BITS, bloom_pages, filter_bits, mark
 from .common import SPACES, text_of, whole_rows
 
-_PAGE = 32768  # bits in one of Spark's bitmaps
-#: The largest filter, in bits for each of its two halves: bounds the broadcast at 2 x 32 MB.
-MOST_BITS = 1 << 28
-
 
 def normalised(text: Column) -> Column:
     return F.translate(text_of(text), SPACES, "")
@@ -28,40 +25,6 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
 
 
-def _positions(digests: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(digests, F.lit(half)), F.lit(bits)) for half in (0, 1)]
-
-
-def filter_bits(rows: int, most: int = MOST_BITS) -> int:
-    """Eight positions for each row, as a power of two; at least 2 ** 16, at most ``most``."""
-    return min(most, max(1 << 16, 1 << (8 * max(rows, 1) - 1).bit_length()))
-
-
-def repeated_positions(keys: DataFrame, column: str, bits: int) -> DataFrame:
-    """Bitmaps (half, page, bitmap) of the positions that two or more rows hit. At most ``2 * bits / 8`` bytes.
-
-    A digest that a third of all rows share is counted before the shuffle.
-    """
-    hits = keys.select(F.explode(F.array(*[F.struct(F.lit(i).alias("half"), p.alias("at"))
-                                           for i, p in enumerate(_positions(F.col(column), bits))])).alias("p"))
-    twice = hits.groupBy("p.half", "p.at").agg(F.count("*").alias("n")).filter("n > 1")
-    return twice.groupBy("half", F.floor(F.col("at") / _PAGE).alias("page")).agg(
-        F.bitmap_construct_agg(F.pmod("at", F.lit(_PAGE))).alias("bitmap"))
-
-
-def mark_repeated(rows: DataFrame, column: str, maps: DataFrame, bits: int, flag: str) -> DataFrame:
-    """Add ``flag``: true where both positions of ``column`` were hit twice. The bitmaps are broadcast (bounded by bits)."""
-    for half, at in enumerate(_positions(F.col(column), bits)):
-        name = f"__half{half}"
-        pages = maps.filter(F.col("half") == half).select(F.col("page").alias("__page"), F.col("bitmap").alias(name))
-        rows = rows.withColumn("__at", at).withColumn("__page", F.floor(F.col("__at") / _PAGE))
-        rows = rows.join(F.broadcast(pages), "__page", "left")
-        byte = F.conv(F.hex(F.substring(F.col(name), (F.pmod("__at", F.lit(_PAGE)) / 8).cast("int") + 1, F.lit(1))), 16, 10)
-        bit = F.getbit(byte.cast("long"), F.pmod("__at", F.lit(8)).cast("int"))
-        rows = rows.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("__page", "__at")
-    return rows.withColumn(flag, F.col("__half0") & F.col("__half1")).drop("__half0", "__half1")
-
-
 def _groups(maybe: DataFrame) -> DataFrame:
     """(digest, size, keep) of the digests that really repeat. ``~id`` puts the smallest id first without overflow."""
     best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("turned"))).alias("best")
@@ -85,9 +48,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keys = pin(_keys(df, id_col, text_col))
     bits = filter_bits(keys.count(), most_bits)
-    marked = mark_repeated(keys, "digest", pin(repeated_positions(keys, "digest", bits)), bits, "maybe")
+    marked = mark(keys, "digest", bloom_pages(keys, "digest", bits, 2), bits, "maybe")
     groups = pin(_groups(marked.filter("maybe")))
-    out = [F.col("doc_id"), F.coalesce("keep", F.when(F.col("size").isNull(), F.col("doc_id"))).alias("keep_id"),
+    out = [F.col("doc_id"), F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
            F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
            (F.col("size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep"))).alias("kept"), F.col("digest").alias("text_sha256")]
     alone = marked.filter("not maybe").withColumns({"size": F.lit(None).cast("long"), "keep": F.lit(None).cast("long")})
@@ -102,11 +65,11 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     keys = pin(_keys(df, id_col, text_col))
     bits = filter_bits(keys.count(), most_bits)
-    maps = pin(repeated_positions(keys, "digest", bits))
-    groups = pin(_groups(mark_repeated(keys, "digest", maps, bits, "maybe").filter("maybe")))
+    pages = bloom_pages(keys, "digest", bits, 2)
+    groups = pin(_groups(mark(keys, "digest", pages, bits, "maybe").filter("maybe")))
     text = F.col(f"`{text_col}`")
     rows = df.select(whole_rows(df).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), digest(text).alias("digest"))
-    rows = mark_repeated(rows, "digest", maps, bits, "maybe")
+    rows = mark(rows, "digest", pages, bits, "maybe")
     found = rows.filter("maybe").join(groups, "digest", "left")
     single = found.filter(F.col("size").isNull())
     best = found.filter(F.col("size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep"))).dropDuplicates(["digest"])

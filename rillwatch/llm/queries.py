@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, token_counts, token_files
+from . import exact_dedup, mixing, packing, simhash, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,8 @@ r AS (
 SELECT doc_id, size, source_size, target, size * (epochs + CASE WHEN middle <= rest THEN 1 ELSE 0 END) AS taken, source FROM r""")
 def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("key")
+
+
+@register("op6_simhash")
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, folder, "documents"))
