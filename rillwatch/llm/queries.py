@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, mixing, packing, simhash, token_counts, token_files
+from . import exact_dedup, html_text, language, mixing, packing, simhash, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,8 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_main_text")
 def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@register("op8_language")
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
