@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, language, mixing, packing, simhash, token_counts, token_files
+from . import exact_dedup, html_text, language, mixing, packing, quality_rules, simhash, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,8 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @register("op8_language")
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
+
+
+@register("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
