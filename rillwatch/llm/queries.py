@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, language, mixing, packing, quality_rules, simhash, token_counts, token_files
+from . import exact_dedup, html_text, language, mixing, ngram_quality, packing, quality_rules, simhash, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -111,3 +111,9 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
 @register("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = ngram_quality.trusted_ids(table(spark, folder, "labels"))
+    return ngram_quality.classify(table(spark, folder, "documents"), trusted)
