@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import exact_dedup, html_text, language, mixing, ngram_quality, packing, quality_rules, simhash, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +119,8 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     trusted = ngram_quality.trusted_ids(table(spark, folder, "labels"))
     return ngram_quality.classify(table(spark, folder, "documents"), trusted)
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
