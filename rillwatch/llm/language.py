@@ -31,7 +31,8 @@ SWITCH = 8.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 _AWAY = -25.0  # for a candidate without the script
-_CELLS = 1 << 25  # words times languages in one Viterbi table
+_CELLS = 1 << 23  # words times languages in one Viterbi table
+_WORDS = 40_000  # distinct words whose n-grams are made at a time
 
 # First code points of script ranges (Unicode blocks), in order; what lies between is "other".
 SCRIPTS = [(0x41, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"),
@@ -103,11 +104,12 @@ def _training_counts(docs: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 words[lang].update(text.lower().split())
             for lang, counts in words.items():
-                features = WordFeatures(list(counts))
-                times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-                slots = np.concatenate([
-                    np.bincount(features.bucket, weights=times[features.owner], minlength=BUCKETS),
-                    np.bincount(features.letter_script, weights=times[features.letter_word], minlength=len(_NAMES))])
+                slots, known = np.zeros(BUCKETS + len(_NAMES)), list(counts)
+                all_times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+                for i in range(0, len(known), _WORDS):
+                    features, times = WordFeatures(known[i:i + _WORDS]), all_times[i:i + _WORDS]
+                    slots[:BUCKETS] += np.bincount(features.bucket, weights=times[features.owner], minlength=BUCKETS)
+                    slots[BUCKETS:] += np.bincount(features.letter_script, weights=times[features.letter_word], minlength=len(_NAMES))
                 used = np.flatnonzero(slots)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)),
                                                   pa.array(slots[used].astype(np.int64))], ["lang", "slot", "n"])
@@ -126,6 +128,10 @@ class LanguageModel:
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(scores, letters): a row of scores for each word, zero where it has no letter, and its number of letters."""
+        parts = [self._some_words(words[i:i + _WORDS]) for i in range(0, len(words), _WORDS)]
+        return np.concatenate([s for s, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _some_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         f = WordFeatures(words)
         letters = np.bincount(f.letter_word, minlength=f.n)
         scores = np.stack([np.bincount(f.owner, weights=self.score[f.bucket, k], minlength=f.n) for k in range(len(self.languages))],

@@ -31,6 +31,8 @@ QUANTILE = 0.995
 LEAST_DOCUMENTS = 50
 #: Windows in a shard, on average: 12 bytes each in a broadcast.
 SHARD_WINDOWS = 6_000_000
+#: Distinct words whose windows are made at a time: bounds a task's arrays.
+WORDS_AT_A_TIME = 40_000
 START, END = "\x02", "\x03"
 #: Stands for a word that is the same as the one before it: rare in trusted text, the rule in spun-out junk.
 DITTO = "\x04"
@@ -81,12 +83,18 @@ def _window_counts(docs: DataFrame) -> DataFrame:
             counts: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 counts.update(words_of(text))
-            if counts:
-                windows = Windows(list(counts))
-                times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-                _, first, inverse = np.unique(windows.keys, return_index=True, return_inverse=True)
-                n = np.bincount(inverse, weights=times[windows.word]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(windows.text(first), pa.string()), pa.array(n)], ["w", "n"])
+            words, times = list(counts), np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+            keys, texts, sums = [], [], []
+            for i in range(0, len(words), WORDS_AT_A_TIME):
+                windows = Windows(words[i:i + WORDS_AT_A_TIME])
+                own, first, inverse = np.unique(windows.keys, return_index=True, return_inverse=True)
+                keys.append(own)
+                texts.append(np.array(windows.text(first), dtype=object))
+                sums.append(np.bincount(inverse, weights=times[i:i + WORDS_AT_A_TIME][windows.word]))
+            if words:
+                _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+                n = np.bincount(inverse, weights=np.concatenate(sums)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(texts)[first], pa.string()), pa.array(n)], ["w", "n"])
 
     return docs.mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -157,13 +165,17 @@ def _partial_scores(docs: DataFrame, shard: DataFrame) -> DataFrame:
             index = np.concatenate(index)
             logp, n = np.zeros(len(lengths)), np.zeros(len(lengths), dtype=np.int64)
             if len(index):
-                windows = Windows(list(number))
-                at = np.minimum(np.searchsorted(keys, windows.keys), max(len(keys) - 1, 0))
-                value = np.where(keys[at] == windows.keys, values[at], 0.0) if len(keys) else np.zeros(len(windows.keys))
-                by_word = np.bincount(windows.word, weights=value, minlength=len(number))
+                by_word, sizes, words = np.zeros(len(number)), np.zeros(len(number), dtype=np.int64), list(number)
+                for i in range(0, len(words), WORDS_AT_A_TIME):
+                    part = words[i:i + WORDS_AT_A_TIME]
+                    windows = Windows(part)
+                    at = np.minimum(np.searchsorted(keys, windows.keys), max(len(keys) - 1, 0))
+                    value = np.where(keys[at] == windows.keys, values[at], 0.0) if len(keys) else np.zeros(len(windows.keys))
+                    by_word[i:i + len(part)] = np.bincount(windows.word, weights=value, minlength=len(part))
+                    sizes[i:i + len(part)] = windows.sizes
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 logp = np.bincount(doc, weights=by_word[index], minlength=len(lengths))
-                n = np.bincount(doc, weights=windows.sizes[index], minlength=len(lengths)).astype(np.int64)
+                n = np.bincount(doc, weights=sizes[index], minlength=len(lengths)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("lang"), pa.array(logp), pa.array(n)],
                                              ["row", "doc_id", "lang", "logp", "n"])
 
