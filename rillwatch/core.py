@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -91,11 +92,13 @@ def chain(pairs: Sequence[tuple[Column, Column | str]], default: Column | str |
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a folder of our own is made and set.
+    Only on a local master, as in tests, a folder of our own is made and set where that is unset.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise DataError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="rillwatch-"))
         named = context.getCheckpointDir()
     return named
@@ -112,15 +115,28 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+
+
+def byte_size(df: DataFrame) -> int:
+    """Bytes of all rows as Spark holds them: the lengths of texts, binaries and nested values, 16 for any other value."""
+    width = F.lit(48)
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(col(c)), F.lit(0)) + 8
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(col(c)))), F.lit(0)) * 2
+        else:
+            width = width + 16
+    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
 def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join aggregates back onto the rows they came from.
 
-    The aggregates are computed once, pinned and counted. Up to ``BROADCAST_ROWS`` of them are broadcast, so the large side
-    is not shuffled and a hot key costs nothing; beyond that it is an ordinary join, where adaptive execution splits skew.
+    The aggregates are computed once, pinned, and their bytes summed. Up to ``BROADCAST_BYTES`` they are broadcast, so the
+    large side is not shuffled and a hot key costs nothing; beyond that it is an ordinary join of two sides that are
+    shuffled directly, where adaptive execution splits skew.
     """
     held = pin(stats)
-    small = held.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(held) if small else held, list(keys), how)
+    return df.join(F.broadcast(held) if byte_size(held) <= BROADCAST_BYTES else held, list(keys), how)

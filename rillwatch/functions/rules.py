@@ -170,7 +170,8 @@ def alert_csv(df: DataFrame) -> Column:
     flag = F.when(c["is_zero_day"], "True").otherwise("False")
     fields = [c["alert_id"], c["sample_id"], c["severity"], c["predicted_class"], c["anomaly_score"].cast("string"),
               c["classification_confidence"].cast("string"), flag, c["message"]]
-    return F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields])
+    named = [F.coalesce(f, F.lit("")).alias(f"f{i}") for i, f in enumerate(fields)]
+    return F.to_csv(F.struct(*named), {"emptyValue": "", "escape": '"'})  # a field with a comma or a quote is quoted
 
 
 def formatted_alerts(df: DataFrame, fmt: str, at: Column) -> DataFrame:

@@ -82,8 +82,12 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def train(df: DataFrame, features: Sequence[str], label: str, trees: int = CLASSIFIER_TREES, depth: int = CLASSIFIER_DEPTH,
           min_leaf: int = CLASSIFIER_LEAF, weights: Mapping[str, float] | str | None = "balanced", seed: int = SEED) -> Classifier:
-    """Random forest with sqrt features and Gini; ``weights`` is balanced, a weight per class (others 1), or none."""
+    """Random forest with sqrt features and Gini; ``weights`` is balanced, a weight per class (others 1), or none.
+
+    Labels are trimmed.
+    """
     require(df, [*features, label])
+    df = df.withColumn(label, F.trim(col(label).cast("string")))
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error").fit(df)
     classes = list(indexer.labels)
     if not classes:

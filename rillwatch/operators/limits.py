@@ -61,7 +61,8 @@ def cool_down(df: DataFrame, source: str, ts: str, ident: str, seconds: float =
         raise DataError("the cool-down must be positive and not longer than a slice")
     # One row per source and instant: the smallest id stands for all of them.
     at = micros(col(ts))
-    times = (df.select(col(source).cast("string").alias("source"), at.alias("t"), col(ident).alias("ident"))
+    named = F.coalesce(F.concat(F.lit("="), col(source).cast("string")), F.lit("-"))  # rows without a source are one source
+    times = (df.select(named.alias("source"), at.alias("t"), col(ident).alias("ident"))
              .groupBy("source", "t").agg(F.min("ident").alias("ident")).withColumn("slice", F.floor(col("t") / width)))
     times = pin(times)
 

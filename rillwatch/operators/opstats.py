@@ -107,17 +107,23 @@ def score_histogram(df: DataFrame, score: str, group: str, bins: int = 50) -> Da
 # --- operations -----------------------------------------------------------------------------------------------------
 
 def latency_statistics(log: DataFrame, operation: str = "operation", duration: str = "duration_ms") -> DataFrame:
-    """Per operation and overall (operation NULL): count, mean, population deviation, extremes, linear percentiles, total."""
+    """Per operation and overall (``overall`` is true): count, mean, population deviation, extremes, linear percentiles, total.
+
+    Rows without an operation are a group of their own, told from the overall row by ``overall``.
+    """
     probs = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
     moments = [F.count(duration).alias("count"), F.avg(duration).alias("mean_ms"), F.stddev_pop(duration).alias("std_ms"),
                F.min(duration).alias("min_ms"), F.max(duration).alias("max_ms"), F.sum(duration).alias("total_ms")]
-    table = log.rollup(col(operation)).agg(*moments)
+    table = log.rollup(col(operation)).agg((F.grouping(col(operation)) == 1).alias("overall"), *moments)
     spread = [F.max(F.when(col("prob") == p, col("quantile"))).alias(n) for n, p in probs.items()]
     each = exact_quantiles(log, [duration], list(probs.values()), [operation]).groupBy(operation).agg(*spread)
-    whole = exact_quantiles(log, [duration], list(probs.values())).agg(*spread).withColumn(operation, F.lit(None).cast("string"))
-    quantiles = each.unionByName(whole).withColumnRenamed(operation, "_op")
-    return (table.join(quantiles, col(operation).eqNullSafe(col("_op")), "left").drop("_op")
-            .select(operation, "count", "mean_ms", "std_ms", "min_ms", "max_ms", *probs, "total_ms"))
+    whole = exact_quantiles(log, [duration], list(probs.values())).agg(*spread)
+    none = F.lit(None).cast(dict(log.dtypes)[operation])
+    quantiles = each.select(col(operation).alias("_op"), F.lit(False).alias("_all"), *probs).unionByName(
+        whole.select(none.alias("_op"), F.lit(True).alias("_all"), *probs))
+    same = (col("overall") == col("_all")) & col(operation).eqNullSafe(col("_op"))
+    return table.join(quantiles, same, "left").select(
+        operation, "overall", "count", "mean_ms", "std_ms", "min_ms", "max_ms", *probs, "total_ms")
 
 
 def throughput_statistics(log: DataFrame, operation: str = "operation") -> DataFrame:
@@ -169,9 +175,9 @@ def handler_statistics(outcomes: DataFrame, handler: str = "handler") -> DataFra
 
 
 def action_statistics(actions: DataFrame) -> DataFrame:
-    """(action_type, total, successful, failed); the row without a type is the overall one."""
+    """(action_type, overall, total, successful, failed); ``overall`` tells the row over all types from actions without one."""
     n = F.count(F.lit(1))
-    return actions.rollup("action_type").agg(n.alias("total"), count_when(col("success")).alias("successful"),
+    return actions.rollup("action_type").agg((F.grouping("action_type") == 1).alias("overall"), n.alias("total"), count_when(col("success")).alias("successful"),
                                              (n - count_when(col("success"))).alias("failed"))
 
 

@@ -72,13 +72,14 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 
 
 def fit_label_indexer(df: DataFrame, label: str, code: str) -> StringIndexerModel:
-    """Null and unseen labels are errors, as they are for the published encoder."""
-    return StringIndexer(inputCol=label, outputCol=code, stringOrderType="alphabetAsc", handleInvalid="error").fit(df)
+    """Labels are trimmed. Null and unseen labels are errors, as they are for the published encoder."""
+    trimmed = df.withColumn(label, F.trim(col(label).cast("string")))
+    return StringIndexer(inputCol=label, outputCol=code, stringOrderType="alphabetAsc", handleInvalid="error").fit(trimmed)
 
 
 def encode_labels(df: DataFrame, label: str, code: str, fitted: StringIndexerModel | None = None) -> DataFrame:
     model = fitted or fit_label_indexer(df, label, code)
-    return model.transform(df).withColumn(code, col(code).cast("int"))
+    return model.transform(df.withColumn(label, F.trim(col(label).cast("string")))).withColumn(code, col(code).cast("int"))
 
 
 def decode_labels(df: DataFrame, code: str, label: str, fitted: StringIndexerModel) -> DataFrame:
@@ -157,7 +158,7 @@ def add_split(df: DataFrame, key: Sequence[str], label: str | None, test_size: f
     """
     if test_size + val_size >= 1.0:
         raise DataError(f"test_size ({test_size}) + val_size ({val_size}) must be below 1")
-    group = F.trim(col(label)) if label else F.lit("all")
+    group = F.coalesce(F.concat(F.lit("="), F.trim(col(label))), F.lit("-")) if label else F.lit("all")  # no label is a label
     keyed = df.withColumn("_digest", hash_order(key, seed)).withColumn("_group", group)
     n_test = F.ceil(F.round(col("rows") * test_size, 9))
     n_val = F.ceil(F.round((col("rows") - n_test) * (val_size / (1 - test_size)), 9))

@@ -102,7 +102,8 @@ def _(spark, folder):
 
 @query("alerts_as_csv", f"""
   SELECT alert_id, concat_ws(',', alert_id, sample_id, severity, predicted_class, CAST(anomaly_score AS VARCHAR), CAST(classification_confidence AS VARCHAR),
-    CASE WHEN is_zero_day THEN 'True' ELSE 'False' END, message) AS line FROM ({_ALERTS}) a""")
+    CASE WHEN is_zero_day THEN 'True' ELSE 'False' END, CASE WHEN regexp_matches(message, '[,"]') THEN '"' || replace(message, '"', '""') || '"' ELSE message END) AS line
+  FROM ({_ALERTS}) a""")
 def _(spark, folder):
     return rules.formatted_alerts(rules.alert_rows(_coarse(spark, folder)), "csv", F.lit(None))
 
@@ -278,9 +279,17 @@ _LATENCY = ", ".join([f"{sql_rnd('avg(duration_ms)', 5)} AS mean_ms", f"{sql_rnd
                       f"{sql_rnd('sum(duration_ms)', 4)} AS total_ms"])
 
 
-@query("latency_statistics", f"SELECT operation, count(*) AS count, {_LATENCY} FROM ({OPERATIONS}) o GROUP BY ROLLUP (operation)")
+# The operation log with some operations unnamed.
+_UNNAMED = f"SELECT * REPLACE (CASE WHEN event_id % 11 = 3 THEN NULL ELSE operation END AS operation) FROM ({OPERATIONS}) o"
+
+
+def unnamed(spark, folder):
+    return operations(spark, folder).withColumn("operation", F.when(F.col("event_id") % 11 != 3, F.col("operation")))
+
+
+@query("latency_statistics", f"SELECT operation, GROUPING(operation) = 1 AS overall, count(*) AS count, {_LATENCY} FROM ({_UNNAMED}) o GROUP BY ROLLUP (operation)")
 def _(spark, folder):
-    s = opstats.latency_statistics(operations(spark, folder))
+    s = opstats.latency_statistics(unnamed(spark, folder))
     return rounded(s.withColumn("total_ms", rnd("total_ms", 4)), 5)
 
 
@@ -328,10 +337,10 @@ def _(spark, folder):
     return rounded(opstats.handler_statistics(operations(spark, folder)))
 
 
-@query("action_statistics", f"""SELECT operation AS action_type, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed
-  FROM ({OPERATIONS}) o GROUP BY ROLLUP (operation)""")
+@query("action_statistics", f"""SELECT operation AS action_type, GROUPING(operation) = 1 AS overall, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed
+  FROM ({_UNNAMED}) o GROUP BY ROLLUP (operation)""")
 def _(spark, folder):
-    return opstats.action_statistics(operations(spark, folder).withColumnRenamed("operation", "action_type"))
+    return opstats.action_statistics(unnamed(spark, folder).withColumnRenamed("operation", "action_type"))
 
 
 @query("last_actions", "SELECT event_id, event_type, ts FROM events ORDER BY ts DESC LIMIT 25")

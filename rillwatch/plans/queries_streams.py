@@ -61,13 +61,16 @@ def _(spark, folder):
     return alert_store.newest_days(alert_store.read_alerts(spark, path), 10).select("alert_id", "alert_date")
 
 
-@query("alerts_archived", f"SELECT place, count(*) AS n, min(CAST(timestamp AS DATE)) AS first_day FROM (SELECT *, CASE WHEN timestamp < '2024-01-15' THEN 'archive' ELSE 'current' END AS place FROM ({_SQL_ALERTS}) a) p GROUP BY place")
+@query("alerts_archived", f"SELECT place, count(*) AS n, count(DISTINCT alert_id) AS ids, min(CAST(timestamp AS DATE)) AS first_day FROM (SELECT *, CASE WHEN timestamp < '2024-01-15' THEN 'archive' ELSE 'current' END AS place FROM ({_SQL_ALERTS}) a) p GROUP BY place")
 def _(spark, folder):
     path, old = work_path(spark, "alerts"), work_path(spark, "archive")
-    alert_store.write_json(_alerts(spark, folder), path)
-    alert_store.archive(spark, path, old, date(2024, 1, 15))
-    part = lambda name, p: alert_store.read_alerts(spark, p).agg(F.lit(name).alias("place"), F.count(F.lit(1)).alias("n"), F.min("alert_date").alias("first_day"))
-    return part("archive", old).unionAll(part("current", path))
+    for run in (0, 1):  # as a stream writes them: a folder per run and day
+        alert_store.write_alerts(_alerts(spark, folder).filter(F.pmod(F.xxhash64("alert_id"), F.lit(2)) == run), path, mode="overwrite", run=run)
+    for _ in range(2):
+        alert_store.archive(spark, f"{path}/json", old, date(2024, 1, 15))
+    part = lambda name, p: alert_store.read_alerts(spark, p).agg(
+        F.lit(name).alias("place"), F.count(F.lit(1)).alias("n"), F.countDistinct("alert_id").alias("ids"), F.min("alert_date").alias("first_day"))
+    return part("archive", old).unionAll(part("current", f"{path}/json"))
 
 
 @query("alerts_dispatched", f"SELECT alert_id, sample_id, '2024-02-01' AS dispatched_at, (SELECT count(*) FROM ({_SQL_ALERTS}) b) AS dispatched FROM ({_SQL_ALERTS}) a")
@@ -88,13 +91,19 @@ def _(spark, folder):
 
 # --- suppression ----------------------------------------------------------------------------------------------------
 
+# Some rows have no source; together they are one.
 _COOL = f"""
-  WITH RECURSIVE d AS MATERIALIZED (SELECT event_id, ts, sample_id FROM ({DETECTIONS}) x WHERE is_anomaly),
-  first_rows AS (SELECT sample_id, min(ts) AS ts FROM d GROUP BY sample_id),
-  kept AS (SELECT sample_id, ts FROM first_rows
-           UNION ALL SELECT k.sample_id, (SELECT min(d.ts) FROM d WHERE d.sample_id = k.sample_id AND d.ts >= k.ts + INTERVAL 86400 SECOND) FROM kept k
-           WHERE (SELECT min(d.ts) FROM d WHERE d.sample_id = k.sample_id AND d.ts >= k.ts + INTERVAL 86400 SECOND) IS NOT NULL),
-  cooled AS (SELECT d.* FROM d JOIN kept USING (sample_id, ts))"""
+  WITH RECURSIVE d AS MATERIALIZED (SELECT *, coalesce(sample_id, '-') AS s FROM (
+           SELECT event_id, ts, CASE WHEN event_id % 13 <> 5 THEN sample_id END AS sample_id FROM ({DETECTIONS}) x WHERE is_anomaly) y),
+  first_rows AS (SELECT s, min(ts) AS ts FROM d GROUP BY s),
+  kept AS (SELECT s, ts FROM first_rows
+           UNION ALL SELECT k.s, (SELECT min(d.ts) FROM d WHERE d.s = k.s AND d.ts >= k.ts + INTERVAL 86400 SECOND) FROM kept k
+           WHERE (SELECT min(d.ts) FROM d WHERE d.s = k.s AND d.ts >= k.ts + INTERVAL 86400 SECOND) IS NOT NULL),
+  cooled AS (SELECT d.event_id, d.ts, d.sample_id FROM d JOIN kept USING (s, ts))"""
+
+
+def _sourced(spark, folder):
+    return _hits(spark, folder).withColumn("sample_id", F.when(col("event_id") % 13 != 5, col("sample_id")))
 
 
 def _hits(spark, folder):
@@ -103,7 +112,7 @@ def _hits(spark, folder):
 
 @query("cool_down", f"{_COOL} SELECT * FROM cooled")
 def _(spark, folder):
-    return limits.cool_down(_hits(spark, folder), "sample_id", "ts", "event_id", 86400, slice_seconds=172800)
+    return limits.cool_down(_sourced(spark, folder), "sample_id", "ts", "event_id", 86400, slice_seconds=172800)
 
 
 _TOP = "SELECT event_id, ts, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS r FROM {source}) y WHERE r <= 4"
@@ -116,7 +125,7 @@ def _(spark, folder):
 
 @query("cool_down_then_limit", f"{_COOL}, lim AS ({_TOP.replace('hour', 'day').format(source='cooled')}) SELECT * FROM lim")
 def _(spark, folder):
-    cooled = limits.cool_down(_hits(spark, folder), "sample_id", "ts", "event_id", 86400)
+    cooled = limits.cool_down(_sourced(spark, folder), "sample_id", "ts", "event_id", 86400)
     return limits.per_minute_limit(cooled, "ts", "event_id", 4, 86400)
 
 
@@ -254,6 +263,7 @@ def _(spark, folder):
 @query("stream_cool_down", f"{_COOL} SELECT * FROM cooled")
 def _(spark, folder):
     hits = from_events(_event_stream(spark, folder)).filter("is_anomaly").select("event_id", col("ts").cast("timestamp").alias("ts"), "sample_id")
+    hits = hits.withColumn("sample_id", F.when(col("event_id") % 13 != 5, col("sample_id")))
     cooled = stateful.cool_down_stream(hits, "sample_id", "ts", "event_id", 86400)
     return _run_to_table(spark, cooled, "cooled").withColumn("ts", col("ts").cast("timestamp_ntz"))
 

@@ -11,7 +11,8 @@ from .core import col, count_when, join_stats, one_row, present
 from .ordering import add_running_totals
 
 _ACCURACY = 10_000  # percentile_approx is at most n / accuracy ranks off
-_SMALL = 2_000_000  # up to this many values, counted first, Spark's own exact aggregate is safe
+#: One column for all group keys: a struct equals another with nulls in the same places, a null key column equals nothing.
+_BY = "_by"
 
 
 def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -48,29 +49,22 @@ def _pick(counted: DataFrame, keys: list[str], sizes: DataFrame, probs: Column)
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per (by..., column, prob).
+    """Exact quantiles with linear interpolation: one row per (by..., column, prob); null keys are a group.
 
-    The rows are counted first: up to ``_SMALL`` values go through Spark's ``percentile``, whose state holds every distinct
-    value. On a larger table without groups one pass brackets each wanted rank with ``percentile_approx`` (bounded state), and
-    only the values inside the bracket - about 4 in 10,000 - are counted by value and ordered. With groups all distinct values
-    are counted and ordered together, so a hot group is spread over the cluster.
+    Without groups one pass brackets each wanted rank with ``percentile_approx`` (bounded state), and only the values inside
+    the bracket - about 4 in 10,000 of a large table - are counted by value and ordered. With groups all distinct values are
+    counted and ordered together, so a hot group is spread over the cluster.
     """
     probs = [float(p) for p in probs]
     values = {c: present(df, c).cast("double") for c in columns}
     slack = 2.0 / _ACCURACY
     ends = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
-    if df.count() * len(columns) <= _SMALL:
-        targets = F.array(*[F.lit(p) for p in probs])
-        found = df.groupBy(*[col(b) for b in by]).agg(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.percentile(v, targets).alias("at")) for c, v in values.items()]).alias("all"))
-        return (found.select(*by, F.inline("all")).select(*by, "column", F.posexplode("at").alias("i", "quantile"))
-                .select(*by, "column", targets[col("i")].alias("prob"), "quantile").filter("quantile is not null"))
     if by:
-        keys = [*by, "column"]
-        cells = _long(df, columns, by)
+        keys = [_BY, "column"]
+        cells = _long(df.withColumn(_BY, F.struct(*[col(b) for b in by])), columns, [_BY])
         counted = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-        sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_skipped", F.lit(0))
-        return _pick(counted, keys, sizes, F.array(*[F.lit(p) for p in probs]))
+        sizes = counted.groupBy(*keys).agg(F.sum("n").alias("_rows")).withColumn("_skipped", F.lit(0))
+        return _pick(counted, keys, sizes, F.array(*[F.lit(p) for p in probs])).select(f"{_BY}.*", "column", "prob", "quantile")
 
     # One row comes back: 2 x len(probs) numbers per column.
     digest = df.agg(*[F.percentile_approx(v, ends, _ACCURACY).alias(c) for c, v in values.items()]).first()
@@ -101,9 +95,9 @@ def quantile_row(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
 
 
 def floor_index_quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Order statistics ``sorted[int(n * p)]``: one row per (by..., prob)."""
-    keys = list(by)
-    cells = _long(df, [column], by)
+    """Order statistics ``sorted[int(n * p)]``: one row per (by..., prob); null keys are a group."""
+    keys = [_BY] if by else []
+    cells = _long(df.withColumn(_BY, F.struct(*[col(b) for b in by])) if by else df, [column], keys)
     counted = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     running = add_running_totals(counted, [*keys, "value"], {"_through": "n"})
     if keys:
@@ -117,7 +111,7 @@ def floor_index_quantiles(df: DataFrame, column: str, probs: Sequence[float], by
     rank = lambda p: F.floor(p * col("_rows"))
     wanted = F.filter(F.array(*[F.lit(float(p)) for p in probs]),
                       lambda p: (rank(p) >= start) & (rank(p) < start + col("n")))
-    return ranked.withColumn("prob", F.explode(wanted)).select(*keys, "prob", col("value").alias("quantile"))
+    return ranked.withColumn("prob", F.explode(wanted)).select(*([f"{_BY}.*"] if by else []), "prob", col("value").alias("quantile"))
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -57,13 +57,14 @@ ALERT_SCHEMA = ("timestamp timestamp_ntz, alert_id string, severity string, pred
 
 def read_alerts(spark: SparkSession, path: str, fmt: str = "json", limit: int | None = None,
                 schema: str = ALERT_SCHEMA) -> DataFrame:
-    """Alerts of a folder; a filter on alert_date reads only the days it needs. ``limit`` is the caller's page size."""
+    """Alerts of a folder; a filter on alert_date reads only the days it needs. ``limit`` is the caller's page size: the
+    first alerts by time and id."""
     if fmt not in ("json", "csv"):
         raise DataError(f"unknown alert format: {fmt}")
     dated = f"{schema}, alert_date date"
     rows = (spark.read.schema(dated).json(path) if fmt == "json"
             else spark.read.schema(dated).option("header", True).csv(path))
-    return rows.limit(limit) if limit else rows
+    return rows.orderBy("timestamp", "alert_id").limit(limit) if limit else rows
 
 
 def older_than(alerts: DataFrame, cutoff: date) -> DataFrame:
@@ -80,19 +81,25 @@ def newest_days(alerts: DataFrame, days: int) -> DataFrame:
 def archive(spark: SparkSession, path: str, archive_path: str, cutoff: date, fmt: str = "json") -> int:
     """Copy the days before the cutoff to the archive, then remove their folders. Returns the number of days moved.
 
-    The rows are written before anything is removed, so an interruption leaves them in both places and not in none. The
-    loop is over days.
+    Works on folders per day and on those per run and day that a stream writes. The rows are written before anything is
+    removed, so an interruption leaves them in both places and not in none; run again, it leaves out the alerts that the
+    archive has already. The loop is over days.
     """
-    old = older_than(read_alerts(spark, path, fmt), cutoff)
+    old = older_than(read_alerts(spark, path, fmt), cutoff).drop("run")
     days = [r[0] for r in old.select("alert_date").distinct().collect()]
     if not days:
         return 0
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(hadoop.Path(archive_path)):
+        had = read_alerts(spark, archive_path, fmt).select("alert_id", "alert_date")
+        old = old.join(had, ["alert_id", "alert_date"], "left_anti")
     writer = old.write.mode("append").partitionBy("alert_date")
     writer.option("timestampNTZFormat", _MICROS).json(archive_path) if fmt == "json" else writer.option("header", True).csv(archive_path)
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for day in days:
-        folder = hadoop.Path(f"{path}/alert_date={day}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        for layout in (f"{path}/alert_date={day}", f"{path}/run=*/alert_date={day}"):
+            for found in files.globStatus(hadoop.Path(layout)) or []:
+                files.delete(found.getPath(), True)
     return len(days)
 
 

@@ -36,7 +36,7 @@ def _run(name: str, handler: Handler, batch: DataFrame, batch_id: int) -> tuple:
         handler(batch, batch_id)
         return batch_id, name, True, None
     except Exception as error:  # one failing handler must not stop the stream or the others
-        return batch_id, name, False, str(error)[:2000]
+        return batch_id, name, False, str(error)
 
 
 def dispatcher(handlers: Mapping[str, Handler], outcome_path: str, route: str = "all") -> Handler:
