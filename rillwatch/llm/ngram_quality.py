@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ LEAST_DOCUMENTS = 50
 SHARD_WINDOWS = 6_000_000
 #: Distinct words whose windows are made at a time: bounds a task's arrays.
 WORDS_AT_A_TIME = 40_000
+TEXT_AT_A_TIME = 8 << 20
 START, END = "\x02", "\x03"
 #: Stands for a word that is the same as the one before it: rare in trusted text, the rule in spun-out junk.
 DITTO = "\x04"
@@ -67,6 +69,17 @@ class Windows:
         return [flat[i:i + ORDER] for i in range(0, len(flat), ORDER)]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``TEXT_AT_A_TIME`` bytes of text."""
+    upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        done = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, done + TEXT_AT_A_TIME, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def window_keys(columns: list[np.ndarray]) -> np.ndarray:
     """A 64-bit key for each window, from its characters."""
     mixed = np.zeros(len(columns[0]), dtype=np.uint64)
@@ -154,7 +167,7 @@ def _partial_scores(docs: DataFrame, shard: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = held.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             number: dict[str, int] = defaultdict()
             number.default_factory = number.__len__
             lengths, index = [], []
