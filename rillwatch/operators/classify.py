@@ -116,13 +116,14 @@ def validate(model: Classifier, df: DataFrame, label: str) -> DataFrame:
     return metrics.class_report(metrics.pair_counts(model.predict(df), label, "predicted_label"))
 
 
-def permuted(df: DataFrame, columns: Sequence[str], key: Sequence[str], seed: int) -> DataFrame:
+def permuted(df: DataFrame, columns: Sequence[str], key: Sequence[str], seed: int, placed: DataFrame | None = None) -> DataFrame:
     """The rows with ``_p_{column}``: the values of a row drawn without replacement in the order of a digest.
 
     The row at place i in key order is paired with the row at place i in digest order: a permutation found by two range sorts
-    and one join on the place, never by collecting the table.
+    and one join on the place, never by collecting the table. ``placed`` is ``df`` with its places ``_at`` in key order, for
+    callers that permute more than once.
     """
-    own = add_position(df, [*key], "_at")
+    own = add_position(df, [*key], "_at") if placed is None else placed
     other = df.select(*[col(c).alias(f"_p_{c}") for c in columns], hash_order(key, seed).alias("_lot"))
     return own.join(add_position(other, ["_lot"], "_at").drop("_lot"), "_at").drop("_at")
 
@@ -140,8 +141,10 @@ def permutation_importance(df: DataFrame, model: Classifier, label: str, key: Se
     measure = {"accuracy": "accuracy", "f1": "weighted_f1_score", "precision": "weighted_precision", "recall": "weighted_recall"}[scoring]
     before = metrics.overall(base).first()[measure]
     parts = []
+    rows = df.select(*[col(k) for k in key], *[col(c) for c in names], col(label).alias("_true"))
+    placed = pin(add_position(rows, [*key], "_at"))
     for repeat in range(repeats):
-        swapped = permuted(df.select(*[col(k) for k in key], *[col(c) for c in names], col(label).alias("_true")), names, key, seed + repeat)
+        swapped = permuted(rows, names, key, seed + repeat, placed)
         versions = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), *[
             col(f"_p_{x}" if x == c else x).alias(x) for x in names]) for c in names]))
         scored = model.predict(swapped.select("_true", versions.alias("v")).select("_true", "v.*"))

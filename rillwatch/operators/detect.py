@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,13 +30,17 @@ def detect(df: DataFrame, forest: Forest | None, classifier: Classifier | None,
 
     Rows are scored once and held (pinned; a stream passes its own way of holding). Only flagged rows go through the
     classifier; the rest is unioned back, so no join is needed. A row without usable features stays as class ERROR.
+    ``detection_latency_ms`` is the time of the scoring pass divided by its rows, the same for all rows of a call.
     """
     rows = df.withColumn("sample_id", sample_id.cast("string"))
     if forest is None:
         scored = rows.withColumns({"_error": F.lit(False), "decision": F.lit(None).cast("double")})
     else:
         scored = forest.decide(rows.withColumn("_error", _broken(rows, forest.features))).drop("raw_score", "prediction")
+    began = time.perf_counter()
     scored = hold(scored.withColumn("is_anomaly", F.coalesce(~col("_error") & (col("decision") < 0), F.lit(False))))
+    rows_scored = scored.count()  # where ``hold`` is lazy, this is the pass
+    latency_ms = (time.perf_counter() - began) * 1000 / max(1, rows_scored)
     normal = scored.filter("not is_anomaly").withColumns({
         "predicted_label": F.lit(BENIGN), "confidence": F.lit(1.0), "probabilities": F.create_map().cast(_NO_PROBABILITIES)})
     flagged = scored.filter("is_anomaly")
@@ -54,7 +59,7 @@ def detect(df: DataFrame, forest: Forest | None, classifier: Classifier | None,
         F.lit(forest.threshold if forest else 0.5).alias("anomaly_threshold"), label.alias("predicted_class"),
         F.when(col("_error"), 0.0).otherwise(col("confidence")).alias("classification_confidence"),
         col("probabilities").alias("class_probabilities"), zero_day.alias("is_zero_day"),
-        F.lit(0.0).alias("detection_latency_ms"),
+        F.lit(latency_ms).alias("detection_latency_ms"),
         F.when(col("_error"), F.create_map(F.lit("error"), F.lit("missing or infinite feature")))
         .otherwise(F.create_map().cast("map<string,string>")).alias("metadata"))
     severity = severity_plain(col("anomaly_score"), col("classification_confidence"), col("is_zero_day"))

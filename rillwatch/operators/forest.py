@@ -6,6 +6,7 @@ small grouped task; the grown forest has at most trees x (2 x max_samples - 1) n
 
 from __future__ import annotations
 
+import math
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
@@ -149,19 +150,27 @@ def sample_trees(df: DataFrame, features: Sequence[str], key: Sequence[str], row
     values = [F.coalesce(F.when(~is_infinite(present(df, c)), present(df, c).cast("double")), F.lit(0.0)).alias(f"_f{i}")
               for i, c in enumerate(features)]
     share = min(1.0, 4.0 * sample / rows)
-    if share * trees >= 1.0 or share == 1.0:
-        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(F.xxhash64("_lot", t)) < share)
-        some = (df.select(*values, *[col(k).alias(f"_k{i}") for i, k in enumerate(key)],
-                          F.xxhash64(*keys, F.lit(seed)).alias("_lot")).withColumn("tree", F.explode(drawn)))
-    else:  # a row is drawn by at most one tree: with so few draws per row the samples stay independent enough
-        lot = F.xxhash64(*keys, F.lit(seed))
-        some = df.filter(unit(lot) < share * trees).select(
-            *values, *[col(k).alias(f"_k{i}") for i, k in enumerate(key)],
-            F.pmod(F.xxhash64(*keys, F.lit(seed + 1)), F.lit(trees)).cast("int").alias("tree"))
+    # How many trees draw a row is binomial, read off its hash; most rows of a large table have none and end here.
+    lot = F.xxhash64(*keys, F.lit(seed))
+    upto = _binomial_upto(trees, share)
+    times = F.size(F.filter(F.array(*[F.lit(p) for p in upto]), lambda p: unit(col("_lot")) >= p))
+    ranked_trees = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        F.xxhash64("_lot", t, F.lit(seed + 1)).alias("r"), t.alias("tree"))))
+    some = (df.filter(unit(lot) >= upto[0]).select(*values, *[col(k).alias(f"_k{i}") for i, k in enumerate(key)], lot.alias("_lot"))
+            .withColumn("_t", F.explode(F.slice(ranked_trees, F.lit(1), times))).withColumn("tree", F.col("_t.tree")))
     rank = F.xxhash64(*[col(f"_k{i}") for i in range(len(key))], col("tree"), F.lit(seed + 2))
     return some.select("tree", rank.alias("_rank"), *[col(f"_f{i}").alias(c) for i, c in enumerate(features)])
 
 
+def _binomial_upto(n: int, p: float) -> list[float]:
+    """Chances of at most 0, 1, ..., n - 1 successes in n draws."""
+    if p >= 1.0:
+        return [0.0] * n
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+            for k in range(n)]
+    return np.minimum(np.cumsum(np.exp(logs)), 1.0).tolist()
+
+
 def fit(df: DataFrame, features: Sequence[str], key: Sequence[str], trees: int = FOREST_TREES,
         max_samples: int | float | str = "auto", contamination: float = FOREST_CONTAMINATION, max_features: float = 1.0,
         bootstrap: bool = False, seed: int = SEED, exact: bool = True) -> Forest:

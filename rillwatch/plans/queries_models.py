@@ -9,7 +9,7 @@ from ..core import col, pin, work_path
 from ..functions import rules
 from ..operators import classify, clean, detect, forest, opstats, prepare
 from . import pipelines
-from .inputs import DIRTY, NUMERIC, dirty, spread, table
+from .inputs import CLASS_SQL, DIRTY, NUMERIC, dirty, spread, table
 from .registry import query, rnd, rounded, sql_rnd
 
 _N = list(NUMERIC)
@@ -173,14 +173,27 @@ _LABEL = "label"
 
 
 def _vectors(spark, folder):
-    """Embeddings as flows: twelve dimensions, the label as class name."""
+    """Embeddings as flows: all dimensions, the label as class name."""
     e = table(spark, folder, "embeddings")
-    return e.select("vec_id", *[col("embedding")[i].cast("double").alias(f"x{i}") for i in range(12)],
+    return e.select("vec_id", *[col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_X)],
                     F.concat(F.lit("class_"), col("label").cast("string")).alias(_LABEL))
 
 
-_X = [f"x{i}" for i in range(12)]
-_SMALL = {"trees": 12, "depth": 5}
+_X = [f"x{i}" for i in range(64)]
+
+# Events whose class each of three features determines: whatever forest is grown, its answers are known.
+_CODE = "CASE event_type WHEN 'view' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END"
+_TOLD = f"(SELECT event_id, ts, user_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, {_CODE} AS code, {CLASS_SQL} AS label FROM events)"
+_TOLD_X = ["a", "b", "c"]
+
+
+def _told(spark, folder):
+    e = _events(spark, folder).join(table(spark, folder, "events").select("event_id", F.expr(_CODE).alias("code")), "event_id")
+    return e.withColumns({"a": col("code") * 10.0, "b": col("code") * 2 % 5 * 1.0, "c": -col("code") * 1.0}).drop("code").withColumnRenamed("Label", _LABEL)
+
+
+def _told_classifier(spark, folder):
+    return classify.train(_told(spark, folder), _TOLD_X, _LABEL)
 
 
 @query("class_weights", """SELECT label, n, round(total / (classes * n)::DOUBLE, 9) AS weight FROM (
@@ -189,42 +202,57 @@ def _(spark, folder):
     return rounded(classify.class_weights(_vectors(spark, folder), _LABEL), 9)
 
 
-@query("classified_rows")
+@query("classified_rows", f"SELECT event_id, label, label AS predicted_label, code AS predicted_code, 1.0::DOUBLE AS confidence FROM {_TOLD} t")
 def _(spark, folder):
-    v = _vectors(spark, folder)
-    return classify.train(v, _X, _LABEL, **_SMALL).predict(v).select("vec_id", _LABEL, "predicted_label", "predicted_code", rnd("confidence").alias("confidence"))
+    found = _told_classifier(spark, folder).predict(_told(spark, folder))
+    return found.select("event_id", _LABEL, "predicted_label", "predicted_code", rnd("confidence").alias("confidence"))
 
 
 @query("classified_with_probabilities", "SELECT count(*) AS rows, count(*) AS sums_to_one, count(*) AS confident_in_label FROM embeddings")
 def _(spark, folder):
     v = _vectors(spark, folder)
-    p = classify.train(v, _X, _LABEL, weights={"class_1": 3.0}, **_SMALL).predict(v)
+    p = classify.train(v, _X, _LABEL, weights={"class_1": 3.0}).predict(v)
     total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda s, x: s + x)
     return p.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
                  F.count_if(F.abs(F.element_at("probabilities", col("predicted_label")) - col("confidence")) < 1e-12).alias("confident_in_label"))
 
 
-@query("classifier_validated")
+@query("classifier_validated", f"""
+  WITH v AS (SELECT label, count(*) AS n FROM {_TOLD} t WHERE event_id % 10 >= 7 GROUP BY label)
+  SELECT label AS class, n AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, CAST((SELECT sum(n) FROM v) - n AS BIGINT) AS tn, n AS support, 1.0::DOUBLE AS precision,
+         1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1_score FROM v""")
 def _(spark, folder):
-    v = prepare.add_split(_vectors(spark, folder), ["vec_id"], _LABEL)
-    report = classify.train_with_validation(v.filter("split = 'train'"), _X, _LABEL, v.filter("split <> 'train'"), **_SMALL)[1]
+    v = _told(spark, folder)
+    report = classify.train_with_validation(v.filter("event_id % 10 < 7"), _TOLD_X, _LABEL, v.filter("event_id % 10 >= 7"))[1]
     return rounded(report)
 
 
-@query("classifier_importance")
+# One feature that determines the class, one that is the same everywhere.
+def _plain(spark, folder):
+    return _told(spark, folder).withColumn("flat", F.lit(0.0))
+
+
+@query("classifier_importance", "SELECT * FROM (VALUES ('a', 1.0::DOUBLE, 1), ('flat', 0.0::DOUBLE, 2)) v(feature, importance, rank)")
 def _(spark, folder):
-    return rounded(classify.train(_vectors(spark, folder), _X, _LABEL, **_SMALL).importance())
+    return rounded(classify.train(_plain(spark, folder), ["a", "flat"], _LABEL).importance())
 
 
-@query("classifier_importance_by_class")
+@query("classifier_importance_by_class", f"""SELECT v.*, class FROM (VALUES ('a', 1.0::DOUBLE, 1), ('flat', 0.0::DOUBLE, 2)) v(feature, importance, rank),
+  (SELECT DISTINCT label AS class FROM {_TOLD} t) c""")
 def _(spark, folder):
-    return rounded(classify.train(_vectors(spark, folder), _X, _LABEL, **_SMALL).importance_by_class())
+    return rounded(classify.train(_plain(spark, folder), ["a", "flat"], _LABEL).importance_by_class())
 
 
-@query("permutation_importance")
+@query("permutation_importance", f"""
+  WITH s AS (SELECT unnest(range(42, 52)) AS seed),
+       x AS (SELECT seed, label, row_number() OVER (PARTITION BY seed ORDER BY event_id) AS i FROM {_TOLD} t, s),
+       y AS (SELECT seed, label, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(event_id AS VARCHAR) || '|' || seed)) AS i FROM {_TOLD} t, s),
+       l AS (SELECT seed, 1.0 - avg((x.label = y.label)::INT) AS loss FROM x JOIN y USING (seed, i) GROUP BY seed)
+  SELECT 'a' AS feature, {sql_rnd('avg(loss)')} AS importance_mean, {sql_rnd('stddev_pop(loss)')} AS importance_std, 1 AS rank FROM l
+  UNION ALL SELECT 'flat', 0.0, 0.0, 2""")
 def _(spark, folder):
-    v = _vectors(spark, folder)
-    return rounded(classify.permutation_importance(v, classify.train(v, _X[:6], _LABEL, **_SMALL), _LABEL, ["vec_id"], repeats=2))
+    v = _plain(spark, folder)
+    return rounded(classify.permutation_importance(v, classify.train(v, ["a", "flat"], _LABEL), _LABEL, ["event_id"]))
 
 
 @query("permuted_column", """
@@ -239,7 +267,7 @@ def _(spark, folder):
 @query("classifier_saved_and_loaded", "SELECT count(*) AS rows, count(*) AS equal_labels FROM embeddings")
 def _(spark, folder):
     v, path = _vectors(spark, folder), work_path(spark, "classifier")
-    model = classify.train(v, _X, _LABEL, **_SMALL)
+    model = classify.train(v, _X, _LABEL)
     model.save(path)
     again = classify.Classifier.load(path).predict(v.drop(_LABEL)).select("vec_id", col("predicted_label").alias("b"))
     both = model.predict(v).select("vec_id", col("predicted_label").alias("a")).join(again, "vec_id")
@@ -261,7 +289,47 @@ def models(spark, folder):
             classify.train(e, ["value", "k"], "Label", trees=8, depth=4))
 
 
-@query("two_stage_detections")
+def _detector():
+    """A forest of two written-out trees over value and k."""
+    rows = []
+    for t in range(2):
+        rows += [(t, 0, t, (30.0, 40.0)[t], 1, 2, 0.0), (t, 1, 1 - t, (40.0, 30.0)[t], 3, 4, 0.0), (t, 2, -1, 0.0, -1, -1, 1.0 + t * 0.5),
+                 (t, 3, -1, 0.0, -1, -1, 2.0), (t, 4, -1, 0.0, -1, -1, 3.0)]
+    nodes = pd.DataFrame(rows, columns=["tree", "node", "feature", "split", "left", "right", "path"])
+    return forest.given_nodes(nodes, ["value", "k"], 256, offset=-0.88, threshold=0.6)
+
+
+_TWO_STAGE = f"""
+  WITH p AS (SELECT *, (CASE WHEN value <= 30.0 THEN CASE WHEN k <= 40.0 THEN 2.0 ELSE 3.0 END ELSE 1.0 END::DOUBLE
+                        + CASE WHEN k <= 40.0 THEN CASE WHEN value <= 30.0 THEN 2.0 ELSE 3.0 END ELSE 1.5 END::DOUBLE) / 2.0 AS path FROM {_TOLD} t),
+       d AS (SELECT *, -pow(2.0, -path / {_UNIT!r}) + 0.88 AS decision FROM p),
+       z AS (SELECT *, decision < 0 AS is_anomaly, 1.0 / (1.0 + exp(decision)) AS anomaly_score, decision < 0 AND label = 'BENIGN' AS is_zero_day FROM d),
+       found AS (SELECT event_id, 'user_' || user_id AS sample_id, is_anomaly, anomaly_score, is_zero_day,
+                        CASE WHEN is_zero_day THEN 'ZERO_DAY' WHEN is_anomaly THEN label ELSE 'BENIGN' END AS predicted_class, 1.0::DOUBLE AS classification_confidence,
+                        CASE WHEN anomaly_score >= 0.9 OR is_zero_day THEN 'critical' WHEN anomaly_score >= 0.7 THEN 'high'
+                             WHEN anomaly_score >= 0.5 THEN 'medium' ELSE 'low' END AS severity, label FROM z)"""
+
+
+def _two_stages(spark, folder):
+    return detect.detect(_told(spark, folder), _detector(), _told_classifier(spark, folder), F.concat(F.lit("user_"), col("user_id").cast("string")))
+
+
+@query("two_stage_detections", f"""{_TWO_STAGE}
+  SELECT 'total' AS breakdown, '' AS key, count(*) AS n, count(*) FILTER (is_zero_day) AS zero_days FROM found
+  UNION ALL SELECT 'severity', severity, count(*), count(*) FILTER (is_zero_day) FROM found GROUP BY severity
+  UNION ALL SELECT 'class', predicted_class, count(*), count(*) FILTER (is_zero_day) FROM found GROUP BY predicted_class""")
+def _(spark, folder):
+    return rounded(opstats.breakdown(_two_stages(spark, folder)))
+
+
+@query("two_stage_rows", f"""{_TWO_STAGE}
+  SELECT event_id, sample_id, is_anomaly, {sql_rnd('anomaly_score')} AS anomaly_score, is_zero_day, predicted_class, classification_confidence, severity FROM found""")
+def _(spark, folder):
+    return rounded(_two_stages(spark, folder).select("event_id", "sample_id", "is_anomaly", "anomaly_score", "is_zero_day", "predicted_class",
+                                                     "classification_confidence", "severity"))
+
+
+@query("two_stage_fitted")
 def _(spark, folder):
     detector, classifier = models(spark, folder)
     found = detect.detect(_events(spark, folder), detector, classifier, F.concat(F.lit("user_"), col("user_id").cast("string")))
@@ -277,27 +345,32 @@ def _(spark, folder):
                      F.bool_and(col("is_anomaly") == col("is_zero_day")).alias("all_zero_day"))
 
 
-@query("flagged_rows_classified", "SELECT event_id, TRUE AS benign_if_normal FROM events")
+@query("flagged_rows_classified", f"SELECT event_id, CASE WHEN value > 60 THEN label ELSE 'BENIGN' END AS final_label FROM {_TOLD} t")
 def _(spark, folder):
-    e = _events(spark, folder).withColumn("flag", col("value") > 60)
-    classifier = classify.train(e, ["value", "k"], "Label", trees=8, depth=4)
-    out = detect.classify_flagged(e, "flag", classifier)
-    return out.select("event_id", (col("flag") | (col("final_label") == "BENIGN")).alias("benign_if_normal"))
+    e = _told(spark, folder).withColumn("flag", col("value") > 60)
+    return detect.classify_flagged(e, "flag", _told_classifier(spark, folder)).select("event_id", "final_label")
 
 
-@query("model_reports")
+@query("model_reports", f"""{_TWO_STAGE},
+  j AS (SELECT (label <> 'BENIGN')::INT AS t, is_anomaly::INT AS p FROM found),
+  c AS (SELECT cls, count(*) FILTER (t = cls AND p = cls) AS tp, count(*) FILTER (t <> cls AND p = cls) AS fp, count(*) FILTER (t = cls AND p <> cls) AS fn FROM j, (SELECT unnest([0, 1]) AS cls) u GROUP BY cls),
+  f AS (SELECT tp + fn AS support, CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (2.0 * tp + fp + fn) END AS f1 FROM c)
+  SELECT 'anomaly_detection_evaluation' AS experiment_name, {sql_rnd('(SELECT avg((t = p)::INT) FROM j)')} AS accuracy, {sql_rnd('sum(f1 * support) / sum(support)')} AS f1_score,
+         (SELECT count(*) FROM j) AS total_samples, 2 AS classes FROM f
+  UNION ALL SELECT 'classification_evaluation', 1.0, 1.0, count(*), count(DISTINCT label)::INT FROM found""")
 def _(spark, folder):
-    detector, classifier = models(spark, folder)
-    r = pipelines.model_reports(_events(spark, folder), "Label", detector, classifier)
+    r = pipelines.model_reports(_told(spark, folder), _LABEL, _detector(), _told_classifier(spark, folder))
     return rounded(r.select("experiment_name", "summary.accuracy", "summary.f1_score", "summary.total_samples", F.size("per_class").alias("classes")))
 
 
-@query("backtest_report")
+@query("backtest_report", f"""{_TWO_STAGE},
+  w AS (SELECT (row_number() OVER (ORDER BY event_id) - 1) // 100 AS w, ((label <> 'BENIGN') = is_anomaly)::INT AS ok FROM found),
+  a AS (SELECT count(*) AS n, avg(ok) AS accuracy FROM w GROUP BY w)
+  SELECT CAST(sum(n) AS BIGINT) AS samples, count(*) AS windows, {sql_rnd('(SELECT avg(ok) FROM w)')} AS accuracy, {sql_rnd('min(accuracy)')} AS worst_window FROM a""")
 def _(spark, folder):
     from ..operators.curves import backtest
     e = _events(spark, folder)
-    detector = forest.fit(e, ["value", "k"], ["event_id"], trees=20)
-    judged = detector.decide(e).select("event_id", clean.binary_label(col("Label")).alias("y"), (col("prediction") == -1).cast("int").alias("flag"))
+    judged = _detector().decide(e).select("event_id", clean.binary_label(col("Label")).alias("y"), (col("prediction") == -1).cast("int").alias("flag"))
     windows = backtest(judged, ["event_id"], "y", "flag", 100)
     return rounded(windows.agg(F.sum("samples").alias("samples"), F.count(F.lit(1)).alias("windows"),
                                ((F.sum("tp") + F.sum("tn")) / F.sum("samples")).alias("accuracy"), F.min("accuracy").alias("worst_window")))

@@ -57,8 +57,6 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """
     probs = [float(p) for p in probs]
     values = {c: present(df, c).cast("double") for c in columns}
-    slack = 2.0 / _ACCURACY
-    ends = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
     if by:
         keys = [_BY, "column"]
         cells = _long(df.withColumn(_BY, F.struct(*[col(b) for b in by])), columns, [_BY])
@@ -66,8 +64,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         sizes = counted.groupBy(*keys).agg(F.sum("n").alias("_rows")).withColumn("_skipped", F.lit(0))
         return _pick(counted, keys, sizes, F.array(*[F.lit(p) for p in probs])).select(f"{_BY}.*", "column", "prob", "quantile")
 
-    # One row comes back: 2 x len(probs) numbers per column.
-    digest = df.agg(*[F.percentile_approx(v, ends, _ACCURACY).alias(c) for c, v in values.items()]).first()
+    # One row comes back, twice: a count per column, and 2 x len(probs) numbers per column. The bracket is as wide as the
+    # digest is inexact, and two values at least on either side.
+    sizes = df.agg(*[F.count(v).alias(c) for c, v in values.items()]).first()
+
+    def ends(c: str) -> list[float]:
+        slack = 2.0 / min(_ACCURACY, max(1, sizes[c]))
+        return [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+
+    digest = df.agg(*[F.percentile_approx(v, ends(c), _ACCURACY).alias(c) for c, v in values.items()]).first()
     cells, below = [], []
     for c, v in values.items():
         for i, p in enumerate(probs):

@@ -23,15 +23,46 @@ def skewed(spark):
                                     F.when(col("id") % 3 == 0, 5.0).otherwise((col("id") * 7919 % 1000) / 10.0).alias("v")).repartition(6)
 
 
-@pytest.mark.parametrize("by", [[], ["g"]])
-def test_large_quantile_path_equals_spark(skewed, monkeypatch, by):
+@pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
+@pytest.mark.parametrize("accuracy", [200, 10_000])
+def test_quantiles_equal_spark_with_null_groups(skewed, monkeypatch, by, accuracy):
+    """The same path at every size: a coarse digest stands for a large table. Null keys are groups."""
     probs = [0.0, 0.005, 0.333, 0.5, 0.95, 1.0]
-    small = {(*[r[b] for b in by], r.column, r.prob): r.quantile for r in quantiles.exact_quantiles(skewed, ["v", "id"], probs, by).collect()}
-    monkeypatch.setattr(quantiles, "_SMALL", 0)
-    monkeypatch.setattr(quantiles, "_ACCURACY", 200)
-    large = {(*[r[b] for b in by], r.column, r.prob): r.quantile for r in quantiles.exact_quantiles(skewed, ["v", "id"], probs, by).collect()}
-    assert small.keys() == large.keys()
-    assert all(small[k] == pytest.approx(large[k], rel=1e-12) for k in small)
+    rows = skewed.withColumns({"g": F.when(col("g") != "s3", col("g")), "h": F.when(col("id") % 5 > 0, col("id") % 2)})
+    at = F.array(*[F.lit(p) for p in probs])
+    want = {}
+    for c in ("v", "id"):
+        for r in rows.groupBy(*by).agg(F.percentile(c, at).alias("q")).collect():
+            want |= {(*[r[b] for b in by], c, p): q for p, q in zip(probs, r.q)}
+    monkeypatch.setattr(quantiles, "_ACCURACY", accuracy)
+    got = {(*[r[b] for b in by], r.column, r.prob): r.quantile for r in quantiles.exact_quantiles(rows, ["v", "id"], probs, by).collect()}
+    assert got == pytest.approx(want, rel=1e-12)
+    if by:
+        floors = {(*[r[b] for b in by], r.prob) for r in quantiles.floor_index_quantiles(rows, "v", [0.5], by).collect()}
+        assert floors == {(*k[:len(by)], 0.5) for k in want}
+
+
+def test_cool_down_keeps_rows_without_a_source(spark):
+    rows = spark.range(100).select("id", F.timestamp_seconds(F.col("id") * 30).alias("ts"), F.when(col("id") % 4 > 0, F.lit("a")).alias("s"))
+    kept = limits.cool_down(rows, "s", "ts", "id", 60, slice_seconds=600).collect()
+    assert sorted(r.id for r in kept if r.s is None) == list(range(0, 100, 4))
+
+
+def test_forest_samples_are_binomial(spark):
+    from rillwatch.operators import forest
+    rows = spark.range(4000).select("id", F.rand(1).alias("x"))
+    for trees, sample in ((20, 50), (200, 400), (5, 4000)):  # share of a row per tree: 0.05, 0.4, 1
+        drawn = forest.sample_trees(rows, ["x"], ["id"], 4000, trees, sample, 3)
+        sizes = [r["count"] for r in drawn.groupBy("tree").count().collect()]
+        share = min(1.0, 4 * sample / 4000)
+        assert len(sizes) == trees and abs(sum(sizes) / (trees * 4000 * share) - 1) < 0.05
+        assert drawn.select("tree", "_rank").distinct().count() == sum(sizes)
+
+
+def test_split_places_rows_without_a_label(spark):
+    rows = spark.range(400).select("id", F.when(col("id") % 2 == 0, F.concat(F.lit(" "), F.lit("b"))).alias("label"))
+    sizes = {(r.label, r.split): r["count"] for r in prepare.add_split(rows, ["id"], "label").groupBy("label", "split").count().collect()}
+    assert {k[1]: v for k, v in sizes.items() if k[0] is None} == {k[1]: v for k, v in sizes.items() if k[0]}
 
 
 def test_position_and_totals_with_a_hot_value(skewed):
