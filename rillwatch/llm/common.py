@@ -1,10 +1,9 @@
-"""What the training-data operators share: words, white space, checked broadcasts, Arrow batches."""
+"""What the training-data operators share: words, white space, checked broadcasts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +30,6 @@ def whole_rows(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, barrier: Callable | None = None) -> DataFrame:
-    """Arrow batch in, a dict of columns out."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, pa.Array) else v for v in out.values()], list(out))
-
-    return df.mapInArrow(run, schema)
-
-
 def join_checked(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left",
                  limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join a table that is expected to be small.

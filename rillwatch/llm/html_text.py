@@ -40,7 +40,11 @@ _AWAY_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
                "sidebar", "aside", "widget", "widgets", "related", "recommended", "share", "sharing", "social", "comment", "comments",
                "commentlist", "reply", "replies", "respond", "disqus", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs",
                "footer", "masthead", "newsletter", "subscribe", "subscription", "signup", "login", "search", "toolbar", "pagination",
-               "pager", "tags", "copyright", "disclaimer", "skip"}
+               "pager", "tags", "copyright", "disclaimer", "skip", "rail", "teaser"}
+#: These only say so outside a marked article, where they may name its own head.
+_AWAY_WORDS_OUTSIDE = {"header", "topbar", "logo", "brand"}
+#: An article is left out for these alone: a class such as "has-sidebar" tells of the page around it.
+_AWAY_ARTICLES = {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "teaser", "related"}
 #: Elements whose start ends an open paragraph, list item or cell of the same family.
 _CLOSED_BY = {"p": {"p", "div", "ul", "ol", "li", "table", "section", "article", "aside", "footer", "header", "nav", "form", "h1", "h2",
                     "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "hr", "main", "address", "dl", "fieldset", "details"},
@@ -63,8 +67,11 @@ def _is_away(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "role" and value.lower() in _AWAY_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id") and not _AWAY_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-            return True
+        if name in ("class", "id"):
+            words = {w.lower() for w in _WORDS.findall(value)}
+            wanted = _AWAY_ARTICLES if tag == "article" else _AWAY_WORDS if in_article else _AWAY_WORDS | _AWAY_WORDS_OUTSIDE
+            if words & wanted:
+                return True
     return False
 
 
@@ -142,6 +149,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             continue
         is_away = _is_away(tag, token.group(3), marked > 0)
         is_marked = not is_away and (tag in ("article", "main") or 'role="main"' in token.group(3))
+        if is_marked and away and not any(m for _, _, m in lines) and all(t in ("div", "section") for t, a, _ in stack if a):
+            # the page's first article lies in it: its class told of more than what is left out ("content-with-sidebar")
+            stack[:] = [(t, False, m) for t, _, m in stack]
+            away = 0
         if is_away or is_marked:
             if not away:
                 end_line()
