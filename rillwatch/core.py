@@ -105,8 +105,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; it is removed when the application ends."""
+    parent = f"{shared_folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{parent}/{name}"
 
 
 def pin(df: DataFrame) -> DataFrame:
