@@ -148,9 +148,13 @@ def anchored_minute_limit(df: DataFrame, ts: str, ident: str, limit: int = ALERT
 
 
 def alert_limits(df: DataFrame, source: str, ts: str, ident: str, seconds: float = COOL_DOWN_SECONDS,
-                 limit: int = ALERTS_PER_MINUTE) -> DataFrame:
-    """Cool-down first; only what passes it counts against the minute."""
-    return per_minute_limit(cool_down(df, source, ts, ident, seconds), ts, ident, limit)
+                 limit: int = ALERTS_PER_MINUTE, minute_seconds: float = 60) -> DataFrame:
+    """Cool-down first; only what passes it counts against the minute, which starts at its first alert.
+
+    The second step sees at most one alert per source and cool-down, pinned between the two.
+    """
+    cooled = pin(cool_down(df, source, ts, ident, seconds))
+    return anchored_minute_limit(cooled, ts, ident, limit, minute_seconds)
 
 
 def action_limit(df: DataFrame, ts: str, ident: str, limit: int = ACTIONS_PER_MINUTE, seconds: int = 60,

@@ -354,6 +354,12 @@ def _(spark, folder):
     return opstats.with_batches(table(spark, folder, "events").select("event_id", "ts"), ["ts", "event_id"], 32, 5000).drop("ts")
 
 
+@query("stream_batches_all", """
+  SELECT event_id, rn AS position, rn // 32 AS batch_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn FROM events) x""")
+def _(spark, folder):
+    return opstats.with_batches(table(spark, folder, "events").select("event_id", "ts"), ["ts", "event_id"], 32).drop("ts")
+
+
 @query("row_range", "SELECT event_id, rn AS position FROM (SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS rn FROM events) x WHERE rn >= 200 AND rn < 321")
 def _(spark, folder):
     return opstats.row_range(table(spark, folder, "events").select("event_id", "value"), ["value", "event_id"], 200, 321).drop("value")

@@ -138,6 +138,15 @@ def _(spark, folder):
     return limits.anchored_minute_limit(_hits(spark, folder), "ts", "event_id", 4, 3600)
 
 
+@query("alerts_limited", f"""{_COOL},
+  c AS MATERIALIZED (SELECT * FROM cooled),
+  starts AS (SELECT min(ts) AS t0 FROM c UNION ALL SELECT (SELECT min(ts) FROM c WHERE ts > t0 + INTERVAL 1 HOUR) FROM starts WHERE (SELECT min(ts) FROM c WHERE ts > t0 + INTERVAL 1 HOUR) IS NOT NULL),
+  named AS (SELECT event_id, ts, sample_id, t0 FROM c ASOF JOIN starts ON c.ts >= starts.t0)
+  SELECT event_id, ts, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY t0 ORDER BY ts, event_id) AS r FROM named) y WHERE r <= 4""")
+def _(spark, folder):
+    return limits.alert_limits(_sourced(spark, folder), "sample_id", "ts", "event_id", 86400, 4, 3600)
+
+
 # Row after row with the times of the last three executed actions: the rule as it reads.
 _EXECUTED = f"""
   WITH RECURSIVE d AS MATERIALIZED (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS i FROM ({DETECTIONS}) x WHERE is_anomaly OR is_zero_day),
