@@ -149,17 +149,21 @@ def _(spark, folder):
 
 # Row after row with the times of the last three executed actions: the rule as it reads.
 _EXECUTED = f"""
-  WITH RECURSIVE d AS MATERIALIZED (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS i FROM ({DETECTIONS}) x WHERE is_anomaly OR is_zero_day),
+  WITH RECURSIVE h AS (SELECT * FROM ({DETECTIONS}) x WHERE is_anomaly OR is_zero_day),
+  steps AS (SELECT event_id * 4 AS action_id, ts FROM h UNION ALL SELECT event_id * 4 + 1, ts FROM h WHERE severity IN ('critical', 'high')
+            UNION ALL SELECT event_id * 4 + 2, ts FROM h WHERE is_zero_day UNION ALL SELECT event_id * 4 + 3, ts FROM h WHERE severity = 'critical'),
+  d AS MATERIALIZED (SELECT action_id AS event_id, ts, row_number() OVER (ORDER BY ts, action_id) AS i FROM steps),
   run AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS a, NULL::TIMESTAMP AS b, NULL::TIMESTAMP AS c, FALSE AS executed
           UNION ALL SELECT d.i, d.event_id, CASE WHEN ok THEN b ELSE a END, CASE WHEN ok THEN c ELSE b END, CASE WHEN ok THEN d.ts ELSE c END, ok
           FROM (SELECT run.*, d.i AS j, d.event_id AS e, d.ts AS t, run.a IS NULL OR run.a <= d.ts - INTERVAL 1 HOUR AS ok FROM run JOIN d ON d.i = run.i + 1) x JOIN d ON d.i = x.j)
-  SELECT event_id, executed FROM run WHERE i > 0"""
+  SELECT event_id AS action_id, executed FROM run WHERE i > 0"""
 
 
 @query("actions_limited", _EXECUTED)
 def _(spark, folder):
-    actions = rules.response_actions(detections(spark, folder)).filter("step = 0").select("event_id", "ts")
-    return limits.action_limit(actions, "ts", "event_id", 3, 3600).select("event_id", "executed")
+    actions = rules.response_actions(detections(spark, folder), True, True, True)
+    actions = actions.select((col("event_id") * 4 + col("step")).alias("action_id"), "ts")
+    return limits.action_limit(actions, "ts", "action_id", 3, 3600).select("action_id", "executed")
 
 
 # --- streams --------------------------------------------------------------------------------------------------------
