@@ -239,3 +239,32 @@ def test_threshold_range():
     from rillwatch.operators.forest import Forest
     with pytest.raises(ModelError):
         Forest(pd.DataFrame(), [], 1).with_threshold(1.5)
+
+
+def test_csv_line_quotes_fields_with_commas(spark):
+    row = ("a1", "s1", "high", "DoS", 0.5, 0.25, False, 'one, "two"')
+    df = spark.createDataFrame([row], "alert_id string, sample_id string, severity string, predicted_class string, anomaly_score double, "
+                                      "classification_confidence double, is_zero_day boolean, message string")
+    line = rules.formatted_alerts(df, "csv", F.lit(None)).first().line
+    assert line == 'a1,s1,high,DoS,0.5,0.25,False,"one, ""two"""'
+
+
+def test_totals_are_told_from_groups_without_a_name(spark):
+    log = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 10.0)], "operation string, duration_ms double")
+    got = {(r.operation, r.overall): (r["count"], r.p50_ms) for r in opstats.latency_statistics(log).collect()}
+    assert got == {("a", False): (2, 2.0), (None, False): (1, 10.0), (None, True): (3, 3.0)}
+
+
+def test_first_alerts_of_a_folder(spark, tmp_path):
+    rows = spark.range(50).select(F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id")).alias("timestamp"), F.concat(F.lit("a"), F.col("id")).alias("alert_id"))
+    alert_store.write_json(rows.repartition(4), str(tmp_path / "alerts"))
+    assert [r.alert_id for r in alert_store.read_alerts(spark, str(tmp_path / "alerts"), limit=3).collect()] == ["a49", "a48", "a47"]
+
+
+def test_shared_folder_must_be_named_off_a_local_master():
+    from types import SimpleNamespace
+
+    from rillwatch import core
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(DataError):
+        core.shared_folder(SimpleNamespace(sparkContext=context))
