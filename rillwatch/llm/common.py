@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from ..core import pin
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
+#: Text that a task takes apart at a time, in bytes.
+TEXT_AT_A_TIME = 4 << 20
 
 
 def text_of(column: Column) -> Column:
@@ -30,6 +35,17 @@ def whole_rows(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``TEXT_AT_A_TIME`` bytes of text."""
+    upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        done = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, done + TEXT_AT_A_TIME, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def join_checked(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left",
                  limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join a table that is expected to be small.

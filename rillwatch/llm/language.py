@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -96,20 +96,27 @@ class WordFeatures:
         self.n = len(words)
 
 
+def _words_by_language(batch: pa.RecordBatch) -> dict[str, Counter]:
+    words: dict[str, Counter] = defaultdict(Counter)
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        words[lang].update(text.lower().split())
+    return words
+
+
 def _training_counts(docs: DataFrame) -> DataFrame:
     """(lang, slot, n): n-gram buckets, then one slot per script. One row per batch, language and slot before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words: dict[str, Counter] = defaultdict(Counter)
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words[lang].update(text.lower().split())
-            for lang, counts in words.items():
-                slots, known = np.zeros(BUCKETS + len(_NAMES)), list(counts)
+            found: dict[str, np.ndarray] = {}
+            words = ((lang, counts) for part in slices(batch) for lang, counts in _words_by_language(part).items())
+            for lang, counts in words:
+                slots, known = found.setdefault(lang, np.zeros(BUCKETS + len(_NAMES))), list(counts)
                 all_times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
                 for i in range(0, len(known), _WORDS):
                     features, times = WordFeatures(known[i:i + _WORDS]), all_times[i:i + _WORDS]
                     slots[:BUCKETS] += np.bincount(features.bucket, weights=times[features.owner], minlength=BUCKETS)
                     slots[BUCKETS:] += np.bincount(features.letter_script, weights=times[features.letter_word], minlength=len(_NAMES))
+            for lang, slots in found.items():
                 used = np.flatnonzero(slots)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)),
                                                   pa.array(slots[used].astype(np.int64))], ["lang", "slot", "n"])
@@ -243,7 +250,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     model = df.sparkSession.sparkContext.broadcast(learn(df.filter(~held_out(doc_id)), text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column("text").to_pylist()
             if model.value.languages:
                 names, shares = predict(model.value, texts)

@@ -18,13 +18,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import pin
 from .bloom import within, without
-from .common import join_checked, text_of
+from .common import join_checked, slices, text_of
 
 ORDER = 5
 QUANTILE = 0.995
@@ -33,8 +32,7 @@ LEAST_DOCUMENTS = 50
 #: Windows in a shard, on average: 12 bytes each in a broadcast.
 SHARD_WINDOWS = 6_000_000
 #: Distinct words whose windows are made at a time: bounds a task's arrays.
-WORDS_AT_A_TIME = 40_000
-TEXT_AT_A_TIME = 8 << 20
+WORDS_AT_A_TIME = 20_000
 START, END = "\x02", "\x03"
 #: Stands for a word that is the same as the one before it: rare in trusted text, the rule in spun-out junk.
 DITTO = "\x04"
@@ -63,21 +61,9 @@ class Windows:
         self.points, self.sizes = points, sizes + 1
         self.keys = window_keys([points[self.at + k] for k in range(ORDER)])
 
-    def text(self, chosen: np.ndarray) -> list[str]:
-        at = self.at[chosen]
-        flat = np.stack([self.points[at + k] for k in range(ORDER)], axis=1).tobytes().decode("utf-32-le", "surrogatepass")
-        return [flat[i:i + ORDER] for i in range(0, len(flat), ORDER)]
-
-
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows with about ``TEXT_AT_A_TIME`` bytes of text."""
-    upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < batch.num_rows:
-        done = upto[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(upto, done + TEXT_AT_A_TIME, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
+    def characters(self, chosen: np.ndarray) -> np.ndarray:
+        """The code points of some windows, a row for each."""
+        return np.stack([self.points[self.at[chosen] + k] for k in range(ORDER)], axis=1)
 
 
 def window_keys(columns: list[np.ndarray]) -> np.ndarray:
@@ -89,25 +75,36 @@ def window_keys(columns: list[np.ndarray]) -> np.ndarray:
     return mixed
 
 
+def _merged(keys: list, rows: list, sums: list) -> tuple[list, list, list]:
+    """Parts with the same windows put together: one part of each."""
+    if not keys:
+        return keys, rows, sums
+    own, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return [own], [np.concatenate(rows)[first]], [np.bincount(inverse, weights=np.concatenate(sums))]
+
+
 def _window_counts(docs: DataFrame) -> DataFrame:
     """(w, n): windows and how often they occur."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                counts.update(words_of(text))
-            words, times = list(counts), np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-            keys, texts, sums = [], [], []
-            for i in range(0, len(words), WORDS_AT_A_TIME):
-                windows = Windows(words[i:i + WORDS_AT_A_TIME])
-                own, first, inverse = np.unique(windows.keys, return_index=True, return_inverse=True)
-                keys.append(own)
-                texts.append(np.array(windows.text(first), dtype=object))
-                sums.append(np.bincount(inverse, weights=times[i:i + WORDS_AT_A_TIME][windows.word]))
-            if words:
-                _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-                n = np.bincount(inverse, weights=np.concatenate(sums)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(texts)[first], pa.string()), pa.array(n)], ["w", "n"])
+            keys, rows, sums = [], [], []
+            for part in slices(batch):
+                counts: Counter = Counter()
+                for text in part.column("text").to_pylist():
+                    counts.update(words_of(text))
+                words, times = list(counts), np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+                for i in range(0, len(words), WORDS_AT_A_TIME):
+                    windows = Windows(words[i:i + WORDS_AT_A_TIME])
+                    own, first, inverse = np.unique(windows.keys, return_index=True, return_inverse=True)
+                    keys.append(own)
+                    rows.append(windows.characters(first))
+                    sums.append(np.bincount(inverse, weights=times[i:i + WORDS_AT_A_TIME][windows.word]))
+                keys, rows, sums = _merged(keys, rows, sums)
+            if keys:
+                n = sums[0].astype(np.int64)
+                flat = rows[0].tobytes().decode("utf-32-le", "surrogatepass")
+                found = [flat[i:i + ORDER] for i in range(0, len(flat), ORDER)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], ["w", "n"])
 
     return docs.mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from .common import two_columns
 from .tokens import byte_letters
 
-MOST_PARTS = 500_000
+MOST_PARTS = 200_000
 LIMIT = 512
 #: How byte-level vocabularies cut a text (a fixed value of the vocabulary).
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

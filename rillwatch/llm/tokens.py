@@ -12,7 +12,7 @@ import json
 import re
 from array import array
 
-MOST_PARTS = 500_000
+MOST_PARTS = 200_000
 #: Anything but ASCII and the letters of Latin-1: for these alone lower case and composed form are one character each.
 _OTHER = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 _PART = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\x20\x09-\x0Da-z0-9ß-öø-ÿ]+")
