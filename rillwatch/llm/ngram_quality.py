@@ -30,7 +30,7 @@ QUANTILE = 0.995
 #: Held-back documents that a language needs for a threshold of its own; others use the one over all languages.
 LEAST_DOCUMENTS = 50
 #: Windows in a shard, on average: 12 bytes each in a broadcast.
-SHARD_WINDOWS = 6_000_000
+SHARD_WINDOWS = 4_000_000
 #: Distinct words whose windows are made at a time: bounds a task's arrays.
 WORDS_AT_A_TIME = 20_000
 START, END = "\x02", "\x03"
@@ -153,11 +153,21 @@ def _log_probabilities(counts: DataFrame, windows: DataFrame) -> DataFrame:
     return table.select("w", F.log(p).cast("float").alias("logp"))
 
 
+def _joined(texts: pa.ChunkedArray) -> str:
+    """All texts as one, from their buffer."""
+    parts = []
+    for chunk in texts.chunks:
+        whole = chunk.cast(pa.large_string())
+        ends = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset:whole.offset + len(whole) + 1]
+        if len(whole) and ends[-1] > ends[0]:
+            parts.append(whole.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes().decode())
+    return "".join(parts)
+
+
 def _partial_scores(docs: DataFrame, shard: DataFrame) -> DataFrame:
     """(doc_id, logp, n): each document's sum over the windows in one shard, and its number of windows in all."""
-    found = shard.toArrow()  # at most a few million short rows, see SHARD_WINDOWS
-    text = "".join(found.column("w").to_pylist())
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, ORDER)
+    found = shard.toArrow()  # short rows, about SHARD_WINDOWS of them
+    points = np.frombuffer(_joined(found.column("w")).encode("utf-32-le"), dtype="<u4").reshape(-1, ORDER)
     keys = window_keys([points[:, k] for k in range(ORDER)])
     order = np.argsort(keys)
     held = docs.sparkSession.sparkContext.broadcast((keys[order], found.column("logp").to_numpy()[order]))
