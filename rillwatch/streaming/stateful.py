@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +38,12 @@ def cool_down_stream(df: DataFrame, source: str, ts: str, ident: str, seconds: f
             return
         rows = _ordered(chunks, ts, ident)
         kept = state.get[0] if state.exists else None
-        chosen = []
-        for i, t in enumerate(rows[ts].astype("datetime64[us]").astype("int64")):
-            if kept is None or t - kept >= wait_ms * 1000:
-                kept = int(t)
-                chosen.append(i)
+        times, chosen = rows[ts].astype("datetime64[us]").astype("int64").to_numpy(), []
+        i = 0 if kept is None else int(np.searchsorted(times, kept + wait_ms * 1000))
+        while i < len(times):  # from one kept row to the next
+            kept = int(times[i])
+            chosen.append(i)
+            i = int(np.searchsorted(times, kept + wait_ms * 1000))
         state.update((kept,))
         state.setTimeoutTimestamp(max(kept // 1000 + wait_ms, state.getCurrentWatermarkMs() + 1))
         yield rows.iloc[chosen][names]
