@@ -3,7 +3,7 @@
 Markup is stripped into lines: one line per block of text, and an empty line for every block that is a menu, a header, a
 footer, a sidebar, a notice, an advert, a form, a script, a style or a comment section, by its tag, role, class or id. Over a
 window of lines that slides down the page, the lengths of the texts outside links are summed. Where the sum surges above the
-page's level, a region of main text opens; where it dives to it, the region closes; text between stays. On a page that marks
+page's level there is main text; its region ends where the sum dives to nothing, and all text between stays. On a page that marks
 its article, the lines outside the mark count as empty ones and the level is zero, so that short paragraphs stay too.
 """
 
@@ -167,10 +167,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
 
 
 def regions(sums: np.ndarray, level: float) -> list[tuple[int, int]]:
-    """Lines from a surge of the window sum above ``level`` to the dive to it."""
-    above = np.concatenate([[False], sums > level, [False]])
+    """Runs of lines whose window sum surges above ``level`` somewhere, each up to where the sum has dived to nothing."""
+    above = np.concatenate([[False], sums > 0, [False]])
     edges = np.flatnonzero(above[1:] != above[:-1])
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+    return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if sums[a:b].max() > level]
 
 
 def main_text(html: str | None) -> str:
