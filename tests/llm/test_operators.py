@@ -312,6 +312,25 @@ def test_near_copies_against_all_pairs(spark):
     assert len(set(want) - set(got)) <= 0.02 * len(want)
 
 
+@pytest.mark.parametrize("block", [1024, 300])
+def test_near_copies_of_a_base_that_are_not_near_each_other(spark, monkeypatch, block):
+    """2,000 copies of one text, each near to it and about 0.7 from one another."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(204)]
+    rows = [(1, " ".join(base))]
+    for i in range(2, 2002):
+        words = list(base)
+        for k in rng.choice(np.arange(4, 200, 5), size=4, replace=False).tolist():
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(3001, " ".join(f"z{k}" for k in range(200)))]
+    own = shingle_set(rows[0][1])
+    assert all(5 * len(own & s) >= 4 * len(own | s) for s in map(shingle_set, (t for _, t in rows[1:2001])))
+    got = {r[0]: r[1] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 1 for i in range(1, 2002)}
+
+
 def test_near_copies_of_odd_rows(odd):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(odd).collect()} == {1: 1, 6: 1, 2: -5, -5: -5, 7: 7, 8: 7, 11: 11, 12: 11}
     left = simhash.drop_near_copies(odd)
