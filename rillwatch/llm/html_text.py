@@ -45,6 +45,8 @@ _AWAY_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
 _AWAY_WORDS_OUTSIDE = {"header", "topbar", "logo", "brand"}
 #: An article is left out for these alone: a class such as "has-sidebar" tells of the page around it.
 _AWAY_ARTICLES = {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "teaser", "related"}
+#: Class and id say nothing of these: headings, tags within a line, and inside a marked article links.
+_NO_BLOCKS = _INLINE - {"a"} | {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements whose start ends an open paragraph, list item or cell of the same family.
 _CLOSED_BY = {"p": {"p", "div", "ul", "ol", "li", "table", "section", "article", "aside", "footer", "header", "nav", "form", "h1", "h2",
                     "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "hr", "main", "address", "dl", "fieldset", "details"},
@@ -52,7 +54,7 @@ _CLOSED_BY = {"p": {"p", "div", "ul", "ol", "li", "table", "section", "article",
               "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -67,7 +69,7 @@ def _is_away(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "role" and value.lower() in _AWAY_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id"):
+        if name in ("class", "id") and tag not in _NO_BLOCKS and not (tag == "a" and in_article):
             words = {w.lower() for w in _WORDS.findall(value)}
             wanted = _AWAY_ARTICLES if tag == "article" else _AWAY_WORDS if in_article else _AWAY_WORDS | _AWAY_WORDS_OUTSIDE
             if words & wanted:
@@ -75,6 +77,11 @@ def _is_away(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _has_main_role(attributes: str) -> bool:
+    return "role" in attributes.lower() and any(name.lower() == "role" and value.strip("\"'").lower() == "main"
+                                                for name, value in _ATTRIBUTE.findall(attributes))
+
+
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, inside a marked article) of every line; blocks that don't count are empty lines."""
     lines: list[tuple[str, int, bool]] = []
@@ -148,7 +155,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if tag in _VOID or token.group(3).endswith("/") and tag not in _NEVER | _AWAY:
             continue
         is_away = _is_away(tag, token.group(3), marked > 0)
-        is_marked = not is_away and (tag in ("article", "main") or 'role="main"' in token.group(3))
+        is_marked = not is_away and (tag in ("article", "main") or _has_main_role(token.group(3)))
         if is_marked and away and not any(m for _, _, m in lines) and all(t in ("div", "section") for t, a, _ in stack if a):
             # the page's first article lies in it: its class told of more than what is left out ("content-with-sidebar")
             stack[:] = [(t, False, m) for t, _, m in stack]

@@ -513,6 +513,16 @@ def test_main_text_of_odd_pages(spark):
     assert Counter(tuple(r) for r in html_text.extract(df).collect()) == Counter([(1, None, "", 0), (1, "u", "a", 1), (None, "u", "a", 1)])
 
 
+def test_main_text_reads_attributes_by_name():
+    for block in ('<p style="overflow:hidden">T</p>', "<p><a href='/hidden-gems'>T</a></p>", '<p title="a hidden id=ad">T</p>', '<p data-id="ad-7">T</p>',
+                  '<div data-class=ad>T</div>', '<h2 id="related-work">T</h2>', '<p>T<span></span></p>', '<p><span class="comment">T</span></p>',
+                  '<p><a class="share" href=x>T</a></p>'):
+        assert html_text.main_text(f"<article><p>a</p>{block}<p>b</p></article>") == "a\nT\nb", block
+    for block in ("<p hidden>T</p>", '<p title="x" HIDDEN="">T</p>', "<div id=ad-7>T</div>", "<span hidden>T</span>", "<div role=navigation>T</div>",
+                  '<p aria-hidden="true">T</p>', '<div data-id="x" class="comment">T</div>'):
+        assert html_text.main_text(f"<article><p>a</p>{block}<p>b</p></article>") == "a\nb", block
+
+
 def test_empty_tables(spark, odd, labels):
     none, no_labels = odd.limit(0), labels.limit(0)
     assert exact_dedup.exact_groups(none).count() == exact_dedup.drop_copies(none).count() == 0
