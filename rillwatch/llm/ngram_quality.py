@@ -27,8 +27,8 @@ from .common import join_checked, slices, text_of
 
 ORDER = 5
 QUANTILE = 0.995
-#: Held-back documents that a language needs for a threshold of its own; others use the one over all languages.
-LEAST_DOCUMENTS = 50
+#: Held-back documents of a language that weigh as much as those of all languages together in its threshold.
+PRIOR_DOCUMENTS = 50
 #: Windows in a shard, on average: 12 bytes each in a broadcast.
 SHARD_WINDOWS = 4_000_000
 #: Distinct words whose windows are made at a time: bounds a task's arrays.
@@ -226,12 +226,36 @@ def perplexities(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     return scores
 
 
+def _limits(judged: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
+    """(key, own_limit) of every language with held-back documents (rows of ``judged``, pinned), and the limit of any other.
+
+    A language's middle is its mean, drawn to the mean over all by ``PRIOR_DOCUMENTS`` documents of that mean. Its limit moves
+    evenly from that of all languages (the quantile of the distances from the middles, above its own middle) to the quantile of
+    its own documents, as it has more of them: one rule at every size.
+    """
+    mean = judged.agg(F.avg("bits").alias("m")).first()["m"]  # one number
+    if mean is None:
+        return judged.select("key", F.col("bits").alias("own_limit")), None
+    docs = F.count("*")
+    middle = (F.sum("bits") + PRIOR_DOCUMENTS * mean) / (docs + PRIOR_DOCUMENTS)
+    middles = pin(judged.groupBy("key").agg(docs.alias("docs"), middle.alias("middle"), _quantile("bits", quantile).alias("own")))
+    away = join_checked(judged, middles, ["key"]).withColumn("away", F.col("bits") - F.col("middle"))
+    common = away.agg(_quantile("away", quantile).alias("q")).first()["q"]  # one number
+    share = F.col("docs") / (F.col("docs") + PRIOR_DOCUMENTS)
+    limit = share * F.col("own") + (1 - share) * (F.col("middle") + common)
+    return middles.select("key", limit.alias("own_limit")), mean + common
+
+
+def _quantile(column: str, quantile: float) -> Column:
+    return F.percentile_approx(column, F.lit(quantile), F.lit(20_000))
+
+
 def classify(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              quantile: float = QUANTILE, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """One row per input row: doc_id, lang, n_symbols, log_prob, perplexity (per character), threshold, kept.
 
-    A document is kept if its perplexity is at most the ``quantile`` of the held-back trusted documents of its language. A
-    language with few of those, or none, uses the quantile over all; a null language is one of its own. A text without words,
+    A document is kept if its perplexity is at most the ``quantile`` of the held-back trusted documents of its language, drawn
+    towards that of all languages the more, the fewer those are (``_limits``); a null language is one of its own. A text without words,
     null ones too, has no perplexity and isn't kept. With nothing to learn from, all that have words are kept. Repeated rows
     give repeated results; an empty table gives no rows; further columns are not read.
     """
@@ -239,11 +263,9 @@ def classify(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     bits = F.when(F.col("n") > 0, -F.col("logp") / F.col("n"))
     scores = scores.withColumns({"bits": bits, "key": F.coalesce(F.concat(F.lit("l:"), "lang"), F.lit("none"))})
     back = pin(trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).filter(held_back(F.col("doc_id"))).distinct())
-    judged = within(scores.filter("bits IS NOT NULL").select("doc_id", "key", "bits"), "doc_id", back)
-    at = F.percentile_approx("bits", F.lit(quantile), F.lit(20_000))
-    limits = pin(judged.groupBy("key").agg(F.count("*").alias("docs"), at.alias("own_limit")).filter(F.col("docs") >= LEAST_DOCUMENTS))
-    whole = judged.agg(at.alias("l")).first()["l"]  # one number
-    rows = join_checked(scores, limits.select("key", "own_limit"), ["key"])
+    judged = pin(within(scores.filter("bits IS NOT NULL").select("doc_id", "key", "bits"), "doc_id", back).select("key", "bits"))
+    limits, whole = _limits(judged, quantile)
+    rows = join_checked(scores, limits, ["key"])
     limit = F.coalesce("own_limit", F.lit(whole).cast("double"))
     return rows.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.col("logp").alias("log_prob"), F.exp("bits").alias("perplexity"),
                        F.exp(limit).alias("threshold"), (F.col("bits").isNotNull() & F.coalesce(F.col("bits") <= limit, F.lit(True))).alias("kept"))

@@ -8,13 +8,7 @@ one set bit of the second cleared. Only fingerprints that meet another one under
 segments decide; each stands for itself and its one-bit neighbours, so whoever meets under (key, third segment) differs in
 two bits at most, and at most 44 can meet. No pair is missed and no pairs of a group are listed.
 
-``near_copies`` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, for which the bits of
-one fingerprint are too few. There the ring has one SimHash per segment of shingles: a shingle belongs to the segment that
-its hash names. A chain starts where a segment's SimHash is equal; the chains of two and three segments from there must stay
-within their share of the allowed difference; then the exact similarity is checked. There each text is compared with two
-others only, so this is a first step, which connects most of each group. The second loses no pair: texts of similarity 0.8
-share one of the rarest fifth of their shingles, and all texts that meet under such a shingle and are not connected yet are
-compared, first by parity bitmaps, whose difference is a lower bound of that of the sets, then exactly.
+``drop_near_copies`` keeps one document of each group that these links connect.
 """
 
 from __future__ import annotations
@@ -29,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..core import pin
-from .bloom import within, without
-from .common import slices, two_columns
+from .bloom import bloom_pages, filter_bits, mark
+from .common import text_of, two_columns, whole_rows
 from .components import connected
 
 SEED = 42
 _WIDTHS = (21, 21, 22)  # the segments of a 64-bit fingerprint
 _STARTS = (0, 21, 42)
+#: Distinct fingerprints that one task expands into keys.
+CLASSES_IN_A_PART = 100_000
 _SLICE = 1 << 15  # shingles whose bits are counted at a time
 
 
@@ -62,13 +58,14 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """(doc_id, hash, fp): the fingerprint as a signed 64-bit number, and a hash of the whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(fps.view(np.int64))], ["doc_id", "hash", "fp"])
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    docs = two_columns(df, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+    return docs.mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -106,6 +103,20 @@ def _close_links(classes: DataFrame) -> DataFrame:
     return links.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2).distinct()
 
 
+def _grouped(df: DataFrame, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Pinned: (doc_id, hash of the text, fp) of all rows, and (fp, root) of all fingerprints, root being one of the group's."""
+    docs = pin(fingerprints(df, words, id_col, text_col))
+    classes = pin(docs.select("fp").distinct())
+    roots = connected(_close_links(_dealt(classes))).select(F.col("node").alias("fp"), "root")
+    return docs, pin(classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def _dealt(classes: DataFrame) -> DataFrame:
+    """Pinned rows in even parts: each becomes some thirty keys, and few small parts would make few long tasks."""
+    parts = max(classes.sparkSession.sparkContext.defaultParallelism, -(-classes.count() // CLASSES_IN_A_PART))
+    return classes.repartition(parts)
+
+
 def simhash_groups(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
 
@@ -113,291 +124,29 @@ def simhash_groups(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     fingerprint and are one node. A component whose ids are all null has a null component_id. An empty table gives no rows;
     further columns are not read.
     """
-    docs = pin(fingerprints(df, words, id_col, text_col))
-    classes = pin(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected(_close_links(classes)).select(F.col("node").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = pin(rooted.join(least, "root").select("fp", "component_id"))
+    docs, roots = _grouped(df, words, id_col, text_col)
+    least = docs.join(roots, "fp").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = pin(roots.join(least, "root").select("fp", "component_id"))
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies: rings of segment fingerprints.
-
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
-#: Segments of the ring that are looked up; large documents have more, which are left out of the lookup for all alike.
-LOOKED_UP = 28
-#: Shingles in a segment: from this many to twice as many.
-SEGMENT_SHINGLES = 4
-#: Differing bits that a segment may have on average along a chain.
-SEGMENT_BITS = 16
-#: Documents whose shingles are counted for the order from rare to frequent, and the frequent ones that are told apart. Any order
-#: gives the same links; a better one gives fewer comparisons.
-COUNTED_DOCUMENTS = 50_000
-FREQUENT_SHINGLES = 1 << 18
-#: Members of a key that are compared in one task with as many others.
-BLOCK = 1024
-_WORDS_AT_A_TIME = 1 << 21  # 64-bit words of bitmaps that are compared at a time
-
-
-def shingle_hashes(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Distinct hashes of a text's word shingles (all its words if they are fewer), from hashes of the words."""
-    found = text.encode().lower().split()
-    if not found:
-        return np.empty(0, dtype=np.uint64)
-    own = np.fromiter(map(_word_hash, found), dtype=np.uint64, count=len(found))
-    width = min(words, len(own))
-    mixed = np.zeros(len(own) - width + 1, dtype=np.uint64)
-    for i in range(width):
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + own[i:len(own) - width + 1 + i]
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(mixed ^ (mixed >> np.uint64(29)))
-
-
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED)
-
-
-def _levels(n: int) -> list[int]:
-    """Ring sizes, as powers of two: that of n shingles, and that of a quarter more, so that near copies share one."""
-    size = lambda k: max(3, int(np.floor(np.log2(max(k, 1) / SEGMENT_SHINGLES))))
-    return sorted({size(n), size(n / SIMILARITY)})
-
-
-def ring(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segments, their SimHashes) of the looked-up segments that have shingles."""
-    at = (hashes >> np.uint64(8)) & np.uint64((1 << level) - 1)
-    chosen = at < LOOKED_UP
-    at, own = at[chosen].astype(np.int64), hashes[chosen]
-    order = np.argsort(at, kind="stable")
-    at, own = at[order], own[order]
-    segments, first, counts = np.unique(at, return_index=True, return_counts=True)
-    if not len(segments):
-        return segments, np.empty(0, dtype=np.int64)
-    mixed = own * np.uint64(0x94D049BB133111EB)
-    mixed ^= mixed >> np.uint64(32)
-    bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    set_bits = np.add.reduceat(bits, first, axis=0) * 2 > counts[:, None]
-    return segments, np.packbits(set_bits, axis=1).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
+def drop_near_copies(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows, all columns kept, of which one document of each group of linked fingerprints stays.
 
-
-def _ring_keys(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, second, third): one row per looked-up segment; the key names ring size, segment and its SimHash."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids, second, third = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                hashes = shingle_hashes(text)
-                if len(hashes):  # equal sets meet under a key of their own
-                    keys.append(np.array([xxhash.xxh64_intdigest(hashes.tobytes(), SEED)], dtype=np.uint64).view(np.int64))
-                    second.append(np.zeros(1, dtype=np.int64))
-                    third.append(np.zeros(1, dtype=np.int64))
-                    ids.append(doc_id)
-                for level in _levels(len(hashes)) if len(hashes) else ():
-                    segments, marks = ring(hashes, level)
-                    if len(segments):
-                        mixed = (marks.view(np.uint64) + ((segments + LOOKED_UP * level + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                        keys.append(mixed.view(np.int64))
-                        second.append(np.roll(marks, -1))
-                        third.append(np.roll(marks, -2))
-                        ids += [doc_id] * len(segments)
-            join = lambda parts: np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(join(keys)), pa.array(ids, pa.int64()), pa.array(join(second)), pa.array(join(third))],
-                                             ["key", "doc_id", "second", "third"])
-
-    return docs.mapInArrow(run, "key long, doc_id long, second long, third long")
-
-
-def _shingle_sets(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [(h >> np.uint64(32)).astype(np.uint32).view(np.int32) for h in map(shingle_hashes, batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.unique(s) for s in sets], pa.list_(pa.int32()))],
-                                             ["doc_id", "shingles"])
-
-    return docs.mapInArrow(run, "doc_id long, shingles array<int>")
-
-
-def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs of documents (pinned) whose exact similarity is 0.8 or more."""
-    wanted = pin(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = pin(_shingle_sets(within(docs, "doc_id", wanted)).dropDuplicates(["doc_id"]))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    similar = common / (F.size("of_a") + F.size("of_b") - common)
-    return both.select("a", "b", similar.alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
-
-
-def _drawn_links(docs: DataFrame) -> DataFrame:
-    """Links from the ring: under a shared key each document is compared with two of those that meet there, drawn by hash."""
-    keys = pin(_ring_keys(docs))
-    member = F.struct(F.xxhash64("key", "doc_id").alias("draw"), "doc_id", "second", "third")
-    met = pin(keys.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low.doc_id <> high.doc_id"))
-    pairs = keys.join(met, "key").select("doc_id", "second", "third", F.explode(F.array("low", "high")).alias("m")).filter("doc_id <> m.doc_id")
-    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"m.{c}")))
-    pairs = pairs.filter((differ("second") <= 2 * SEGMENT_BITS) & (differ("second") + differ("third") <= 3 * SEGMENT_BITS))
-    pairs = pin(pairs.select(F.least("doc_id", "m.doc_id").alias("a"), F.greatest("doc_id", "m.doc_id").alias("b")).distinct())
-    return _similar(docs, pairs)
-
-
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, ascending; counts) that several of the counted documents have, at most ``FREQUENT_SHINGLES``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = [shingle_hashes(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
-
-    every = max(1, docs.count() // COUNTED_DOCUMENTS)
-    counted = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(run, "key long")
-    often = counted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(FREQUENT_SHINGLES).toArrow()
-    shingles, n = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
-    order = np.argsort(shingles)
-    return shingles[order], n[order]
-
-
-def rarest(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of which a text of similarity 0.8 or more shares one at least: the first fifth from rare to frequent."""
-    often = np.zeros(len(hashes), dtype=np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        often = np.where(frequent[at] == hashes, counts[at], 0)
-    least = -(-4 * len(hashes) // 5)  # shared with any such text
-    return hashes[np.lexsort((hashes, often))[:len(hashes) - least + 1]]
-
-
-def parity_bits(hashes: np.ndarray) -> np.ndarray:
-    """64-bit words of a bitmap, four to eight bits a shingle (at most 65,536): whether a bit is hit an odd number of times.
-
-    Two such bitmaps of one size differ in no more bits than the sets in shingles. Halves of a larger one, put together by
-    exclusive or, are the smaller one.
-    """
-    bits = 1 << min(16, max(8, int(4 * len(hashes) - 1).bit_length()))
-    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
-
-
-def close_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a row of ``left`` and a later row, or one of another block, of ``right`` that may reach the similarity: none that does is left out."""
-    found_a, found_b = [], []
-    widths = np.array([len(b) for b in bitmaps])
-    same = left is right
-    for width in np.unique(widths).tolist():
-        for one, other in ((left, right),) if same else ((left, right), (right, left)):
-            a = one[widths[one] == width]
-            b = other[(widths[other] == width) | (widths[other] == 2 * width)]
-            if not same and one is right:
-                b = b[widths[b] > width]  # those of one width were compared with left and right in their places
-            if not len(a) or not len(b):
-                continue
-            of_a = np.stack([bitmaps[k] for k in a.tolist()])
-            of_b = np.stack([bitmaps[k] if len(bitmaps[k]) == width else bitmaps[k][:width] ^ bitmaps[k][width:] for k in b.tolist()])
-            step = max(1, _WORDS_AT_A_TIME // (len(b) * width))
-            for i in range(0, len(a), step):
-                part = a[i:i + step]
-                total = sizes[part][:, None] + sizes[b][None, :]
-                small, large = np.minimum(sizes[part][:, None], sizes[b][None, :]), np.maximum(sizes[part][:, None], sizes[b][None, :])
-                fit = (5 * small >= 4 * large) & (roots[part][:, None] != roots[b][None, :])
-                if same:
-                    fit &= (part[:, None] < b[None, :]) | (widths[b] > width)[None, :]
-                differ = np.bitwise_count(of_a[i:i + step, None, :] ^ of_b[None, :, :]).sum(axis=2, dtype=np.int64)
-                x, y = np.nonzero(fit & (9 * differ <= total))
-                found_a.append(part[x])
-                found_b.append(b[y])
-    join = lambda parts: np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
-    return join(found_a), join(found_b)
-
-
-def _tile_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) pairs of all tiles; the rows of a tile come one after the other, and only one tile is held."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(tile: pa.Table) -> pa.RecordBatch:
-            column = lambda c: tile.column(c).to_numpy()
-            own, ids = column("own"), column("doc_id")
-            first, second = int(column("low")[0]), int(column("high")[0])
-            left = np.flatnonzero(own == first)
-            right = left if first == second else np.flatnonzero(own == second)
-            bitmaps = [np.frombuffer(b, dtype=np.uint64) for b in tile.column("bits").to_pylist()]
-            a, b = close_pairs(column("n").astype(np.int64), bitmaps, column("root"), left, right)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
-
-        kept = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if kept is None else pa.concat_tables([kept, table])
-            if not len(table):
-                continue
-            names = [table.column(c).to_numpy() for c in ("key", "low", "high")]
-            edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0)) + 1
-            starts = [0, *edges.tolist()]
-            for start, stop in zip(starts, starts[1:]):
-                yield pairs(table.slice(start, stop - start))
-            kept = table.slice(starts[-1])
-        if kept is not None:
-            yield pairs(kept)
-
-    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def _remaining_links(docs: DataFrame, drawn: DataFrame) -> DataFrame:
-    """The links between documents that ``drawn`` (pinned) doesn't connect: every such pair of similarity 0.8 or more."""
-    equal = connected(drawn.filter("similarity = 1")).filter("node <> root").select("node")
-    docs = without(docs, "doc_id", pin(equal))  # one document of each class of equal sets
-    roots = pin(connected(drawn))
-    frequent, counts = _frequent(docs)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                keys = [rarest(h, frequent, counts) if len(h) else h for h in map(shingle_hashes, part.column("text").to_pylist())]
-                ids = np.repeat(part.column("doc_id").to_numpy(), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids)], ["key", "doc_id"])
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(h >> np.uint64(32)) for h in map(shingle_hashes, batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()),
-                                              pa.array([parity_bits(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "bits"])
-
-    keys = pin(docs.mapInArrow(index, "key long, doc_id long"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("key")
-    members = keys.join(pin(shared), "key").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    members = pin(members.withColumn("root", F.coalesce("root", "doc_id")))
-    apart = pin(members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
-                .filter("low <> high").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
-    members = pin(members.join(apart, "key").distinct())
-    wanted = pin(members.select("doc_id").distinct())
-    sketches = pin(within(docs, "doc_id", wanted).mapInArrow(sketch, "doc_id long, n int, bits binary").dropDuplicates(["doc_id"]))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "root")
-    return _similar(docs, pin(_tile_pairs(rows.join(sketches, "doc_id")).distinct()))
-
-
-def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, similarity): links between texts of similarity 0.8 or more; whatever such pairs connect, the links connect.
-
-    Pairs that the links drawn from the ring connect already are not compared any more; all others are.
-    """
-    docs = two_columns(df.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col)
-    drawn = pin(_drawn_links(docs))
-    return drawn.unionAll(_remaining_links(docs, drawn))
-
-
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of the documents that have a near copy; component_id is the smallest doc_id of the group.
-
-    Texts without words and rows without an id have no near copies; rows that repeat an id are one document.
+    That is the one of the smallest doc_id (a null id comes after all others), then of the smallest fingerprint. Rows that share
+    an id and a fingerprint are one document and stay or go together. Texts are read once for the fingerprints and once for the
+    output; only rows whose id may be among those that go are shuffled with their text. An empty table gives no rows.
     """
-    return connected(pin(near_links(df, id_col, text_col))).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
-
-
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows, all columns kept, of which one document of each group of near copies stays: the smallest doc_id."""
-    gone = pin(near_copies(df, id_col, text_col).filter("doc_id <> component_id").select("doc_id"))
-    return without(df, id_col, gone)
+    docs, roots = _grouped(df, words, id_col, text_col)
+    member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
+    stays = pin(docs.join(roots, "fp").groupBy("root").agg(F.min(member).alias("stays")))
+    gone = docs.join(roots, "fp").join(stays, "root").filter(
+        ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("fp") == F.col("stays.fp"))))
+    gone = pin(gone.select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct())
+    bits = filter_bits(gone.count())
+    rows = df.select(whole_rows(df).alias("row"), F.col(f"`{id_col}`").cast("long").alias("own_id"),
+                     F.xxhash64(text_of(F.col(f"`{text_col}`"))).alias("own_hash"))
+    rows = mark(rows, "own_id", bloom_pages(gone, "gone_id", bits), bits, "maybe")
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash"))
+    found = rows.filter("maybe").join(gone, same, "left_anti")
+    return rows.filter("not maybe").select("row.*").unionByName(found.select("row.*"))

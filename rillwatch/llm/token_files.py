@@ -16,6 +16,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .tokens import encoder
 MARK = b"TOKBITS1"
 BLOCK = 1 << 16
 END_ID = 2
+#: Documents of a file that are read at a time.
+READ_AT_A_TIME = 10_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -201,18 +204,17 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, vocabular
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """One row per document of the listed files: doc_id, start (over all files), n_tokens, ids_crc32, and its ids' file."""
+    """One row per document of the listed files, each read by a task of its own: doc_id, start (over all files), n_tokens, ids_crc32, and its ids' file."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
                 source = TokenFile(path)
-                rows = [(d, base + s, len(ids), zlib.crc32(ids.tobytes())) for d, s, ids in source.documents()]
+                found = ((d, base + s, len(ids), zlib.crc32(ids.tobytes())) for d, s, ids in source.documents())
+                while rows := list(islice(found, READ_AT_A_TIME)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
                 source.close()
-                doc, start, n, crc = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(x, pa.int64()) for x in (start, n, crc)]],
-                                                 ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = files.select("path", "base").repartition(F.col("path"))
+    spread = files.select("path", "base").repartition(max(1, files.count()))  # a task for each file; the list is one row a file
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

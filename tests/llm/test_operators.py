@@ -294,49 +294,29 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def shingle_set(text):
-    words = (text or "").translate(LOWER).split()
-    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-
-
-def test_near_copies_against_all_pairs(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = texts_of(df)
-    sets = {i: shingle_set(t) for i, t in rows}
-    ids = sorted(sets)
-    links = [(a, b) for k, b in enumerate(ids) for a in ids[:k]
-             if sets[a] and sets[b] and 0.79 < len(sets[a]) / len(sets[b]) < 1.27 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    want = {i: r for i, r in union_find(ids, links).items() if i != r}
-    got = {r[0]: r[1] for r in simhash.near_copies(df).filter("doc_id <> component_id").collect()}
-    assert not set(got) - set(want)  # nothing is joined that isn't near
-    assert len(set(want) - set(got)) <= 0.02 * len(want)
-
-
-@pytest.mark.parametrize("block", [1024, 300])
-def test_near_copies_of_a_base_that_are_not_near_each_other(spark, monkeypatch, block):
-    """2,000 copies of one text, each near to it and about 0.7 from one another."""
-    monkeypatch.setattr(simhash, "BLOCK", block)
-    rng = np.random.default_rng(3)
-    base = [f"w{k}" for k in range(204)]
-    rows = [(1, " ".join(base))]
-    for i in range(2, 2002):
-        words = list(base)
-        for k in rng.choice(np.arange(4, 200, 5), size=4, replace=False).tolist():
-            words[k] = f"x{i}-{k}"
-        rows.append((i, " ".join(words)))
-    rows += [(3001, " ".join(f"z{k}" for k in range(200)))]
-    own = shingle_set(rows[0][1])
-    assert all(5 * len(own & s) >= 4 * len(own | s) for s in map(shingle_set, (t for _, t in rows[1:2001])))
-    got = {r[0]: r[1] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: 1 for i in range(1, 2002)}
-
-
-def test_near_copies_of_odd_rows(odd):
-    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(odd).collect()} == {1: 1, 6: 1, 2: -5, -5: -5, 7: 7, 8: 7, 11: 11, 12: 11}
-    left = simhash.drop_near_copies(odd)
-    assert left.columns == odd.columns
-    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in left.collect()) == sorted(
-        (i is not None, i or 0) for i, *_ in ODD if i not in (6, 2, 8, 12))
+def near_copy_rows(rows):
+    """Positions of the rows that stay: of each group the smallest id (null last), then the smallest fingerprint."""
+    fps = [own_fingerprint(t) for _, t in rows]
+    own = sorted(set(fps))
+    roots = union_find(own, [(a, b) for k, a in enumerate(own) for b in own[:k] if (a ^ b).bit_count() <= 2])
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    rank = lambda k: (rows[k][0] is None, rows[k][0] or 0, signed(fps[k]))
+    best = {}
+    for k, f in enumerate(fps):
+        best[roots[f]] = min(best.get(roots[f], rank(k)), rank(k))
+    return [k for k, f in enumerate(fps) if rank(k) == best[roots[f]]]
+
+
+def test_near_copies_leave_one_document_of_each_group(spark, odd, docs):
+    again = spark.createDataFrame([(1, "a b c d e f"), (1, "x y z u v w"), (2, "a b c d e f"), (0, "x y z u v w"), (None, "a b c d e f"), (None, "p q r")],
+                                  "doc_id long, text string")
+    for df in (odd, docs, again):
+        rows = [tuple(r) for r in df.collect()]
+        at = [df.columns.index(c) for c in ("doc_id", "text")]
+        left = simhash.drop_near_copies(df)
+        assert left.columns == df.columns
+        want = near_copy_rows([tuple(r[k] for k in at) for r in rows])
+        assert Counter(map(tuple, left.collect())) == Counter(rows[k] for k in want)
 
 
 def kneser_ney(trained, text):
@@ -387,6 +367,21 @@ def test_language_model(spark, odd, docs, labels, shard_windows):
     assert not any(r["kept"] for r in got if not r["n_symbols"])
 
 
+def test_thresholds_move_evenly_with_the_held_back_documents(spark):
+    rng, prior = np.random.default_rng(5), ngram_quality.PRIOR_DOCUMENTS
+    of = {"a": rng.normal(2, 0.2, 400), "b": rng.normal(3, 0.1, 49), "c": rng.normal(3, 0.1, 50), "d": rng.normal(1, 0.1, 1)}
+    rows = [(k, float(x)) for k, v in of.items() for x in v]
+    limits, whole = ngram_quality._limits(spark.createDataFrame(rows, "key string, bits double"), 0.995)
+    every = np.concatenate(list(of.values()))
+    at = lambda v: np.sort(v)[int(np.ceil(0.995 * len(v))) - 1]
+    middle = {k: (v.sum() + prior * every.mean()) / (len(v) + prior) for k, v in of.items()}
+    common = at(np.concatenate([v - middle[k] for k, v in of.items()]))
+    want = {k: (len(v) * at(v) + prior * (middle[k] + common)) / (len(v) + prior) for k, v in of.items()}
+    assert {r["key"]: r["own_limit"] for r in limits.collect()} == pytest.approx(want)
+    assert whole == pytest.approx(every.mean() + common)
+    assert abs(want["b"] - want["c"]) < 0.1  # 49 and 50 documents are judged alike
+
+
 def test_language_model_on_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     got = ngram_quality.classify(docs, ngram_quality.trusted_ids(labels)).join(labels, "doc_id")
@@ -559,11 +554,8 @@ def test_pipeline_stages(spark, sf):
     assert {i for i, _ in texts_of(out["quality"])} == {i for i, k in verdict.items() if k}
     kept = [e[0] for e in expected_copies(texts_of(out["quality"])) if e[3]]
     assert sorted(i for i, _ in texts_of(out["exact_copies"])) == sorted(kept)
-    sets = {i: shingle_set(t) for i, t in texts_of(out["exact_copies"])}
-    ids = sorted(sets)
-    links = [(a, b) for k, b in enumerate(ids) for a in ids[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    roots = union_find(ids, links)
-    assert sorted(i for i, _ in texts_of(out["near_duplicates"])) == [i for i in ids if roots[i] == i]
+    rows = texts_of(out["exact_copies"])
+    assert sorted(i for i, _ in texts_of(out["near_duplicates"])) == sorted(rows[k][0] for k in near_copy_rows(rows))
     times = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(out["near_duplicates"]).collect()}
     assert Counter(i for i, _ in texts_of(out["source_mix"])) == +Counter(times)
     check_packing(texts_of(out["source_mix"]), out["best_fit"].collect(), 2048)
