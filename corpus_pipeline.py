@@ -26,8 +26,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of texts whose fingerprints of three-word shingles links of two bits connect."""
+    return simhash.drop_near_copies(docs, words=3)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
