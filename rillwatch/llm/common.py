@@ -30,6 +30,15 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text_col}`")).alias("text"))
 
 
+# Bytes of UTF-8 that belong to a word of letters and digits stay, A-Z in lower case; any other ASCII character is a blank.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
+
+
+def folded_words(text: bytes) -> list[bytes]:
+    """Maximal runs of ASCII letters, digits and all characters beyond ASCII, with A-Z alone in lower case."""
+    return text.translate(_FOLD).split()
+
+
 def whole_rows(df: DataFrame) -> Column:
     """All columns of a row as one struct, so that helper columns beside it cannot clash."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
