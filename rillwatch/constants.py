@@ -54,6 +54,7 @@ THRESHOLD_PERCENTILE = 95.0
 CLASSIFIER_TREES = 150
 CLASSIFIER_DEPTH = 20
 CLASSIFIER_LEAF = 2
+CLASSIFIER_SPLIT = 5
 
 # Splits, feature selection, threshold search.
 TEST_SIZE = 0.2
@@ -63,7 +64,3 @@ MAX_CORRELATION = 0.95
 MIN_VARIANCE = 0.01
 THRESHOLD_STEP = 0.001
 SENSITIVITY_THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
-
-# Streaming.
-BATCH_SIZE = 32
-MAX_STREAM_ROWS = 100_000

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..core import col, pin, work_path
 from ..functions import rules
-from ..operators import classify, clean, detect, forest, opstats, prepare
+from ..operators import bagging, classify, clean, detect, forest, opstats, prepare
 from . import pipelines
 from .inputs import CLASS_SQL, DIRTY, NUMERIC, dirty, spread, table
 from .registry import query, rnd, rounded, sql_rnd
@@ -274,6 +275,76 @@ def _(spark, folder):
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(col("a") == col("b")).alias("equal_labels"))
 
 
+# --- forest from histograms ---------------------------------------------------------------------------------------------
+
+@query("forest_out_of_bag", f"""
+  WITH h AS (SELECT event_id, label, md5(event_id || '|42') AS h FROM {_TOLD} t),
+       d AS (SELECT event_id, label, ('0x' || substr(h, 1, 8))::BIGINT AS lot, ('0x' || substr(h, 9, 8))::BIGINT | 1 AS step FROM h),
+       v AS (SELECT event_id, label, count(*) FILTER (((lot + t * step) % 4294967296)::DOUBLE / 4294967296.0 < exp(-1)) AS trees
+             FROM d, (SELECT unnest(range(150)) AS t) u GROUP BY ALL)
+  SELECT event_id, trees::INT AS trees, CASE WHEN trees > 0 THEN label END AS oob_label FROM v""")
+def _(spark, folder):
+    """Which trees never drew a row, and what they say of it."""
+    told = _told(spark, folder)
+    grown = bagging.train(told, _TOLD_X, _LABEL, ["event_id"], oob_score=False)
+    return grown.out_of_bag(told, _LABEL, ["event_id"]).select("event_id", "trees", "oob_label")
+
+
+_STUMP_WEIGHTS = {"Heartbleed": 4.0, "BENIGN": 0.5, "DoS Hulk": 1.5}
+_STUMP = f"""
+  WITH c AS (SELECT label, code, count(*) * CASE label WHEN 'Heartbleed' THEN 4.0 WHEN 'BENIGN' THEN 0.5 WHEN 'DoS Hulk' THEN 1.5 ELSE 1.0 END::DOUBLE AS v FROM {_TOLD} t GROUP BY label, code),
+       s AS (SELECT t, (SELECT sum(v * v) / sum(v) FROM c WHERE code <= t) + (SELECT sum(v * v) / sum(v) FROM c WHERE code > t) AS q FROM (SELECT unnest(range(4)) AS t) u),
+       b AS (SELECT t FROM s ORDER BY round(q, 9) DESC, t LIMIT 1),
+       p AS (SELECT code <= t AS side, label, v / sum(v) OVER (PARTITION BY code <= t) AS share FROM c, b),
+       w AS (SELECT side, arg_max(label, share) AS predicted_label, max(share) AS confidence, coalesce(max(share) FILTER (label = 'Heartbleed'), 0.0) AS heartbleed FROM p GROUP BY side)"""
+
+
+@query("stump_with_class_weights", f"""{_STUMP}
+  SELECT event_id, predicted_label, {sql_rnd('confidence')} AS confidence, {sql_rnd('heartbleed')} AS heartbleed FROM {_TOLD} t, b JOIN w ON w.side = (t.code <= b.t)""")
+def _(spark, folder):
+    """One split on one feature: which one is best, and what its sides say, depends on the weights."""
+    coded = _told(spark, folder).withColumn("code", -col("c"))
+    grown = bagging.train(coded, ["code"], _LABEL, ["event_id"], trees=1, depth=1, bootstrap=False, weights=_STUMP_WEIGHTS)
+    found = grown.predict(coded)
+    return rounded(found.select("event_id", "predicted_label", "confidence", F.element_at("probabilities", "Heartbleed").alias("heartbleed")))
+
+
+@query("stump_split_bound", f"""
+  WITH n AS (SELECT label, count(*) AS n FROM {_TOLD} t GROUP BY label), b AS (SELECT label, n FROM n ORDER BY n DESC, label LIMIT 1)
+  SELECT event_id, b.label AS predicted_label, {sql_rnd('b.n / (SELECT sum(n) FROM n)')} AS confidence FROM {_TOLD} t, b""")
+def _(spark, folder):
+    """A tree that needs more rows for a split than there are stays one leaf: the class shares of all rows."""
+    told = _told(spark, folder)
+    grown = bagging.train(told, _TOLD_X, _LABEL, ["event_id"], trees=1, bootstrap=False, weights=None, min_split=told.count() + 1)
+    return rounded(grown.predict(told).select("event_id", "predicted_label", "confidence"))
+
+
+# Thirty features of a line, and a class that four of them decide.
+_WIDE_CLASS = """CASE WHEN l_quantity > 30 AND l_discount > 0.045 THEN 'DoS Hulk' WHEN l_tax > 0.055 THEN 'DoS GoldenEye'
+    WHEN l_extendedprice > 60000 THEN 'DoS Slowloris' ELSE 'BENIGN' END"""
+
+
+def wide_flows(spark, folder):
+    """Thirty numeric features a line, and its class."""
+    n = {"q": col("l_quantity"), "e": col("l_extendedprice") / 1000, "d": col("l_discount") * 100, "t": col("l_tax") * 100,
+         "n": col("l_linenumber").cast("double"), "p": F.pmod("l_partkey", F.lit(97)).cast("double"), "s": F.pmod("l_suppkey", F.lit(31)).cast("double")}
+    pairs = [(a, b) for i, a in enumerate(n) for b in list(n)[i + 1:]]
+    made = dict(n) | {f"{a}_{b}": n[a] * 3 - n[b] for a, b in pairs} | {"day": F.dayofyear("l_shipdate").cast("double"), "flat": F.lit(1.0)}
+    return _lines(spark, folder).select(*[c.alias(k) for k, c in made.items()], *_KEY, F.expr(_WIDE_CLASS).alias(_LABEL)), list(made)
+
+
+@query("classified_wide_flows", f"SELECT label, count(*) AS rows, TRUE AS mostly_right, TRUE AS out_of_bag_agrees FROM (SELECT {_WIDE_CLASS} AS label FROM lineitem) x GROUP BY label")
+def _(spark, folder):
+    """150 trees over thirty features: at least 97 % of each class right, and an out-of-bag score within two points of that of all rows."""
+    flows, features = wide_flows(spark, folder)
+    grown = bagging.train(flows, features, _LABEL, _KEY)
+    found = grown.predict(flows).withColumn("right", (col("predicted_label") == col(_LABEL)).cast("int"))
+    whole = found.select("right", _LABEL).groupBy(_LABEL).agg(F.count(F.lit(1)).alias("rows"), F.sum("right").alias("right"))
+    share = F.sum("right").over(Window.partitionBy()) / F.sum("rows").over(Window.partitionBy())  # one row per class
+    return whole.select(_LABEL, "rows", (col("right") >= 0.97 * col("rows")).alias("mostly_right"),
+                        (F.abs(share - grown.stats["oob_score"]) < 0.02).alias("out_of_bag_agrees"))
+
+
 # --- two stages -----------------------------------------------------------------------------------------------------
 
 def _events(spark, folder):
