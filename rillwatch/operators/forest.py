@@ -1,7 +1,8 @@
 """Isolation forest: trees grown from small samples on the executors, scores by Arrow batches.
 
 Liu, Ting, Zhou: Isolation Forest (ICDM 2008). MLlib has none. A tree needs at most ``max_samples`` rows, so growing one is a
-small grouped task; the grown forest has at most trees x (2 x max_samples - 1) nodes whatever the size of the table.
+small grouped task; the grown forest has at most trees x (2 x max_samples - 1) nodes whatever the size of the table. Trees of
+more rows than a task holds, and forests too large for one small table, are grown and kept in Spark (``spread_forest``).
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from ..functions.rules import severity_configured, threshold_confidence
 from ..quantiles import quantile_row
 
 _NODES = "tree int, node int, feature int, split double, left int, right int, path double"
-_LARGEST_SAMPLE = 100_000  # rows of one tree; a tree is grown in one task
-_LARGEST_FOREST = 4_000_000  # nodes; the node table is shipped to every task that scores
+_LARGEST_SAMPLE = 100_000  # rows of a tree that is grown in one task; trees of more are split over the table
+_LARGEST_FOREST = 4_000_000  # nodes of a forest that is held as one small table; more stay in Spark
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -181,11 +182,13 @@ def fit(df: DataFrame, features: Sequence[str], key: Sequence[str], trees: int =
         raise ModelError("cannot train on an empty table")
     sample = (min(FOREST_SAMPLE, rows) if max_samples == "auto" else
               int(max_samples * rows) if isinstance(max_samples, float) else min(int(max_samples), rows))
-    if not 1 <= sample <= _LARGEST_SAMPLE:
-        raise ModelError(f"{sample} rows per tree; at most {_LARGEST_SAMPLE}")
-    if trees * (2 * sample - 1) > _LARGEST_FOREST:
-        raise ModelError(f"{trees} trees of {sample} rows make a forest too large to ship; at most {_LARGEST_FOREST} nodes")
+    if sample < 1:
+        raise ModelError(f"{sample} rows per tree")
     names, width = list(features), max(1, int(max_features * len(features)))
+    stats = {"n_samples": rows, "n_features": len(names), "n_trees": trees, "contamination": contamination}
+    if sample > _LARGEST_SAMPLE or trees * (2 * sample - 1) > _LARGEST_FOREST:
+        from .spread_forest import fit_spread
+        return _with_offset(replace(fit_spread(df, names, key, trees, sample, rows, width, bootstrap, seed), stats=stats), df, contamination, exact)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
@@ -198,9 +201,12 @@ def fit(df: DataFrame, features: Sequence[str], key: Sequence[str], trees: int =
 
     drawn = sample_trees(df, names, key, rows, trees, sample, seed)
     nodes = drawn.groupBy("tree").applyInPandas(grow, _NODES).toPandas().sort_values(["tree", "node"], ignore_index=True)
-    grown = Forest(nodes, names, sample, stats={"n_samples": rows, "n_features": len(names), "n_trees": trees,
-                                                "contamination": contamination})
-    scores = df.select(grown.score_column(df).alias("raw_score"))
+    return _with_offset(Forest(nodes, names, sample, stats=stats), df, contamination, exact)
+
+
+def _with_offset(grown: Forest, df: DataFrame, contamination: float, exact: bool) -> Forest:
+    """The forest with its offset at the ``contamination`` quantile of the training scores."""
+    scores = grown.score(df.select(*[col(c) for c in grown.features])).select("raw_score")
     cut = quantile_row(pin(scores) if exact else scores, ["raw_score"], [contamination], exact).first()[0]
     return replace(grown, offset=float(cut))
 
@@ -227,7 +233,7 @@ def train_detector(df: DataFrame, features: Sequence[str], key: Sequence[str], p
                    exact: bool = True, **options) -> Forest:
     """Forest with the threshold at a percentile of the normalised training scores."""
     grown = fit(df, features, key, exact=exact, **options)
-    scores = pin(df.select(grown.score_column(df).alias("raw_score")))
+    scores = pin(grown.score(df.select(*[col(c) for c in features])).select("raw_score"))
     cut = quantile_row(normalise(scores), ["anomaly_score"], [percentile / 100], exact).first()[0]
     return grown.with_threshold(min(1.0, max(0.0, cut)))
 
