@@ -454,6 +454,27 @@ class BaggedForest:
                 held = pin(held)  # the next trees are shipped when these are done with
         return held.select("_row.*", "_votes", "_voters")
 
+    def shares_column(self, df: DataFrame, flag: Column) -> Column | None:
+        """The class shares (array, in the order of ``classes``) of the rows where ``flag`` is true, null elsewhere; a plain column, so
+        that a frame is classified in the pass that made the flag. None if the trees take more than one shipment."""
+        require(df, self.features)
+        passes = self._in_passes()
+        if len(passes) > 1:
+            return None
+        edges, shipped = self.edges, df.sparkSession.sparkContext.broadcast(self._walkers(passes[0]))
+
+        @F.pandas_udf("array<double>")
+        def shares(flagged: pd.Series, *columns: pd.Series) -> pd.Series:
+            own = np.flatnonzero(flagged.to_numpy(dtype=bool))
+            out = np.full(len(flagged), None, dtype=object)
+            if len(own):
+                bins = np.stack([np.searchsorted(e, c.to_numpy()[own], side="left") for e, c in zip(edges, columns)], axis=1).astype(np.uint8)
+                votes = sum(walker.counts[walker.ends(bins)] for _, walker in shipped.value) / len(shipped.value)
+                out[own] = list(votes)
+            return pd.Series(out)
+
+        return shares(F.coalesce(flag, F.lit(False)), *[_value(df, c) for c in self.features])
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds predicted_label, predicted_code, confidence, probabilities (map) and is_anomalous, like ``classify.Classifier``."""
         own = [col(c) for c in df.columns]

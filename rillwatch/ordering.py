@@ -8,12 +8,16 @@ order columns, so no partition depends on one key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .core import col, join_stats, pin
+from .errors import DataError
 
 _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 _SLOT_MASK = (1 << _SLOT_BITS) - 1
@@ -55,14 +59,38 @@ def add_group_position(df: DataFrame, group: Sequence[str], order: Sequence[str
 
 
 def add_running_totals(df: DataFrame, order: Sequence[str | Column], totals: dict[str, str]) -> DataFrame:
-    """Inclusive running sums in the global order; ``totals`` maps the new column to the summed one."""
+    """Inclusive running sums in the global order; ``totals`` maps the new column to the summed one, a number. Nulls add nothing.
+
+    The one exchange of rows is the range partitioning. Each task then carries its sums through the sorted batches of its partition,
+    from the total of all earlier ones on.
+    """
     rows = _placed(df, order)
     sources = list(dict.fromkeys(totals.values()))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    for s in sources:
+        if not isinstance(types[s], (T.IntegralType, T.FloatType, T.DoubleType)):
+            raise DataError(f"no running total of {s}: {types[s].simpleString()}")
+    kinds = {s: T.LongType() if isinstance(types[s], T.IntegralType) else T.DoubleType() for s in sources}
     offsets = _before(rows.groupBy("_part").agg(*[F.sum(col(s)).alias(s) for s in sources]), sources)
-    local = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.join(F.broadcast(offsets), "_part")  # one row per range partition
-    return placed.select(*[col(c) for c in df.columns],
-                         *[(F.sum(col(s)).over(local) + col(f"_before_{s}")).alias(new) for new, s in totals.items()])
+    placed = rows.join(F.broadcast(offsets), "_part").select(  # one row per range partition
+        *[col(c) for c in df.columns], *[F.coalesce(col(s), F.lit(0)).cast(kinds[s]).alias(f"_own_{i}") for i, s in enumerate(sources)],
+        *[col(f"_before_{s}").cast(kinds[s]).alias(f"_from_{i}") for i, s in enumerate(sources)])
+    width, wanted = len(df.columns), [sources.index(s) for s in totals.values()]
+    names = [*df.columns, *totals]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = [0] * len(sources)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sums = []
+            for i in range(len(sources)):
+                own = np.cumsum(batch.column(f"_own_{i}").to_numpy()) + carried[i]
+                carried[i] = own[-1]
+                sums.append(pa.array(own + batch.column(f"_from_{i}").to_numpy()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *[sums[i] for i in wanted]], names)
+
+    return placed.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, kinds[s]) for n, s in totals.items()]]))
 
 
 def add_rolling(df: DataFrame, order: Sequence[str | Column], rows: int, features: dict[str, tuple[str, str]],

@@ -228,7 +228,7 @@ def _told(spark, folder):
 
 
 def _told_classifier(spark, folder):
-    return classify.train(_told(spark, folder), _TOLD_X, _LABEL)
+    return bagging.train(_told(spark, folder), _TOLD_X, _LABEL, ["event_id"], oob_score=False)
 
 
 @query("class_weights", """SELECT label, n, round(total / (classes * n)::DOUBLE, 9) AS weight FROM (

@@ -64,15 +64,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         sizes = counted.groupBy(*keys).agg(F.sum("n").alias("_rows")).withColumn("_skipped", F.lit(0))
         return _pick(counted, keys, sizes, F.array(*[F.lit(p) for p in probs])).select(f"{_BY}.*", "column", "prob", "quantile")
 
-    # One row comes back, twice: a count per column, and 2 x len(probs) numbers per column. The bracket is as wide as the
-    # digest is inexact, and two values at least on either side.
-    sizes = df.agg(*[F.count(v).alias(c) for c, v in values.items()]).first()
+    # One row comes back: per column its count, and the digest around each rank, with half widths down to what the digest is inexact
+    # by. The smallest one of two ranks or more makes the bracket.
+    slacks = [2.0 / max(1, _ACCURACY // 10 ** k) for k in range(len(str(_ACCURACY)) - 1, -1, -1)]
+    around = [min(1.0, max(0.0, p + side * slack)) for slack in slacks for side in (-1, 1) for p in probs]
+    seen = df.agg(*[F.struct(F.count(v).alias("n"), F.percentile_approx(v, around, _ACCURACY).alias("at")).alias(c) for c, v in values.items()]).first()
 
-    def ends(c: str) -> list[float]:
-        slack = 2.0 / min(_ACCURACY, max(1, sizes[c]))
-        return [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+    def ends(c: str) -> list[float] | None:
+        step = sum(slack >= 2.0 / max(1, seen[c]["n"]) for slack in slacks[1:]) * 2 * len(probs)
+        return seen[c]["at"][step:step + 2 * len(probs)] if seen[c]["at"] else None
 
-    digest = df.agg(*[F.percentile_approx(v, ends(c), _ACCURACY).alias(c) for c, v in values.items()]).first()
+    digest = {c: ends(c) for c in values}
     cells, below = [], []
     for c, v in values.items():
         for i, p in enumerate(probs):

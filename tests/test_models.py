@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillwatch.core import col
+from rillwatch.core import col, pin
 from rillwatch.errors import ModelError
-from rillwatch.operators import classify, detect, forest
+from rillwatch.operators import bagging, classify, detect, forest
 
 
 @pytest.fixture(scope="module")
@@ -123,6 +123,31 @@ def test_two_stages(flows, grown, classifier):
     assert alone.filter("is_anomaly").count() == 0
 
 
+def test_detection_in_one_pass(flows, grown, spark):
+    """A forest from histograms classifies in the pass that scores: nothing is held, and the answers are those of the held way."""
+    trained = bagging.train(flows, ["x", "y", "z"], "Label", ["id"], trees=15, depth=5)
+    broken = flows.withColumn("y", F.when(col("id") != 500, col("y")))
+
+    def never(df):
+        raise AssertionError("held")
+
+    out = detect.detect(broken, grown, trained, F.concat(F.lit("s"), col("id")), hold=never)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" not in plan and plan.count("ArrowEvalPython") == 2
+    held = detect._named(pin(grown.decide(broken.withColumn("is_anomaly", F.lit(True)))), trained).select("id", "predicted_label", "confidence")
+    rows = {r.id: r for r in out.collect()}
+    assert len(rows) == 1000 and rows[500].predicted_class == "ERROR" and rows[500].metadata["error"]
+    assert [i for i, r in rows.items() if r.is_anomaly] and all(r.detection_latency_ms >= 0 for r in rows.values())
+    for r in held.collect():
+        got = rows[r.id]
+        if got.is_anomaly:
+            assert got.classification_confidence == pytest.approx(r.confidence)
+            assert got.predicted_class == (r.predicted_label if r.predicted_label != "BENIGN" and r.confidence >= 0.5 else "ZERO_DAY")
+            assert sum(got.class_probabilities.values()) == pytest.approx(1)
+        else:
+            assert got.class_probabilities == {} and got.predicted_class in ("BENIGN", "ERROR")
+
+
 def test_weights(flows):
     w = {r.label: r.weight for r in classify.class_weights(flows, "Label").collect()}
     n = {r["Label"]: r["count"] for r in flows.groupBy("Label").count().collect()}

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from rillwatch import ordering, quantiles
 from rillwatch.core import col
@@ -192,3 +193,22 @@ def test_results_do_not_depend_on_the_partitioning(spark, sf):
                  lambda d: curves.threshold_grid(d, "y", "score").orderBy("threshold"),
                  lambda d: features.rolling_features(d.select("event_id", "score"), ["event_id"], ["score"]).orderBy("event_id")):
         assert make(one).collect() == make(many).collect()
+
+
+def test_running_totals_shuffle_rows_once(spark):
+    """Sums equal those of a window, whatever the types and nulls; after the range partitioning only per-partition totals move."""
+    from rillwatch.errors import DataError
+    from rillwatch.ordering import add_running_totals
+
+    rows = spark.range(5000).select((col("id") * 7919 % 5000).alias("k"), F.when(col("id") % 7 > 0, col("id").cast("int")).alias("n"),
+                                    (col("id") / 8).alias("d"), F.struct("id").alias("s")).repartition(5)
+    made = add_running_totals(rows, [F.desc("k")], {"through": "n", "sum_d": "d", "again": "n"})
+    assert made.dtypes[-3:] == [("through", "bigint"), ("sum_d", "double"), ("again", "bigint")] and made.columns[:4] == rows.columns
+    over = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    want = rows.withColumns({"through": F.coalesce(F.sum("n").over(over), F.lit(0)), "sum_d": F.sum("d").over(over)})
+    assert made.drop("again").exceptAll(want).count() == 0 and made.filter("through <> again").count() == 0
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_part") == 1 and plan.count("MapInArrow") == 1  # that of the totals
+    assert add_running_totals(rows.limit(0), ["k"], {"through": "n"}).count() == 0
+    with pytest.raises(DataError):
+        add_running_totals(rows, ["k"], {"x": "s"})
