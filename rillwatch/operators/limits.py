@@ -5,7 +5,8 @@ These are sequential rules. They are cut so that no task folds a whole source or
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -134,17 +135,22 @@ def per_minute_limit(df: DataFrame, ts: str, ident: str, limit: int = ALERTS_PER
             .withColumn("_rank", F.row_number().over(order)).filter(col("_rank") <= limit).drop("_minute", "_rank"))
 
 
-def anchored_minute_limit(df: DataFrame, ts: str, ident: str, limit: int = ALERTS_PER_MINUTE, seconds: float = 60) -> DataFrame:
+def anchored_minute_limit(df: DataFrame, ts: str, ident: str, limit: int = ALERTS_PER_MINUTE, seconds: float = 60,
+                          start: str | None = None) -> DataFrame:
     """The first ``limit`` rows of each minute that starts at the first row more than ``seconds`` after the last start.
 
-    The starts are what a cool-down over the whole stream keeps; a running count of them numbers the minutes.
+    The starts are what a cool-down over the whole stream keeps; a running count of them numbers the minutes. ``start`` names a
+    further column for the start of a row's minute, in microseconds.
     """
     one = df.select(ident, ts).withColumn("_all", F.lit("all"))
     starts = cool_down(one, "_all", ts, ident, seconds + 1e-6).select(ident, F.lit(1).cast("bigint").alias("_start"))
     marked = df.join(starts, ident, "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
     numbered = add_running_totals(marked, [ts, ident], {"_minute": "_start"})
     order = Window.partitionBy("_minute").orderBy(ts, ident)
-    return numbered.withColumn("_rank", F.row_number().over(order)).filter(col("_rank") <= limit).drop("_start", "_minute", "_rank")
+    kept = numbered.withColumn("_rank", F.row_number().over(order)).filter(col("_rank") <= limit)
+    if start:
+        kept = kept.withColumn(start, F.min(micros(col(ts))).over(Window.partitionBy("_minute")))  # at most ``limit`` rows each
+    return kept.drop("_start", "_minute", "_rank")
 
 
 def alert_limits(df: DataFrame, source: str, ts: str, ident: str, seconds: float = COOL_DOWN_SECONDS,
@@ -158,34 +164,65 @@ def alert_limits(df: DataFrame, source: str, ts: str, ident: str, seconds: float
 
 
 def action_limit(df: DataFrame, ts: str, ident: str, limit: int = ACTIONS_PER_MINUTE, seconds: int = 60,
-                 by: Sequence[str] = ()) -> DataFrame:
+                 by: Sequence[str] = (), before: DataFrame | None = None) -> DataFrame:
     """Adds ``executed``: fewer than ``limit`` executed actions in the last ``seconds`` of event time.
 
-    After an idle clock interval no earlier action counts any more, so runs of busy intervals are independent and are
-    folded separately; of one instant only the first ``limit`` rows can be executed. Actions follow alerts, which
-    :func:`alert_limits` already bounds per minute; pass ``by`` (for example the target) to limit each of many streams.
+    Rows are counted by instant first, at most ``limit`` of each. After an idle clock interval no earlier action counts any more,
+    so runs of busy intervals are independent. A run's instants pass through one task in order of time, batch by batch: it keeps
+    the times of the last ``limit`` executed actions and searches, from each on, for the next instant that may have one, so memory
+    does not grow with the run. ``before`` has what was executed earlier: (by..., t in microseconds, n). Pass ``by`` (for example
+    the target) to limit each of many streams.
     """
     span = seconds * 1_000_000
-    keys = list(by)
-    rows = df.withColumn("_t", micros(col(ts)))
-    same = Window.partitionBy(*keys, "_t").orderBy(ident)
-    narrow = (rows.select(*keys, "_t", ident, F.row_number().over(same).alias("_nth")).filter(col("_nth") <= limit).drop("_nth")
-              .withColumn("_cell", F.floor(col("_t") / span)))
-    cells = narrow.select(*keys, "_cell").distinct()
-    along = Window.partitionBy(*keys).orderBy("_cell")  # one row per busy interval
+    key = F.to_json(F.struct(*[col(k) for k in by]), {"ignoreNullFields": "false"}) if by else F.lit("")  # null keys are a stream
+    rows = df.withColumns({"_by": key, "_t": micros(col(ts))})
+    instants = rows.groupBy("_by", "_t").agg(F.least(F.count(F.lit(1)), F.lit(limit)).cast("int").alias("_n")).withColumn("_done", F.lit(0))
+    if before is not None:
+        instants = instants.unionByName(before.select(key.alias("_by"), col("t").alias("_t"), F.lit(0).alias("_n"), col("n").cast("int").alias("_done")))
+    instants = pin(instants.withColumn("_cell", F.floor(col("_t") / span)))
+    cells = instants.select("_by", "_cell").distinct()
+    along = Window.partitionBy("_by").orderBy("_cell")  # one row per busy interval
     fresh = F.coalesce(col("_cell") - F.lag("_cell").over(along) > 1, F.lit(True)).cast("int")
     runs = cells.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(along)).drop("_new")
+    dealt = join_stats(instants, runs, ["_by", "_cell"], "inner").select("_by", "_run", "_t", "_n", "_done")
+    dealt = dealt.repartition("_by", "_run").sortWithinPartitions("_by", "_run", "_t", F.desc("_done"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, recent = None, deque(maxlen=limit)
+        for frame in frames:
+            if not len(frame):
+                continue
+            who, run = frame["_by"].to_numpy(), frame["_run"].to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (run[1:] != run[:-1]), [True]]))
+            taken = np.zeros(len(frame), dtype=np.int64)
+            t, n, done = (frame[c].to_numpy() for c in ("_t", "_n", "_done"))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if (who[a], run[a]) != last:
+                    last = who[a], run[a]
+                    recent.clear()
+                _take(t[a:b], n[a:b], done[a:b], taken[a:b], recent, limit, span)
+            yield frame.assign(_taken=taken)[taken > 0][["_by", "_t", "_taken"]]
+
+    taken = dealt.mapInPandas(fold, "_by string, _t long, _taken long")
+    same = Window.partitionBy("_by", "_t").orderBy(ident)
+    first = rows.select("_by", "_t", ident, F.row_number().over(same).alias("_nth")).filter(col("_nth") <= limit)
+    executed = first.join(taken, ["_by", "_t"]).filter(col("_nth") <= col("_taken")).select(ident).withColumn("executed", F.lit(True))
+    return df.join(executed, ident, "left").withColumn("executed", F.coalesce("executed", F.lit(False)))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_t", ident])
-        done, chosen = [], []
-        for i, t in enumerate(group["_t"].to_numpy()):
-            if len(done) < limit or done[-limit] <= t - span:
-                done.append(t)
-                chosen.append(i)
-        return group.iloc[chosen][[ident]]
 
-    kind = dict(df.dtypes)[ident]
-    executed = (join_stats(narrow, runs, [*keys, "_cell"], "inner").groupBy(*keys, "_run").applyInPandas(fold, f"{ident} {kind}")
-                .withColumn("executed", F.lit(True)))
-    return df.join(executed, ident, "left").withColumn("executed", F.coalesce("executed", F.lit(False)))
+def _take(t: np.ndarray, n: np.ndarray, done: np.ndarray, taken: np.ndarray, recent: deque, limit: int, span: int) -> None:
+    """Execute what may be: ``t`` ascending, ``n`` actions wanted and ``done`` ones executed earlier at each; fills ``taken``."""
+    earlier, i = np.flatnonzero(done), 0
+    while i < len(t):
+        if done[i]:
+            recent.extend([int(t[i])] * int(done[i]))
+        else:
+            while taken[i] < n[i] and (len(recent) < limit or recent[0] <= t[i] - span):
+                recent.append(int(t[i]))
+                taken[i] += 1
+            if taken[i] < n[i]:  # full until the oldest leaves
+                nxt = int(np.searchsorted(t, recent[0] + span))
+                ahead = int(np.searchsorted(earlier, i + 1))
+                i = min(nxt, int(earlier[ahead])) if ahead < len(earlier) else nxt
+                continue
+        i += 1

@@ -10,10 +10,10 @@ from ..core import col, work_path
 from ..functions import rules
 from ..operators import limits, metrics
 from ..sources import alert_store
-from ..streaming import jobs, readers, stateful
+from ..streaming import carried, jobs, readers, stateful
 from .inputs import DETECTIONS, JUDGED, detections, from_events, judged, table
 from .queries_models import _events, models
-from .registry import query, rounded, sql_rnd
+from .registry import ORACLE, query, rounded, sql_rnd
 
 _SQL_ALERTS = f"SELECT ts AS timestamp, 'a' || event_id AS alert_id, severity, predicted_class, anomaly_score, classification_confidence, is_zero_day, sample_id, 'm' AS message FROM ({DETECTIONS}) d WHERE is_anomaly"
 
@@ -288,6 +288,44 @@ def _(spark, folder):
     return _run_to_table(spark, kept, "limited").withColumn("ts", col("ts").cast("timestamp_ntz"))
 
 
+def _files_by_time(spark, df, ts, parts=3):
+    """A stream of ``parts`` files, one per micro-batch, each later than the one before."""
+    path = work_path(spark, "by-time")
+    seconds = F.unix_micros(col(ts).cast("timestamp"))
+    ends = df.agg(F.percentile_approx(seconds, [k / parts for k in range(1, parts)])).first()[0]
+    nth = sum(((seconds > e).cast("int") for e in ends), F.lit(0))
+    for k in range(parts):
+        df.filter(nth == k).coalesce(1).write.mode("append").parquet(path)
+    return readers.stream_parquet(spark, path, df.schema, 1)
+
+
+def _carried(spark, stream, step, state):
+    out = work_path(spark, "rows")
+    jobs.start(stream, carried.carried(step, state, work_path(spark, "state"), out), work_path(spark, "progress")).awaitTermination()
+    return jobs.read_runs(spark, out)
+
+
+@query("stream_cool_down_carried", f"{_COOL} SELECT * FROM cooled")
+def _(spark, folder):
+    stream = _files_by_time(spark, _sourced(spark, folder), "ts")
+    return _carried(spark, stream, carried.cool_down_step("sample_id", "ts", "event_id", 86400), carried.COOL_DOWN_STATE)
+
+
+@query("stream_alerts_per_anchored_minute", ORACLE["alerts_per_anchored_minute"])
+def _(spark, folder):
+    stream = _files_by_time(spark, _hits(spark, folder), "ts")
+    return _carried(spark, stream, carried.anchored_minute_step("ts", "event_id", 4, 3600), carried.MINUTE_STATE).drop("_minute_start")
+
+
+@query("stream_actions_limited", _EXECUTED)
+def _(spark, folder):
+    actions = rules.response_actions(detections(spark, folder), True, True, True)
+    actions = actions.select((col("event_id") * 4 + col("step")).alias("action_id"), "ts")
+    stream = _files_by_time(spark, actions, "ts")
+    step = carried.sliding_limit_step("ts", "action_id", 3, 3600)
+    return _carried(spark, stream, step, carried.sliding_limit_state(actions)).select("action_id", "executed")
+
+
 @query("stream_detections", "SELECT count(*) AS rows, count(DISTINCT event_id) AS ids, TRUE AS same_as_batch, TRUE AS alerts_complete FROM events")
 def _(spark, folder):
     from ..operators.detect import detect

@@ -212,3 +212,27 @@ def test_running_totals_shuffle_rows_once(spark):
     assert add_running_totals(rows.limit(0), ["k"], {"through": "n"}).count() == 0
     with pytest.raises(DataError):
         add_running_totals(rows, ["k"], {"x": "s"})
+
+
+@pytest.mark.parametrize("by", [[], ["who"]])
+def test_sliding_limit_of_one_hot_stream(spark, by):
+    """All rows in one run of busy intervals, in batches far smaller than the run; null keys are a stream."""
+    rng = random.Random(8)
+    rows, t = [], 0
+    for i in range(6000):
+        t += rng.choice([0, 0, 1, 1, 2, 30, 400]) if i % 500 else 5000
+        rows.append((i, t * 50_000, rng.choice(["a", None])))
+    want, recent = set(), {}
+    for i, at, who in sorted(rows, key=lambda r: (r[1], r[0])):
+        done = recent.setdefault(who if by else None, [])
+        if len(done) < 25 or done[-25] <= at - 60_000_000:
+            done.append(at)
+            want.add(i)
+    df = spark.createDataFrame(rows, "id long, us long, who string").withColumn("ts", F.timestamp_micros("us")).repartition(4)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        out = limits.action_limit(df, "ts", "id", 25, 60, by)
+        assert {r.id for r in out.filter("executed").collect()} == want and out.count() == 6000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)

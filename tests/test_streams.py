@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rillwatch.core import col
 from rillwatch.errors import DataError
 from rillwatch.operators import limits
-from rillwatch.streaming import jobs, readers, stateful
+from rillwatch.streaming import carried, jobs, readers, stateful
 
 SCHEMA = "event_id long, ts timestamp, source string"
 
@@ -67,3 +67,43 @@ def test_unknown_handler_is_recorded(spark, folder):
     row = spark.read.parquet(out).first()
     assert not row.success and "not found" in row.error
     assert spark.read.parquet(out).select(col("handler")).first()[0] == "absent"
+
+
+def run_carried(spark, folder, step, state, name):
+    stream = readers.stream_parquet(spark, str(folder / "in"), SCHEMA, 1)
+    out = str(folder / name)
+    handler = carried.carried(step, state, str(folder / f"{name}-state"), out)
+    jobs.start(stream, handler, str(folder / f"{name}-progress")).awaitTermination()
+    return handler, jobs.read_runs(spark, out)
+
+
+def test_limits_carried_over_batches(spark, folder):
+    """Each equals the batch operator over all rows; a batch that is run again changes nothing; a restart goes on from the state."""
+    every = lambda: spark.read.schema(SCHEMA).parquet(str(folder / "in"))
+    steps = {
+        "cooled": (carried.cool_down_step("source", "ts", "event_id", 40), carried.COOL_DOWN_STATE,
+                   lambda df: limits.cool_down(df, "source", "ts", "event_id", 40)),
+        "minutes": (carried.anchored_minute_step("ts", "event_id", 7, 60), carried.MINUTE_STATE,
+                    lambda df: limits.anchored_minute_limit(df, "ts", "event_id", 7, 60)),
+        "all": (carried.sliding_limit_step("ts", "event_id", 5, 60), "t long, n long", lambda df: limits.action_limit(df, "ts", "event_id", 5, 60)),
+        "each": (carried.sliding_limit_step("ts", "event_id", 3, 60, ["source"]), "source string, t long, n long",
+                 lambda df: limits.action_limit(df, "ts", "event_id", 3, 60, ["source"]))}
+    ids = lambda df: sorted(r.event_id for r in (df.filter("executed") if "executed" in df.columns else df).collect())
+    for name, (step, state, whole) in steps.items():
+        handler, got = run_carried(spark, folder, step, state, name)
+        assert ids(got) == ids(whole(every())), name
+        again = spark.createDataFrame(BATCHES[2], "event_id long, t long, source string").select("event_id", F.timestamp_seconds("t").alias("ts"), "source")
+        handler(again, 2)
+        assert ids(jobs.read_runs(spark, str(folder / name))) == ids(whole(every())), name
+        assert spark.read.parquet(str(folder / f"{name}-state/after=2")).count() <= 40
+    write_batches(spark, str(folder / "in"), [[(1000 + k, 1_700_001_200 + k, "hot") for k in range(50)]])
+    for name, (step, state, whole) in steps.items():
+        assert ids(run_carried(spark, folder, step, state, name)[1]) == ids(whole(every())), name
+
+
+def test_late_rows(spark, folder):
+    write_batches(spark, str(folder / "in"), [[(900, 1_700_001_100, "hot"), (901, 1_700_001_202, None), (902, 1_700_001_210, None)]])
+    _, cooled = run_carried(spark, folder, carried.cool_down_step("source", "ts", "event_id", 40), carried.COOL_DOWN_STATE, "cooled")
+    assert [r.event_id for r in cooled.filter("event_id >= 900").collect()] == [901]  # 900 comes before what is decided
+    _, judged = run_carried(spark, folder, carried.sliding_limit_step("ts", "event_id", 1000, 60), "t long, n long", "sliding")
+    assert {r.event_id: r.executed for r in judged.filter("event_id >= 900").collect()} == {900: False, 901: True, 902: True}
