@@ -10,7 +10,7 @@ from ..core import col, work_path
 from ..functions import rules
 from ..operators import limits, metrics
 from ..sources import alert_store
-from ..streaming import carried, jobs, readers, stateful
+from ..streaming import carried, jobs, readers, row_files, stateful
 from .inputs import DETECTIONS, JUDGED, detections, from_events, judged, table
 from .queries_models import _events, models
 from .registry import ORACLE, query, rounded, sql_rnd
@@ -218,6 +218,39 @@ def _(spark, folder):
     return _run_to_table(spark, stream, "rows").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+_NUMBERED = """SELECT k, r AS row, (r - 2) // 50 AS chunk, event_id, value, event_type FROM (
+  SELECT event_id % 4 AS k, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS r, event_id, value, event_type FROM events) x WHERE r >= 2"""
+
+
+def _numbered(spark, folder, fmt):
+    """Four files in folders of their own, each in the order of event_id; streamed in two runs, the second with two new files."""
+    path, out, progress = work_path(spark, "numbered"), work_path(spark, "rows"), work_path(spark, "progress")
+    rows = table(spark, folder, "events").select("event_id", "value", "event_type", (col("event_id") % 4).alias("k"))
+    ending = {"csv": "*.csv", "json": "*.json", "parquet": "*.parquet"}[fmt]
+    for half in (0, 1):
+        part = rows.filter(F.floor(col("k") / 2) == half).repartition(2, "k").sortWithinPartitions("k", "event_id")
+        part.write.partitionBy("k").mode("append").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
+        stream = row_files.stream_rows(spark, path, "event_id long, value double, event_type string", ending, 2, 50)
+        jobs.start(stream, jobs.append_table(out), progress).awaitTermination()
+    return jobs.read_runs(spark, out).select(F.regexp_extract("_file", "k=([0-9]+)", 1).cast("long").alias("k"), col("_row").alias("row"),
+                                             col("_chunk").alias("chunk"), "event_id", "value", "event_type")
+
+
+@query("stream_csv_rows", _NUMBERED)
+def _(spark, folder):
+    return _numbered(spark, folder, "csv")
+
+
+@query("stream_jsonl_rows", _NUMBERED)
+def _(spark, folder):
+    return _numbered(spark, folder, "json")
+
+
+@query("stream_parquet_rows", _NUMBERED)
+def _(spark, folder):
+    return _numbered(spark, folder, "parquet")
+
+
 def _fail_on(batch_id):
     def handler(batch, at):
         if at == batch_id:
