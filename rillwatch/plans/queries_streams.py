@@ -10,7 +10,7 @@ from ..core import col, work_path
 from ..functions import rules
 from ..operators import limits, metrics
 from ..sources import alert_store
-from ..streaming import carried, jobs, readers, row_files, stateful
+from ..streaming import carried, flushing, jobs, readers, row_files, stateful
 from .inputs import DETECTIONS, JUDGED, detections, from_events, judged, table
 from .queries_models import _events, models
 from .registry import ORACLE, query, rounded, sql_rnd
@@ -251,6 +251,21 @@ def _(spark, folder):
     return _numbered(spark, folder, "parquet")
 
 
+@query("stream_flushed", """
+  WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+  SELECT event_type, 'size' AS reason, n // 64 * 64 AS rows, n // 64 AS batches FROM n WHERE n >= 64
+  UNION ALL SELECT event_type, 'age', n % 64, 1 FROM n WHERE n % 64 > 0""")
+def _(spark, folder):
+    """Buffers of 64 rows per event type that wait for a second; the trigger has an interval, or no time would pass."""
+    stream = flushing.flushed(_event_stream(spark, folder), 64, 1.0, "event_type")
+    out, wanted = work_path(spark, "flushed"), table(spark, folder, "events").count()
+    query_ = jobs.start(stream, jobs.append_table(out), work_path(spark, "progress"), "500 milliseconds")
+    written = lambda: query_.lastProgress is not None and query_.lastProgress["batchId"] > 0 and jobs.read_runs(spark, out).count() == wanted
+    jobs.run_until(query_, written, 180)
+    rows = jobs.read_runs(spark, out)
+    return rows.groupBy("event_type", "reason").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("flush").alias("batches"))
+
+
 def _fail_on(batch_id):
     def handler(batch, at):
         if at == batch_id:

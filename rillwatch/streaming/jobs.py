@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 
 from pyspark import StorageLevel
@@ -31,6 +32,19 @@ def start(stream: DataFrame, handler: Handler, checkpoint: str, every: str | Non
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def run_until(query: StreamingQuery, done: Callable[[], bool], seconds: float, poll: float = 0.5) -> bool:
+    """Let a query with an interval run until ``done`` holds or the time is over, then stop it; whether it held."""
+    end = time.monotonic() + seconds
+    try:
+        while query.isActive and not done() and time.monotonic() < end:
+            time.sleep(poll)
+        if query.exception():
+            raise query.exception()
+        return done()
+    finally:
+        query.stop()
+
+
 def _run(name: str, handler: Handler, batch: DataFrame, batch_id: int) -> tuple:
     try:
         handler(batch, batch_id)

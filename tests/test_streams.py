@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rillwatch.core import col
 from rillwatch.errors import DataError
 from rillwatch.operators import limits
-from rillwatch.streaming import carried, jobs, readers, stateful
+from rillwatch.streaming import carried, flushing, jobs, readers, stateful
 
 SCHEMA = "event_id long, ts timestamp, source string"
 
@@ -107,3 +107,20 @@ def test_late_rows(spark, folder):
     assert [r.event_id for r in cooled.filter("event_id >= 900").collect()] == [901]  # 900 comes before what is decided
     _, judged = run_carried(spark, folder, carried.sliding_limit_step("ts", "event_id", 1000, 60), "t long, n long", "sliding")
     assert {r.event_id: r.executed for r in judged.filter("event_id >= 900").collect()} == {900: False, 901: True, 902: True}
+
+
+def test_flush_by_size_and_by_age(spark, folder):
+    """Full buffers leave at once, the rest when its time is over, each row once and in one batch; null keys share a buffer."""
+    rows = spark.range(230).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "CASE WHEN id % 5 > 0 THEN concat('k', id % 2) END AS source")
+    rows.coalesce(1).write.parquet(str(folder / "buffered"))
+    stream = flushing.flushed(readers.stream_parquet(spark, str(folder / "buffered"), SCHEMA, 1), 50, 1.5, "source")
+    query = jobs.start(stream, jobs.append_table(str(folder / "out")), str(folder / "progress"), "500 milliseconds")
+    got = lambda: jobs.read_runs(spark, str(folder / "out"))
+    assert jobs.run_until(query, lambda: query.lastProgress is not None and query.lastProgress["batchId"] > 0 and got().count() == 230, 120)
+    found = {(r.source, r.flush, r.reason, r.flush_rows): r["count"] for r in got().groupBy("source", "flush", "reason", "flush_rows").count().collect()}
+    assert found == {(None, 1, "age", 46): 46, ("k0", 1, "size", 50): 50, ("k0", 2, "age", 42): 42, ("k1", 1, "size", 50): 50, ("k1", 2, "age", 42): 42}
+    assert got().select("event_id").distinct().count() == 230
+    with pytest.raises(DataError):
+        flushing.flushed(stream, 5, 1.0)  # its columns are there already
+    with pytest.raises(DataError):
+        flushing.flushed(readers.stream_parquet(spark, str(folder / "in"), SCHEMA, 1), 0, 1.0)
