@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import BENIGN, LABEL_COLUMN
-from ..core import (col, count_when, fractional_columns, is_infinite, is_missing, numeric_columns, one_row, present,
-                    replace_columns)
+from ..core import (BROADCAST_BYTES, byte_size, col, count_when, fractional_columns, is_infinite, is_missing, numeric_columns, one_row,
+                    pin, present, replace_columns)
 from ..errors import DataError
 from ..quantiles import hash_cuts, hash_order, quantile_row
 
@@ -23,6 +23,23 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def drop_duplicates_wide(df: DataFrame) -> DataFrame:
+    """Whole-row duplicates of wide rows: only digests, and rows whose digest repeats, are shuffled.
+
+    Two 64-bit hashes of each row are counted; the digests that occur more than once are held and their bytes summed. Up to
+    ``BROADCAST_BYTES`` they are broadcast: rows with another digest can't repeat and stay where they are, the others are compared
+    whole. Beyond that so many rows repeat that combining copies before the shuffle is the better way for all.
+    """
+    keys = [col(c) for c in df.columns]
+    digest = {"_h": F.xxhash64(*keys), "_g": F.xxhash64(F.lit(7), *keys)}
+    repeated = pin(df.select(*[v.alias(k) for k, v in digest.items()]).groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
+    if byte_size(repeated) > BROADCAST_BYTES:
+        return drop_duplicates(df)
+    marked = df.withColumns(digest).join(F.broadcast(repeated.withColumn("_again", F.lit(True))), ["_h", "_g"], "left")
+    alone, again = (marked.filter(c).select(*keys) for c in (col("_again").isNull(), col("_again").isNotNull()))
+    return alone.unionByName(again.dropDuplicates())
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: rows, distinct rows and surplus copies."""
     groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))

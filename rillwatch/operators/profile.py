@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +11,7 @@ from ..constants import BENIGN, KNOWN_ATTACKS, MAX_CORRELATION
 from ..core import col, count_when, is_missing, numeric_columns, one_row, present
 from ..quantiles import exact_quantiles
 from .clean import duplicate_count, missing_counts
-
-_PAIRS_PER_PASS = 10  # wider aggregates compile to methods too long for the JIT
+from .gram import pair_moments
 
 
 def table_summary(df: DataFrame, label: str) -> DataFrame:
@@ -77,40 +74,16 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every pair of columns, a before b.
+    """(a, b, r) for every pair of columns, a before b, over the rows where both are present; NULL where one is constant there.
 
-    The columns without missing values go through one MLlib pass. Other pairs are aggregated, so that a row with a missing
-    value still counts for the pairs it has. Either way only p x p numbers leave the executors.
+    One scan, in which tasks add up matrix products (:mod:`.gram`); only a few numbers per pair and task are shuffled.
     """
     names = list(columns)
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    pairs = [(i, j) for j in range(len(names)) for i in range(j)]
-    passes = []
-    if len(names) > 2:
-        state = df.agg(*[F.struct(count_when(is_missing(df, c)).alias("missing"), F.min(present(df, c)).alias("lo"),
-                                  F.max(present(df, c)).alias("hi")).alias(c) for c in names]).first()
-        whole = [c for c in names if not state[c].missing and state[c].lo != state[c].hi]
-        fixed = {c for c in names if state[c].lo == state[c].hi}  # a constant correlates with nothing
-        known = {}
-        if len(whole) > 1:
-            vectors = VectorAssembler(inputCols=[f"_{i}" for i in range(len(whole))], outputCol="_v").transform(
-                df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(whole)]))
-            matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
-            known = {(a, b): float(matrix[i][j]) for i, a in enumerate(whole) for j, b in enumerate(whole)}
-        done = [(names[i], names[j], known.get((names[i], names[j]))) for i, j in pairs
-                if (names[i], names[j]) in known or names[i] in fixed or names[j] in fixed]
-        passes.append(df.sparkSession.createDataFrame(done, "a string, b string, r double"))
-        pairs = [(i, j) for i, j in pairs if (names[i], names[j]) not in known and not {names[i], names[j]} & fixed]
-    for at in range(0, len(pairs), _PAIRS_PER_PASS):
-        cells = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"),
-                                   correlation(present(df, names[i]), present(df, names[j])).alias("r"))
-                          for i, j in pairs[at:at + _PAIRS_PER_PASS]])
-        passes.append(df.agg(cells.alias("cells")).select(F.inline("cells")))
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionAll(more)
-    return out
+    both = F.sqrt("c_aa") * F.sqrt("c_bb")
+    r = F.when((col("c_aa") > 0) & (col("c_bb") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("c_ab", both))))
+    return pair_moments(df, names).select("a", "b", r.alias("r"))
 
 
 def correlation_matrix(df: DataFrame, max_features: int = 20) -> DataFrame:

@@ -146,6 +146,13 @@ def _(spark, folder):
     return prepare.label_codes(table(spark, folder, "events"), "event_type").withColumn("code", col("code").cast("bigint"))
 
 
+@query("distinct_wide_rows", "SELECT DISTINCT * FROM (SELECT lineitem.* FROM lineitem, (SELECT unnest(range(3)) AS copy) c WHERE copy = 0 OR l_linenumber = copy) x")
+def _(spark, folder):
+    """Whole lines, some of them two or three times."""
+    lines = table(spark, folder, "lineitem")
+    return clean.drop_duplicates_wide(lines.unionByName(lines.filter("l_linenumber = 1")).unionByName(lines.filter("l_linenumber = 2")))
+
+
 @query("distinct_rows", f"SELECT DISTINCT * FROM ({DIRTY})")
 def _(spark, folder):
     return clean.drop_duplicates(dirty(spark, folder))

@@ -57,6 +57,16 @@ def _(spark, folder):
     return rounded(profile.correlation_matrix(_related(spark, folder)))
 
 
+@query("embedding_correlations", f"""
+  WITH l AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
+  SELECT 'x' || p.i AS a, 'x' || q.i AS b, {sql_rnd('corr(p.v, q.v)')} AS r FROM l p JOIN l q ON p.vec_id = q.vec_id AND p.i < q.i GROUP BY p.i, q.i""")
+def _(spark, folder):
+    """All pairs of 64 columns in one scan."""
+    e = table(spark, folder, "embeddings")
+    wide = e.select(*[col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+    return rounded(profile.correlation_pairs(wide, wide.columns))
+
+
 @query("high_correlations", f"WITH d AS ({_RELATED}), p AS ({_corr(_UPPER)}) SELECT a, b, round(abs(r), 4) AS r FROM p WHERE abs(r) >= 0.9")
 def _(spark, folder):
     return profile.highly_correlated(_related(spark, folder), 0.9)
