@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from ..core import col, work_path
 from ..functions import rules
 from ..operators import limits, metrics
 from ..sources import alert_store
-from ..streaming import carried, flushing, jobs, readers, row_files, stateful
+from ..streaming import carried, flushing, jobs, model_store, readers, row_files, stateful
 from .inputs import DETECTIONS, JUDGED, detections, from_events, judged, table
-from .queries_models import _events, models
+from .queries_models import _UNIT, _detector, _events, models
 from .registry import ORACLE, query, rounded, sql_rnd
 
 _SQL_ALERTS = f"SELECT ts AS timestamp, 'a' || event_id AS alert_id, severity, predicted_class, anomaly_score, classification_confidence, is_zero_day, sample_id, 'm' AS message FROM ({DETECTIONS}) d WHERE is_anomaly"
@@ -374,6 +375,30 @@ def _(spark, folder):
     return _carried(spark, stream, step, carried.sliding_limit_state(actions)).select("action_id", "executed")
 
 
+# Depth of the written-out trees of the detector, and the score that follows: offsets 0.88 and 0.8 flag different rows.
+_SWAPPED = f"""
+  WITH p AS (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_id % 4 AS part FROM events),
+       d AS (SELECT *, -pow(2.0, -((CASE WHEN value <= 30.0 THEN CASE WHEN k <= 40.0 THEN 2.0 ELSE 3.0 END ELSE 1.0 END::DOUBLE
+                                   + CASE WHEN k <= 40.0 THEN CASE WHEN value <= 30.0 THEN 2.0 ELSE 3.0 END ELSE 1.5 END::DOUBLE) / 2.0) / {_UNIT!r}) AS raw FROM p)
+  SELECT event_id, CASE WHEN part < 2 THEN 'v1' ELSE 'v2' END AS model_version, raw + CASE WHEN part < 2 THEN 0.88 ELSE 0.8 END < 0 AS is_anomaly,
+         {sql_rnd('1.0 / (1.0 + exp(raw + CASE WHEN part < 2 THEN 0.88 ELSE 0.8 END))')} AS anomaly_score FROM d"""
+
+
+@query("stream_models_swapped", _SWAPPED)
+def _(spark, folder):
+    """Two micro-batches by the first version, then another is published, and two more follow; the files arrive one after the other."""
+    store = model_store.ModelStore(spark, work_path(spark, "models"))
+    path, out, progress = work_path(spark, "flows"), work_path(spark, "detections"), work_path(spark, "progress")
+    events = _events(spark, folder)
+    handler = jobs.scoring_handler(store.models, col("event_id"), out)
+    for part in range(4):
+        if part % 2 == 0:
+            store.publish(replace(_detector(), offset=-0.88 if part == 0 else -0.8))
+        events.filter(col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(path)
+        jobs.start(readers.stream_parquet(spark, path, events.schema, 1), handler, progress).awaitTermination()
+    return rounded(jobs.read_runs(spark, out).select("event_id", "model_version", "is_anomaly", "anomaly_score"))
+
+
 @query("stream_detections", "SELECT count(*) AS rows, count(DISTINCT event_id) AS ids, TRUE AS same_as_batch, TRUE AS alerts_complete FROM events")
 def _(spark, folder):
     from ..operators.detect import detect

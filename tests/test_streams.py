@@ -124,3 +124,32 @@ def test_flush_by_size_and_by_age(spark, folder):
         flushing.flushed(stream, 5, 1.0)  # its columns are there already
     with pytest.raises(DataError):
         flushing.flushed(readers.stream_parquet(spark, str(folder / "in"), SCHEMA, 1), 0, 1.0)
+
+
+def test_model_store(spark, tmp_path):
+    """Versions are complete when they are seen, keep the model that isn't given, and are loaded once."""
+    import numpy as np
+
+    from rillwatch.errors import ModelError
+    from rillwatch.operators import bagging, forest, spread_forest
+    from rillwatch.streaming.model_store import ModelStore
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, float(a), float(b), "BENIGN" if a > 0 else "DoS Hulk") for i, (a, b) in enumerate(rng.normal(0, 1, (300, 2)))],
+                               "id long, x double, y double, Label string")
+    store = ModelStore(spark, str(tmp_path / "models"))
+    with pytest.raises(ModelError):
+        store.models(0)
+    first = forest.fit(df, ["x", "y"], ["id"], trees=5)
+    assert store.publish(first) == 1 and store.models(0)[1:] == (None, "v1")
+    trained = bagging.train(df, ["x", "y"], "Label", ["id"], trees=5)
+    assert store.publish(None, trained) == 2
+    kept, classifier, version = store.models(1)
+    assert version == "v2" and kept.nodes.equals(first.nodes) and classifier.stats == trained.stats
+    assert store.models(2)[0] is kept  # not loaded again
+    large = spread_forest.fit_spread(df, ["x", "y"], ["id"], 4, 300, 300, 2, False, 1)
+    store.publish(large)
+    again, classifier, version = ModelStore(spark, str(tmp_path / "models")).models(3)
+    assert version == "v3" and again.score(df).exceptAll(large.score(df)).count() == 0 and classifier.classes == trained.classes
+    (tmp_path / "models" / "v4").mkdir()  # half written: not published
+    assert store.versions() == [1, 2, 3] and store.models(4)[2] == "v3"
