@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..core import col
-from ..operators import features, profile, select, validate
+from ..operators import features, neighbours, profile, select, validate
 from .inputs import DIRTY, FLOWS, NUMERIC, dirty, flows, table
 from .registry import query, rounded, sql_rnd
 
@@ -363,3 +363,26 @@ def _(spark, folder):
 @query("importance_percentile", f"{_IMPORTANCE}, r AS ({_RANKED}) SELECT * FROM r WHERE importance >= (SELECT quantile_cont(importance, 0.75) FROM imp)")
 def _(spark, folder):
     return select.suggested(_importance(spark, folder))
+
+
+_SPREAD_OUT = "event_type AS c, value * 7 + event_id * 0.00001 AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) + event_id * 0.00001 AS y"
+
+
+@query("neighbour_information", f"""
+  WITH l AS MATERIALIZED (SELECT event_id, c, unnest(['x', 'y']) AS f, unnest([x, y]) AS v FROM (SELECT event_id, {_SPREAD_OUT} FROM events) e),
+  n AS (SELECT f, c, count(*) AS n FROM l GROUP BY ALL),
+  r AS MATERIALIZED (SELECT f, event_id, c, v, d FROM (
+         SELECT a.f, a.event_id, a.c, a.v, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.f, a.event_id ORDER BY abs(a.v - b.v)) AS nth
+         FROM l a JOIN l b ON a.f = b.f AND a.c = b.c AND a.event_id <> b.event_id) x WHERE nth = 3),
+  m AS (SELECT r.f, r.event_id, r.c, count(*) AS m FROM r JOIN l b ON r.f = b.f AND b.v > r.v - r.d * 1.001 AND b.v < r.v + r.d * 1.001 WHERE abs(b.v - r.v) < r.d GROUP BY ALL),
+  h AS MATERIALIZED (SELECT i, -0.5772156649015329 + coalesce(sum(1.0 / (i - 1)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS psi
+        FROM (SELECT unnest(range(2, (SELECT count(*) + 2 FROM events))) AS i) k),
+  p AS (SELECT i, psi FROM h UNION ALL SELECT 1, -0.5772156649015329)
+  SELECT m.f AS "column", {sql_rnd('greatest(0.0, (SELECT psi FROM p WHERE i = (SELECT count(*) FROM events)) + (SELECT psi FROM p WHERE i = 3) - avg(pn.psi) - avg(pm.psi))')} AS mi
+  FROM m JOIN n ON m.f = n.f AND m.c = n.c JOIN p pn ON pn.i = n.n JOIN p pm ON pm.i = m.m GROUP BY m.f""")
+def _(spark, folder):
+    """Two features whose values all differ, and the class of an event."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    e = table(spark, folder, "events").select("event_id", col("event_type").alias("c"), (col("value") * 7 + col("event_id") * 0.00001).alias("x"),
+                                              (k + col("event_id") * 0.00001).alias("y"))
+    return rounded(neighbours.neighbour_information(e, "c", ["event_id"], ["x", "y"]))

@@ -252,6 +252,24 @@ def _(spark, folder):
     return _numbered(spark, folder, "parquet")
 
 
+@query("stream_latency_percentiles", f"""
+  SELECT event_type AS operation, count(*) AS samples, {sql_rnd('avg(value)')} AS mean, min(value) AS min, max(value) AS max, 3::BIGINT AS within_bound FROM events GROUP BY event_type""")
+def _(spark, folder):
+    """Percentiles over four micro-batches; their ranks in the whole table are at most samples / 10,000 (and one row) off."""
+    path, out = _event_files(spark, folder, "json"), work_path(spark, "latency")
+    stream = readers.stream_jsonl(spark, path, _FILE_SCHEMA, 1)
+    jobs.running_latency(stream, "event_type", "value").writeStream.outputMode("complete").foreachBatch(jobs.overwrite_table(out)).option(
+        "checkpointLocation", work_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(out)
+    cells = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), col(c).alias("q")) for p, c in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]))
+    ranks = found.select("event_type", "samples", cells.alias("c")).join(table(spark, folder, "events").select("event_type", "value"), "event_type").groupBy(
+        "event_type", "samples", "c").agg(F.count_if(col("value") < F.col("c.q")).alias("below"), F.count_if(col("value") <= F.col("c.q")).alias("upto"))
+    slack = col("samples") / 10_000 + 1
+    right = (col("below") <= F.col("c.p") * col("samples") + slack) & (col("upto") >= F.col("c.p") * col("samples") - slack)
+    bound = ranks.groupBy("event_type").agg(F.count_if(right).alias("within_bound"))
+    return rounded(found.join(bound, "event_type").select(col("event_type").alias("operation"), "samples", "mean", "min", "max", "within_bound"))
+
+
 @query("stream_flushed", """
   WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
   SELECT event_type, 'size' AS reason, n // 64 * 64 AS rows, n // 64 AS batches FROM n WHERE n >= 64

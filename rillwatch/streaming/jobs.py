@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,6 +96,18 @@ def running_counters(stream: DataFrame) -> DataFrame:
         "alert_rate", F.round(F.col("alert_count") / F.greatest(F.col("processed_count"), F.lit(1)), 4))
 
 
+def running_latency(stream: DataFrame, operation: str, duration: str, probs: Sequence[float] = (0.5, 0.95, 0.99), accuracy: int = 10_000) -> DataFrame:
+    """Per operation so far, as a streaming aggregate for complete mode: samples, mean, min, max, and ``p50`` and so on.
+
+    The state of an operation is a digest that merges: its quantiles are at most samples / ``accuracy`` ranks off. A null operation is
+    one of its own; missing durations don't count.
+    """
+    at = F.percentile_approx(duration, [float(p) for p in probs], accuracy)
+    made = stream.groupBy(operation).agg(F.count(duration).alias("samples"), F.avg(duration).alias("mean"), F.min(duration).alias("min"),
+                                         F.max(duration).alias("max"), at.alias("_at"))
+    return made.select(operation, "samples", "mean", "min", "max", *[F.col("_at")[i].alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(probs)])
+
+
 def overwrite_table(path: str) -> Handler:
     """A handler that replaces a table by each batch: for aggregates in complete mode."""
     return lambda batch, batch_id: batch.write.mode("overwrite").parquet(path)
