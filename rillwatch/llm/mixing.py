@@ -2,7 +2,7 @@
 
 Every document draws an exponential key, divided by its quality weight; within a source the order of these keys is a
 weighted random order without replacement. A source first gives as many complete epochs as its target holds; the rest of
-the target takes the first documents of the order, found by prefix sums: over ranges of keys first (at most ``RANGES`` per
+the target takes the first documents of the order, found by prefix sums: over ranges of keys first (``RANGES`` per doubling, per
 source), then over the documents of the one range where the budget ends. What leaves this module for the documents is a
 cut (key, id) per source, so a document decides on its own, without a shuffle of the texts.
 """
@@ -20,7 +20,8 @@ from .common import SPACES, WORD, join_checked, text_of, whole_rows
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
-RANGES = 1 << 16
+#: Ranges of keys for each doubling of the key; keys of a source lie within some twenty doublings.
+RANGES = 1 << 12
 #: Characters that lower the quality weight of a document: ASCII punctuation and digits.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
@@ -71,9 +72,15 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int
     return out.withColumns({"no_source": F.col("source").isNull(), "named": F.coalesce("source", F.lit(""))})
 
 
+def _spot(key: Column) -> Column:
+    """The range of a key: of one width in its logarithm. Keys of any weight have the same spread there, so no range of a source holds
+    more than about 0.4 ln 2 / ``RANGES`` of its rows, whatever their weights."""
+    return F.floor(F.log2(key) * RANGES)
+
+
 def _cuts(keys: DataFrame, plan: DataFrame) -> DataFrame:
     """Per source: its target, complete epochs, and the (key, id) of the last document of the fractional epoch."""
-    spot = F.floor((1 - F.exp(-F.col("key"))) * RANGES)
+    spot = _spot(F.col("key"))
     ranges = keys.groupBy("no_source", "named", spot.alias("spot")).agg(F.sum("size").alias("words"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("named"),
@@ -115,7 +122,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     keys = pin(_keyed(df, id_col, text_col, source_col, seed))
     plan = targets(keys.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     rows = join_checked(keys, _cuts(keys, plan), ["no_source", "named"])
-    spot = F.floor((1 - F.exp(-F.col("key"))) * RANGES)
+    spot = _spot(F.col("key"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * _times(spot)).alias("taken"),
                        "source", "key")
 
@@ -126,6 +133,6 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     keys = pin(_keyed(df, id_col, text_col, source_col, seed))
     plan = targets(keys.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     rows = join_checked(_keyed(df, id_col, text_col, source_col, seed, row=True), _cuts(keys, plan), ["no_source", "named"])
-    spot = F.floor((1 - F.exp(-F.col("key"))) * RANGES)
+    spot = _spot(F.col("key"))
     copies = F.array_repeat(F.lit(0), _times(spot).cast("int"))
     return rows.select("row", F.explode(copies)).select("row.*")

@@ -474,6 +474,14 @@ def test_mixing_prefers_quality(spark):
     assert share > 0.6
 
 
+def test_ranges_of_keys_are_even_for_any_weight(spark):
+    """A source of poor documents alone has no range that holds many of them."""
+    for weight in (1.0, 0.1, 0.02):
+        keys = spark.range(200_000).select(mixing.exponential_key(F.col("id"), F.lit(weight), 9).alias("key"))
+        largest = keys.groupBy(mixing._spot(F.col("key"))).count().agg(F.max("count")).first()[0]
+        assert largest < 60 and keys.filter("key <= 0").count() == 0
+
+
 def test_main_text_of_given_pages(spark):
     from html import unescape
 
