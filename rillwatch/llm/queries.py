@@ -149,7 +149,36 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@register("op12_spelling_variants")
+# The checksum goes byte by byte through a table that is made by its rule; neighbours meet under a form with one character deleted.
+@register("op12_spelling_variants", r"""
+WITH RECURSIVE
+t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+h AS (
+  SELECT run, times, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c:
+           CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END))),
+         lambda c, b: xor(crc[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS h
+  FROM r, t WHERE length(run) >= 6),
+w AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+k AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS key FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+p AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.key = b.key AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, k.n, w.word, w.n FROM k JOIN w ON k.key = w.word
+  UNION SELECT w.word, w.n, k.word, k.n FROM k JOIN w ON k.key = w.word),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, count(p.other) AS n_near, min(struct_pack(less := -p.other_n, other := p.other)) AS best FROM w LEFT JOIN p ON w.word = p.word GROUP BY w.word, w.n),
+g AS MATERIALIZED (
+  SELECT word, n, n_near, CASE WHEN -best.less >= 5 * n THEN best.other END AS form, CASE WHEN -best.less >= 5 * n THEN -best.less END AS form_n FROM f),
+c AS (
+  SELECT word, word AS root, 0 AS step FROM g UNION ALL SELECT c.word, g.form, step + 1 FROM c JOIN g ON c.root = g.word WHERE g.form IS NOT NULL)
+SELECT g.word, n, n_near, form, form_n, root FROM g JOIN (SELECT word, arg_max(root, step) AS root FROM c GROUP BY word) USING (word)""")
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
