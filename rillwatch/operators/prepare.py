@@ -139,7 +139,7 @@ def unscale(df: DataFrame, fitted: DataFrame) -> DataFrame:
 # --- storage --------------------------------------------------------------------------------------------------------
 
 def save_fitted(fitted: DataFrame, path: str) -> None:
-    """A fitted imputer or scaler is one row; label indexers are stored with MLlib's own ``write()``."""
+    """A fitted imputer or scaler is one row."""
     fitted.coalesce(1).write.mode("overwrite").parquet(path)
 
 
@@ -147,6 +147,14 @@ def load_fitted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_label_indexer(fitted: StringIndexerModel, path: str) -> None:
+    fitted.write().overwrite().save(path)
+
+
+def load_label_indexer(path: str) -> StringIndexerModel:
+    return StringIndexerModel.load(path)
+
+
 # --- splitting ------------------------------------------------------------------------------------------------------
 
 def add_split(df: DataFrame, key: Sequence[str], label: str | None, test_size: float = TEST_SIZE,

@@ -72,7 +72,7 @@ def prepare_table(df: DataFrame, label: str = LABEL_COLUMN, columns: Sequence[st
 def prepare_splits(df: DataFrame, label: str = LABEL_COLUMN, columns: Sequence[str] | None = None,
                    strategy: str = "mean") -> Prepared:
     """The same for a table with a ``split`` column: encoder and scaler fitted on train, cleaning and imputing per split."""
-    cleaned = clean.clean(df)  # the split is part of the row, so copies are dropped inside a split
+    cleaned = pin(clean.clean(df))  # the split is part of the row, so copies are dropped inside a split; each split is read twice
     parts = []
     for name in ("train", "val", "test"):
         rows = cleaned.filter(col("split") == name)

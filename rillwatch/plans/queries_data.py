@@ -140,6 +140,18 @@ def _(spark, folder):
     return prepare.decode_labels(prepare.encode_labels(e, "event_type", "code", model), "code", "decoded", model)
 
 
+@query("label_encoder_saved_and_loaded", """
+  WITH c AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT event_type FROM events WHERE event_id % 2 = 0))
+  SELECT e.event_id, c.code, e.event_type AS decoded FROM events e JOIN c USING (event_type)""")
+def _(spark, folder):
+    """Fitted on every other event, saved, loaded, and applied to all."""
+    e, path = table(spark, folder, "events").select("event_id", "event_type"), work_path(spark, "encoder")
+    prepare.save_label_indexer(prepare.fit_label_indexer(e.filter("event_id % 2 = 0"), "event_type", "code"), path)
+    again = prepare.load_label_indexer(path)
+    coded = prepare.encode_labels(e, "event_type", "code", again).drop("event_type")
+    return prepare.decode_labels(coded, "code", "decoded", again)
+
+
 @query("label_mapping", """
   SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT event_type AS label FROM events)""")
 def _(spark, folder):
