@@ -5,7 +5,8 @@ digest of the row's key, so any task can tell a tree's rows, and those it never
 two ways. Nodes of more than ``local_rows`` drawn rows are split level by level: every task counts (tree, node, feature, bin,
 class) of its rows, the counts are summed in a shuffle, and the best split of each node comes back. The rows of smaller nodes
 go to one task each, which grows the rest below them. Counts are whole numbers and the features of a node are drawn by hash,
-so the trees are the same whichever way a node was split and however the table is partitioned.
+so the trees are the same whichever way a node was split and however the table is partitioned. Rows of the same bins and class
+that a task meets together are held, dealt and walked as one, with their draws added up.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from .select import ranked
 
 #: Drawn rows of a node that one task holds, each as many bytes as there are features.
 LOCAL_ROWS = 1 << 20
+#: Rows that a task looks through at a time for equal ones.
+_ROWS_AT_A_TIME = 1 << 16
 #: Bins of a feature; a bin fits into a byte.
 BINS = 32
 #: Bytes of trees that are shipped to the tasks at a time; a larger forest scores in several passes.
@@ -40,6 +44,8 @@ _DEEPEST = 60  # nodes are numbered as in a heap, in 64 bits
 
 #: Chances of at most 0, 1, 2, ... draws under Poisson(1).
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+#: The same chances as places on the ring of 2**32.
+_PLACES = [np.uint32(p) for p in np.ceil(POISSON * 4294967296.0) if p < 4294967296.0]
 _TREES = "tree int, root long, ids array<long>, feature array<int>, bin array<int>, counts array<long>"
 
 
@@ -74,8 +80,11 @@ def feature_order(tree: int, nodes: np.ndarray, o: Options) -> np.ndarray:
 
 def drawn(lot: np.ndarray, step: np.ndarray, tree: int) -> np.ndarray:
     """How often a tree draws each row: Poisson(1) at the point ``lot + tree * step`` of a ring of 2**32."""
-    point = ((lot + np.uint64(tree) * step) & np.uint64(0xFFFFFFFF)).astype(np.float64) / 4294967296.0
-    return np.searchsorted(POISSON, point, side="right").astype(np.int64)
+    point = lot.astype(np.uint32) + step.astype(np.uint32) * np.uint32(tree)  # both wrap
+    times = np.zeros(len(point), dtype=np.uint8)
+    for place in _PLACES:
+        times += point >= place
+    return times
 
 
 def lots(key: Sequence[str], seed: int) -> list[Column]:
@@ -225,23 +234,74 @@ def _learning_rows(df: DataFrame, features: Sequence[str], label: str, classes:
     rows = df.select(*[_value(df, c).alias(f"f{k}") for k, c in enumerate(features)], code.alias("class"), *lots(key, o.seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = _binned(batch, edges)
-            flat = pa.py_buffer(bins.tobytes())
-            at = pa.py_buffer((np.arange(batch.num_rows + 1, dtype=np.int32) * bins.shape[1]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_lot"), batch.column("_step"), batch.column("class"),
-                                              pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, at, flat])], ["lot", "step", "class", "bins"])
+        for some in _together(batches):
+            code, lot, step = (np.concatenate([b.column(c).to_numpy() for b in some]) for c in ("class", "_lot", "_step"))
+            bins = np.concatenate([_binned(b, edges) for b in some])
+            own, inverse = _distinct(np.column_stack([bins, code.astype("<u2").view(np.uint8).reshape(-1, 2)]))
+            order = np.argsort(inverse, kind="stable")
+            at = np.append(0, np.cumsum(np.bincount(inverse, minlength=len(own))))
+            yield pa.RecordBatch.from_arrays([_blobs(lot[order].astype("<u4"), at), _blobs(step[order].astype("<u4"), at), pa.array(code[own], pa.int32()),
+                                              _blobs(bins[own], np.arange(len(own) + 1))], ["lot", "step", "class", "bins"])
+
+    return pin(rows.mapInArrow(run, "lot binary, step binary, class int, bins binary"))
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The batches in runs of about ``_ROWS_AT_A_TIME`` rows."""
+    some, n = [], 0
+    for batch in batches:
+        some.append(batch)
+        n += batch.num_rows
+        if n >= _ROWS_AT_A_TIME:
+            yield some
+            some, n = [], 0
+    if n:
+        yield some
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one row of each kind, kind of each row) of rows of bytes."""
+    wide = -(-max(rows.shape[1], 1) // 8) * 8
+    filled = np.zeros((len(rows), wide), dtype=np.uint8)
+    filled[:, :rows.shape[1]] = rows
+    kinds = filled.view(np.uint64 if wide == 8 else np.dtype((np.void, wide))).reshape(-1)
+    _, own, inverse = np.unique(kinds, return_index=True, return_inverse=True)
+    return own, inverse.reshape(-1)
+
+
+def _blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """One binary for each run of ``values`` between two places of ``at``."""
+    starts = (at * (values.itemsize * (values.shape[1] if values.ndim > 1 else 1))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(starts.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+@dataclass(frozen=True)
+class Held:
+    """Learning rows as a task holds them: ``lot`` and ``step`` of all, and for each kind its class, bins and first row."""
+
+    lot: np.ndarray
+    step: np.ndarray
+    first: np.ndarray
+    classes: np.ndarray
+    bins: np.ndarray
 
-    return pin(rows.mapInArrow(run, "lot long, step long, class int, bins binary"))
+    def times(self, tree: int, o: Options) -> np.ndarray:
+        """How often a tree draws the rows of each kind."""
+        times = _times(self.lot, self.step, tree, o)
+        if len(self.first) == len(self.lot):
+            return times.astype(np.int64)
+        return np.add.reduceat(times, self.first, dtype=np.int64)
 
 
-def _arrays(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    lot, step = (batch.column(c).to_numpy().astype(np.uint64) for c in ("lot", "step"))
-    return lot, step, batch.column("class").to_numpy().astype(np.int64), np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, features)
+def _arrays(batch: pa.RecordBatch, features: int) -> Held:
+    blob = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=kind)
+    many = pc.binary_length(batch.column("lot")).to_numpy().astype(np.int64) // 4
+    return Held(blob("lot", "<u4"), blob("step", "<u4"), np.cumsum(many) - many, batch.column("class").to_numpy().astype(np.int64),
+                blob("bins", np.uint8).reshape(-1, features))
 
 
 def _times(lot: np.ndarray, step: np.ndarray, tree: int, o: Options) -> np.ndarray:
-    return drawn(lot, step, tree) if o.bootstrap else np.ones(len(lot), dtype=np.int64)
+    return drawn(lot, step, tree) if o.bootstrap else np.ones(len(lot), dtype=np.uint8)
 
 
 def _upper(known: pd.DataFrame) -> dict[int, Tree]:
@@ -268,11 +328,14 @@ def _level_counts(rows: DataFrame, known: pd.DataFrame, wanted: set[tuple[int, i
                 column([c for *_, c, _ in parts], pa.int32()), column([h[c] for *_, c, h in parts], pa.int64())], ["tree", "node", "cell", "n"])
 
         for batch in batches:
-            lot, step, classes, bins = _arrays(batch, o.features)
+            if not batch.num_rows:
+                continue
+            rows = _arrays(batch, o.features)
+            classes, bins = rows.classes, rows.bins
             for tree in range(o.trees):
                 if wanted is not None and not any(t == tree for t, _ in wanted):
                     continue
-                times = _times(lot, step, tree, o)
+                times = rows.times(tree, o)
                 own = np.flatnonzero(times)
                 end = upper[tree].ids[upper[tree].ends(bins[own])]
                 for node in np.unique(end).tolist():
@@ -354,9 +417,12 @@ def _grow_small(rows: DataFrame, known: pd.DataFrame, o: Options) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper = _upper(held.value)
         for batch in batches:
-            lot, step, classes, bins = _arrays(batch, o.features)
+            if not batch.num_rows:
+                continue
+            rows = _arrays(batch, o.features)
+            classes, bins = rows.classes, rows.bins
             for tree in range(o.trees):
-                times = _times(lot, step, tree, o)
+                times = rows.times(tree, o)
                 own = np.flatnonzero(times)
                 end = upper[tree].ends(bins[own])
                 nodes = np.unique(end)
@@ -364,13 +430,13 @@ def _grow_small(rows: DataFrame, known: pd.DataFrame, o: Options) -> DataFrame:
                 blob = lambda values, kind: [values[p].astype(kind).tobytes() for p in parts]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(parts), tree), pa.int32()), pa.array(upper[tree].ids[nodes][:len(parts)], pa.int64()),
-                    pa.array(blob(bins, np.uint8), pa.binary()), pa.array(blob(classes, "<u2"), pa.binary()), pa.array(blob(times, np.uint8), pa.binary())],
+                    pa.array(blob(bins, np.uint8), pa.binary()), pa.array(blob(classes, "<u2"), pa.binary()), pa.array(blob(times, "<u4"), pa.binary())],
                     ["tree", "node", "bins", "classes", "times"]) if len(own) else _no_parts()
 
     def finish(part: pd.DataFrame) -> pd.DataFrame:
         tree, node = int(part["tree"].iloc[0]), int(part["node"].iloc[0])
         read = lambda c, kind: np.frombuffer(b"".join(part[c]), dtype=kind)
-        made = grow(tree, node, read("bins", np.uint8).reshape(-1, o.features), read("classes", "<u2").astype(np.int64), read("times", np.uint8).astype(np.int64), o)
+        made = grow(tree, node, read("bins", np.uint8).reshape(-1, o.features), read("classes", "<u2").astype(np.int64), read("times", "<u4").astype(np.int64), o)
         return pd.DataFrame({"tree": [tree], "root": [node], "ids": [made["ids"]], "feature": [made["feature"]], "bin": [made["bin"]],
                              "counts": [made["counts"].reshape(-1)]})
 
@@ -436,14 +502,17 @@ class BaggedForest:
                     votes = np.asarray(batch.column("_votes").flatten()).reshape(n, -1).copy()
                     voters = batch.column("_voters").to_numpy().copy()
                     if unseen:
-                        lot, step = (batch.column(c).to_numpy().astype(np.uint64) for c in ("_lot", "_step"))
+                        lot, step = (batch.column(c).to_numpy().astype(np.uint32) for c in ("_lot", "_step"))
+                    own, kind = _distinct(bins)  # rows of the same bins walk once
+                    bins = bins[own]
                     for tree, walker in shipped.value:
+                        shares = walker.counts[walker.ends(bins)]
                         if unseen:
                             out = np.flatnonzero(_times(lot, step, tree, o) == 0)
-                            votes[out] += walker.counts[walker.ends(bins[out])]
+                            votes[out] += shares[kind[out]]
                             voters[out] += 1
                         else:
-                            votes += walker.counts[walker.ends(bins)]
+                            votes += shares[kind]
                             voters += 1
                     kept = [batch.column(c) for c in batch.schema.names[:-2]]
                     listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * votes.shape[1], pa.int32()), pa.array(votes.reshape(-1)))
@@ -568,8 +637,8 @@ def train(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str]
                 min(depth, _DEEPEST), max(2, min_split), max(1, min_leaf), bootstrap, criterion, seed)
     edges = _edges(df, features)
     rows = _learning_rows(df, features, label, classes, key, o, edges)
-    n = rows.count()
-    if n > local_rows:
+    kinds, n = rows.agg(F.count(F.lit(1)), F.sum(F.length("lot") / 4).cast("long")).first()
+    if kinds > local_rows:
         known, counts = _split_large(rows, local_rows, o)
     else:
         known, counts = pd.DataFrame({"tree": np.arange(trees), "node": 1, "feature": -1, "bin": -1}), None

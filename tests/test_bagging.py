@@ -163,3 +163,17 @@ def test_weights_decide(flows):
     n = {r["label"].strip(): r["count"] for r in flows.groupBy("label").count().collect()}
     assert plain["predicted_label"] == "a" and plain["confidence"] == pytest.approx(n["a"] / 900)
     assert heavy["predicted_label"] == "b" and heavy["confidence"] == pytest.approx(100 * n["b"] / (900 + 99 * n["b"]))
+
+
+def test_equal_rows_are_held_once(spark, flows, monkeypatch):
+    """Rows of the same bins and class are one learning row of a task; draws, trees and votes stay those of every row."""
+    few = flows.withColumns({"x": F.floor("z") * 1.0, "y": F.floor("z") % 2.0}).coalesce(1)
+    held, dealt = [], bagging._learning_rows
+    monkeypatch.setattr(bagging, "_learning_rows", lambda *a: held.append(dealt(*a)) or held[0])
+    grown = bagging.train(few, ["x", "y"], "label", ["id"], trees=6)
+    assert held[0].count() == few.select("x", "y", "label").distinct().count() and grown.stats["n_samples"] == 900
+    nodes, told = nodes_of(grown), few.select("id", F.trim("label").alias("c")).collect()
+    for tree in range(6):
+        assert nodes[tree, 1][2] == tuple(sum(times_drawn(r.id, tree) for r in told if r.c == c) for c in grown.classes)
+    bag = {r["id"]: r["trees"] for r in grown.out_of_bag(few, "label", ["id"]).collect()}
+    assert all(bag[i] == sum(not times_drawn(i, t) for t in range(6)) for i in range(0, 900, 7))
