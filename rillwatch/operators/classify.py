@@ -125,14 +125,15 @@ def permuted(df: DataFrame, columns: Sequence[str], key: Sequence[str], seed: in
     """
     own = add_position(df, [*key], "_at") if placed is None else placed
     other = df.select(*[col(c).alias(f"_p_{c}") for c in columns], hash_order(key, seed).alias("_lot"))
-    return own.join(add_position(other, ["_lot"], "_at").drop("_lot"), "_at").drop("_at")
+    return own.join(add_position(other, ["_lot"], "_at", ["_lot"]), "_at").drop("_at")
 
 
 def permutation_importance(df: DataFrame, model: Classifier, label: str, key: Sequence[str], repeats: int = 10,
                            scoring: str = "accuracy", seed: int = SEED) -> DataFrame:
     """(feature, importance_mean, importance_std, rank): loss of the score when one feature is permuted.
 
-    All features share one permutation per repeat: each row is scored once per feature, with that feature swapped.
+    All features share one permutation per repeat: each row is scored once per feature, with that feature swapped. Where the
+    features take few values, equal rows are scored once, with their number.
     """
     if scoring not in ("accuracy", "f1", "precision", "recall"):
         scoring = "accuracy"
@@ -142,14 +143,21 @@ def permutation_importance(df: DataFrame, model: Classifier, label: str, key: Se
     before = metrics.overall(base).first()[measure]
     parts = []
     rows = df.select(*[col(k) for k in key], *[col(c) for c in names], col(label).alias("_true"))
-    placed = pin(add_position(rows, [*key], "_at"))
+    # laid out by place once, as the join of each repeat wants it
+    placed = pin(add_position(rows, [*key], "_at").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_at"))
+    kinds = rows.agg(F.approx_count_distinct(F.struct(*[col(c) for c in names], "_true")).alias("kinds"), F.count(F.lit(1)).alias("n")).first()
+    few = kinds["kinds"] ** 2 < kinds["n"]
+    number = F.sum("_n") if few else F.count(F.lit(1))
     for repeat in range(repeats):
         swapped = permuted(rows, names, key, seed + repeat, placed)
+        if few:
+            swapped = swapped.groupBy("_true", *[col(c) for c in names], *[col(f"_p_{c}") for c in names]).agg(F.count(F.lit(1)).alias("_n"))
+        rest = [c for c in ("_true", "_n") if c in swapped.columns]
         versions = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), *[
             col(f"_p_{x}" if x == c else x).alias(x) for x in names]) for c in names]))
-        scored = model.predict(swapped.select("_true", versions.alias("v")).select("_true", "v.*"))
+        scored = model.predict(swapped.select(*rest, versions.alias("v")).select(*rest, "v.*"))
         parts.append(pin(scored.groupBy("feature", col("_true").alias("true"), col("predicted_label").alias("pred"))
-                         .agg(F.count(F.lit(1)).alias("n")).withColumn("repeat", F.lit(repeat))))
+                         .agg(number.alias("n")).withColumn("repeat", F.lit(repeat))))
     counts = reduce(DataFrame.unionAll, parts)
     losses = counts.groupBy("feature", "repeat").agg(_loss(counts, scoring, before)) if scoring == "accuracy" else \
         _weighted_losses(counts, measure, before)
