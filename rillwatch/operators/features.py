@@ -62,7 +62,7 @@ def interaction_features(df: DataFrame, pairs: Sequence[tuple[str, str]] | None
 def row_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """row_mean, row_std (sample), row_max, row_min and row_median over the present numbers of a row."""
     names = list(columns or numeric_columns(df))
-    held = df.withColumn("_row", F.array_sort(F.array_compact(F.array(*[present(df, c).cast("double") for c in names]))))
+    held = df.withColumn("_row", F.sort_array(F.array_compact(F.array(*[present(df, c).cast("double") for c in names]))))
     row, n = F.col("_row"), F.size("_row")
     held = held.withColumn("_mean", F.try_divide(F.aggregate(row, F.lit(0.0), lambda s, x: s + x), n))
     spread = F.aggregate(row, F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean")))

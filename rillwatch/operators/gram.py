@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import col, present
+from ..core import col
 
 #: Columns in a block: a block of pairs has six numbers for each pair.
 BLOCK = 128
@@ -59,7 +59,7 @@ def _merge(parts: Sequence[bytes], rows: int, columns: int) -> _Moments:
 
 
 def _task_moments(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    cells = [present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]
+    cells = [col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]  # missing numbers come as NaN
     blocks = [range(a, min(a + BLOCK, len(names))) for a in range(0, len(names), BLOCK)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,3 +114,38 @@ def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return every.join(merged, ["i", "j"], "left").select(
         F.element_at(listed, col("i") + 1).alias("a"), F.element_at(listed, col("j") + 1).alias("b"), F.coalesce("n", F.lit(0)).cast("long").alias("n"),
         "mean_a", "mean_b", "c_ab", "c_aa", "c_bb")
+
+
+def column_variances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, variance): sample variances over the present values, added up on Arrow batches; null of fewer than two values."""
+    names = list(columns)
+    cells = [col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, mean, square = (np.zeros(len(names)) for _ in range(3))
+        for batch in batches:
+            for i in range(len(names)):
+                x = batch.column(f"c{i}").to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                if not len(x):
+                    continue
+                with np.errstate(invalid="ignore", over="ignore"):
+                    own = x[0] + (x - x[0]).mean()  # constant values have their own mean
+                    apart, total = own - mean[i], count[i] + len(x)
+                    square[i] += ((x - own) ** 2).sum() + (apart * apart * count[i] * len(x) / total if count[i] else 0.0)
+                    mean[i] = mean[i] + apart * len(x) / total if count[i] else own
+                count[i] = total
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(count), pa.array(mean), pa.array(square)], ["column", "n", "mean", "square"])
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        count = mean = square = 0.0
+        for n, m, s in zip(parts["n"], parts["mean"], parts["square"]):
+            if n:
+                apart, total = m - mean, count + n
+                square += s + (apart * apart * count * n / total if count else 0.0)
+                mean = mean + apart * n / total if count else m
+                count = total
+        return pd.DataFrame({"column": [parts["column"].iloc[0]], "variance": [square / (count - 1) if count > 1 else None]}, dtype=object)
+
+    return df.select(*cells).mapInArrow(run, "column string, n double, mean double, square double").groupBy("column").applyInPandas(
+        merge, "column string, variance double")

@@ -11,7 +11,7 @@ from ..constants import BENIGN, KNOWN_ATTACKS, MAX_CORRELATION
 from ..core import col, count_when, is_missing, numeric_columns, one_row, present
 from ..quantiles import exact_quantiles
 from .clean import duplicate_count, missing_counts
-from .gram import pair_moments
+from .gram import column_variances, pair_moments
 
 
 def table_summary(df: DataFrame, label: str) -> DataFrame:
@@ -48,12 +48,10 @@ def class_distribution(df: DataFrame, label: str, benign: str = BENIGN, attacks:
 
 
 def variances(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, float | None]:
-    """Sample variance by column: one aggregate row reaches the driver, which needs it to choose columns."""
+    """Sample variance by column: one number a column reaches the driver, which needs it to choose columns."""
     names = list(columns or numeric_columns(df))
-    if not names:
-        return {}
-    row = df.agg(*[F.var_samp(present(df, c)).alias(c) for c in names]).first()
-    return {c: row[c] for c in names}
+    found = {r["column"]: r["variance"] for r in column_variances(df, names).collect()} if names else {}
+    return {c: found.get(c) for c in names}
 
 
 def top_by_variance(df: DataFrame, n: int, columns: Sequence[str] | None = None) -> list[str]:

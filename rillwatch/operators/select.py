@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..constants import KEEP_FEATURES, MAX_CORRELATION, MIN_VARIANCE
 from ..core import col, numeric_columns, one_row, present
@@ -42,6 +47,40 @@ def drop_redundant(df: DataFrame, threshold: float = MAX_CORRELATION, columns: S
     return df.drop(*redundant(df, threshold, columns))
 
 
+def _counted(df: DataFrame, label: str, edges: dict[str, list[float]]) -> DataFrame:
+    """(column, bin, label, n) of each task: a bin is the number of edges below the value, 0 where the value is missing."""
+    names = list(edges)
+    limits = [np.sort([e for e in edges[c] if e == e]) for c in names]  # nothing is above NaN
+    kind = df.schema[label].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, np.ndarray] = {}
+        bins = max(map(len, limits), default=0) + 1
+        for batch in batches:
+            coded = batch.column("label").dictionary_encode()
+            classes = [*coded.dictionary.to_pylist(), None]
+            code = pc.fill_null(coded.indices, len(classes) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for k, cuts in enumerate(limits):
+                v = batch.column(f"c{k}")
+                at = np.searchsorted(cuts, v.to_numpy(zero_copy_only=False), side="left")
+                if v.null_count:
+                    at[v.is_null().to_numpy(zero_copy_only=False)] = 0
+                own = np.bincount(code * bins + at, minlength=len(classes) * bins).reshape(-1, bins)
+                for i in np.flatnonzero(own.any(axis=1)):
+                    if classes[i] not in sums:
+                        sums[classes[i]] = np.zeros((len(names), bins), dtype=np.int64)
+                    sums[classes[i]][k] += own[i]
+        for value, own in sums.items():
+            k, b = np.nonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in k], pa.string()), pa.array(b, pa.int32()),
+                                              pa.array([value] * len(k), shape), pa.array(own[k, b], pa.int64())], ["column", "bin", "label", "n"])
+
+    held = df.select(col(label).alias("label"), *[present(df, c).cast("double").alias(f"c{k}") for k, c in enumerate(names)])
+    shape = to_arrow_type(kind)
+    return held.mapInArrow(run, T.StructType([T.StructField("column", T.StringType()), T.StructField("bin", T.IntegerType()),
+                                              T.StructField("label", kind), T.StructField("n", T.LongType())]))
+
+
 def mutual_information(df: DataFrame, label: str, columns: Sequence[str] | None = None, bins: int = 16) -> DataFrame:
     """(column, mi) in nats between each feature, cut into quantile bins, and the label.
 
@@ -53,12 +92,7 @@ def mutual_information(df: DataFrame, label: str, columns: Sequence[str] | None
     edges: dict[str, list[float]] = {c: [] for c in names}
     for r in exact_quantiles(df, names, probs).collect():  # bins - 1 numbers per column
         edges[r["column"]].append(float(r["quantile"]))
-    limits = lambda c: F.array(*[F.lit(x) for x in edges[c]])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), present(df, c).cast("double").alias("value"), limits(c).cast("array<double>").alias("edges"))
-                      for c in names])
-    bins = F.size(F.filter("edges", lambda e: F.coalesce(F.col("value") > e, F.lit(False))))
-    counts = (df.select(col(label).alias("label"), F.inline(cells)).groupBy("column", bins.alias("bin"), "label")
-              .agg(F.count(F.lit(1)).alias("n")))
+    counts = _counted(df, label, edges).groupBy("column", "bin", "label").agg(F.sum("n").alias("n"))
     by = lambda *k: Window.partitionBy(*k)  # at most bins x classes rows per column
     joint = counts.select("column", "n", F.sum("n").over(by("column")).alias("rows"),
                           F.sum("n").over(by("column", "bin")).alias("nb"), F.sum("n").over(by("column", "label")).alias("nl"))

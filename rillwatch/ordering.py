@@ -94,7 +94,7 @@ def add_running_totals(df: DataFrame, order: Sequence[str | Column], totals: dic
 
 
 def add_rolling(df: DataFrame, order: Sequence[str | Column], rows: int, features: dict[str, tuple[str, str]],
-                partition_by: Sequence[str] = (), chunk_rows: int = 1_000_000) -> DataFrame:
+                partition_by: Sequence[str] = (), chunk_rows: int = 100_000) -> DataFrame:
     """Aggregates over the last ``rows`` rows, whole table or per entity.
 
     ``features`` maps the new name to (aggregate, column). The global order is cut into chunks of ``chunk_rows``; the last

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,48 @@ def _pick(counted: DataFrame, keys: list[str], sizes: DataFrame, probs: Column)
     ).otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).alias("quantile"))
 
 
+def _bracketed(df: DataFrame, values: dict[str, Column], probs: Sequence[float], ends: dict[str, list[float] | None]) -> DataFrame:
+    """(column, target, value, n, skipped), added up by task: the values inside the bracket of each rank and how often a batch holds them;
+    and, with value null, how many values a task saw and how many of them lie below the bracket.
+
+    ``ends`` are the lower ends of a column's brackets, then the upper ones. Done on Arrow batches: as Spark expressions, columns x ranks of
+    them make code that is too large to compile.
+    """
+    names, many = list(values), len(probs)
+    kinds = {"column": pa.string(), "target": pa.float64(), "value": pa.float64(), "n": pa.int64(), "skipped": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, below = dict.fromkeys(names, 0), {c: np.zeros(many, dtype=np.int64) for c in names}
+
+        def made(parts: list[tuple]) -> pa.RecordBatch:
+            column = lambda at, kind: pa.array(np.concatenate([p[at] for p in parts]), kind)
+            size = [len(p[2]) for p in parts]
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.repeat([p[0] for p in parts], size).tolist(), pa.string()), pa.array(np.repeat([float(p[1]) for p in parts], size)),
+                column(2, pa.float64()), column(3, pa.int64()), pa.array(np.zeros(sum(size), dtype=np.int64))], list(kinds))
+
+        for batch in batches:
+            parts = []
+            for k, c in enumerate(names):
+                if not ends[c]:
+                    continue
+                v = batch.column(f"c{k}").drop_null().to_numpy(zero_copy_only=False)
+                v = np.sort(v) + 0.0  # one zero
+                rows[c] += len(v)
+                low, high = np.searchsorted(v, ends[c][:many], side="left"), np.searchsorted(v, ends[c][many:], side="right")
+                below[c] += low
+                for p, a, b in zip(probs, low, high):
+                    if a < b:
+                        parts.append((c, p, *np.unique(v[a:b], return_counts=True)))
+            if parts:
+                yield made(parts)
+        cells = [(c, p, None, rows[c], int(b)) for c in names for p, b in zip(probs, below[c])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*cells), kinds.values())], list(kinds))
+
+    held = df.select(*[v.alias(f"c{k}") for k, v in enumerate(values.values())])
+    return held.mapInArrow(run, "column string, target double, value double, n long, skipped long")
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per (by..., column, prob); null keys are a group.
@@ -74,18 +118,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         step = sum(slack >= 2.0 / max(1, seen[c]["n"]) for slack in slacks[1:]) * 2 * len(probs)
         return seen[c]["at"][step:step + 2 * len(probs)] if seen[c]["at"] else None
 
-    digest = {c: ends(c) for c in values}
-    cells, below = [], []
-    for c, v in values.items():
-        for i, p in enumerate(probs):
-            lo, hi = (digest[c][i], digest[c][i + len(probs)]) if digest[c] else (None, None)
-            cells.append(F.struct(F.lit(c).alias("column"), F.lit(p).alias("target"),
-                                  F.when(v.between(lo, hi), v).alias("value")))
-            below.append(F.struct(F.lit(c).alias("column"), F.lit(p).alias("target"), F.count(v).alias("_rows"),
-                                  count_when(v < lo).alias("_skipped")))
-    inside = df.select(F.inline(F.array(*cells))).filter("value is not null")
-    counted = inside.groupBy("column", "target", "value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = df.agg(F.array(*below).alias("cells")).select(F.inline("cells"))
+    found = _bracketed(df, values, probs, {c: ends(c) for c in values})
+    counted = found.filter("value is not null").groupBy("column", "target", "value").agg(F.sum("n").alias("n"))
+    sizes = found.filter("value is null").groupBy("column", "target").agg(F.sum("n").alias("_rows"), F.sum("skipped").alias("_skipped"))
     return _pick(counted, ["column", "target"], sizes, F.array(col("target"))).drop("target")
 
 
