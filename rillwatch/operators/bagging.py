@@ -5,8 +5,8 @@ digest of the row's key, so any task can tell a tree's rows, and those it never
 two ways. Nodes of more than ``local_rows`` drawn rows are split level by level: every task counts (tree, node, feature, bin,
 class) of its rows, the counts are summed in a shuffle, and the best split of each node comes back. The rows of smaller nodes
 go to one task each, which grows the rest below them. Counts are whole numbers and the features of a node are drawn by hash,
-so the trees are the same whichever way a node was split and however the table is partitioned. Rows of the same bins and class
-that a task meets together are held, dealt and walked as one, with their draws added up.
+so the trees are the same whichever way a node was split and however the table is partitioned. Only rows of nodes that may still be split are
+dealt. Rows of the same bins and class that a task meets together are held, dealt and walked as one, with their draws added up.
 """
 
 from __future__ import annotations
@@ -34,12 +34,16 @@ from .select import ranked
 LOCAL_ROWS = 1 << 20
 #: Rows that a task looks through at a time for equal ones.
 _ROWS_AT_A_TIME = 1 << 16
+#: Bytes of learning rows that a task splits or deals at a time.
+_BYTES_AT_A_TIME = 8 << 20
 #: Bins of a feature; a bin fits into a byte.
 BINS = 32
 #: Bytes of trees that are shipped to the tasks at a time; a larger forest scores in several passes.
 MODEL_BYTES = 256 << 20
-#: Cells of histograms that a task holds at a time.
+#: Cells of histograms that are weighed at a time.
 _CELLS = 1 << 21
+#: Cells of histograms that a task adds up in a pass; more of them take more passes, each for its own nodes.
+_HELD_CELLS = 1 << 23
 _DEEPEST = 60  # nodes are numbered as in a heap, in 64 bits
 
 #: Chances of at most 0, 1, 2, ... draws under Poisson(1).
@@ -124,13 +128,16 @@ def best_splits(hist: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
 def _histograms(bins: np.ndarray, classes: np.ndarray, times: np.ndarray, slot: np.ndarray, tried: np.ndarray, o: Options) -> np.ndarray:
     """(node, tried feature, bin, class): drawn rows; ``slot`` is each row's node, ``tried`` the features of each node."""
     nodes, many = tried.shape
-    out = np.zeros(nodes * many * BINS * o.classes)
-    row = np.arange(len(slot)) * bins.shape[1]
-    flat = bins.reshape(-1)
+    out = np.empty((many, nodes * BINS * o.classes))
+    row, flat = np.arange(len(slot)) * bins.shape[1], bins.reshape(-1)
+    base = slot * (BINS * o.classes) + classes
+    times = times.astype(np.float64, copy=False)
     for j in range(many):
-        b = flat[row + tried[slot, j]].astype(np.int64)
-        out += np.bincount(((slot * many + j) * BINS + b) * o.classes + classes, weights=times, minlength=len(out))
-    return out.reshape(nodes, many, BINS, o.classes)
+        cell = (bins[:, tried[0, j]] if nodes == 1 else flat.take(row + tried[:, j].take(slot))).astype(np.int64)
+        cell *= o.classes
+        cell += base
+        out[j] = np.bincount(cell, weights=times, minlength=out.shape[1])
+    return out.reshape(many, nodes, BINS, o.classes).swapaxes(0, 1)
 
 
 def _open(counts: np.ndarray, depth: int, o: Options) -> np.ndarray:
@@ -163,7 +170,7 @@ def _split_level(tree: int, ids: np.ndarray, bins: np.ndarray, classes: np.ndarr
 
 def grow(tree: int, root: int, bins: np.ndarray, classes: np.ndarray, times: np.ndarray, o: Options) -> dict[str, np.ndarray]:
     """The nodes below (and with) ``root``, in heap order: ids, feature (-1 for a leaf), bin, counts by class."""
-    ids, slot = np.array([root], dtype=np.int64), np.zeros(len(classes), dtype=np.int64)
+    ids, slot, times = np.array([root], dtype=np.int64), np.zeros(len(classes), dtype=np.int64), times.astype(np.float64)
     depth, out = root.bit_length() - 1, []
     while len(ids):
         counts = np.bincount(slot * o.classes + classes, weights=times, minlength=len(ids) * o.classes).reshape(len(ids), o.classes).astype(np.int64)
@@ -171,18 +178,20 @@ def grow(tree: int, root: int, bins: np.ndarray, classes: np.ndarray, times: np.
         feature, cut = np.full(len(ids), -1), np.full(len(ids), -1)
         if may.any():
             place = np.cumsum(may) - 1
-            stay = may[slot]
-            bins, classes, times, slot = bins[stay], classes[stay], times[stay], place[slot[stay]]
+            if not may.all():
+                stay = np.flatnonzero(may.take(slot))
+                bins, classes, times, slot = bins.take(stay, axis=0), classes.take(stay), times.take(stay), place.take(slot.take(stay))
             feature[may], cut[may] = _split_level(tree, ids[may], bins, classes, times, slot, o)
         out.append((ids, feature, cut, counts))
         if not (feature >= 0).any():
             break
         f, b, own = feature[may], cut[may], ids[may]
         split = f >= 0
-        stay = split[slot]
-        bins, classes, times, slot = bins[stay], classes[stay], times[stay], slot[stay]
-        right = bins[np.arange(len(slot)), f[slot]] > b[slot]
-        slot = (np.cumsum(split) - 1)[slot] * 2 + right
+        if not split.all():
+            stay = np.flatnonzero(split.take(slot))
+            bins, classes, times, slot = bins.take(stay, axis=0), classes.take(stay), times.take(stay), slot.take(stay)
+        right = bins.reshape(-1).take(np.arange(len(slot)) * bins.shape[1] + f.take(slot)) > b.take(slot)
+        slot = (np.cumsum(split) - 1).take(slot) * 2 + right
         ids = (own[split][:, None] * 2 + np.array([0, 1])).reshape(-1)
         depth += 1
     ids, feature, cut, counts = (np.concatenate(c) for c in zip(*out))
@@ -205,9 +214,22 @@ class Tree:
     def ends(self, bins: np.ndarray) -> np.ndarray:
         """The place of the node where each row ends."""
         at, row, flat = np.zeros(len(bins), dtype=np.int32), np.arange(len(bins)) * bins.shape[1], bins.reshape(-1)
-        for _ in range(self.levels):
-            at = self.child[at] + (flat[row + self.feature[at]] > self.cut[at])
-        return at
+        out, own = at, None  # of rows that go on, ``own`` are the places in ``out``
+        for level in range(self.levels):
+            if level % 3 == 2:
+                on = np.flatnonzero(self.cut.take(at) != 255)
+                if 4 * len(on) < 3 * len(at):
+                    if own is None:
+                        out, own = at, on
+                    else:
+                        out[own] = at
+                        own = own[on]
+                    at, row = at.take(on), row.take(on)
+            at = self.child.take(at) + (flat.take(row + self.feature.take(at)) > self.cut.take(at))
+        if own is None:
+            return at
+        out[own] = at
+        return out
 
 
 def _edges(df: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
@@ -222,16 +244,32 @@ def _value(df: DataFrame, name: str) -> Column:
     return F.coalesce(present(df, name).cast("double"), F.lit(0.0))
 
 
+_PLAIN = {"double", "float", "bigint", "int", "smallint", "tinyint"}
+
+
+def _sent(df: DataFrame, features: Sequence[str]) -> list[Column]:
+    """The features as f0, f1, ... on their way to :func:`_binned`, plain numbers as they are."""
+    types = dict(df.dtypes)
+    return [(col(c) if types[c] in _PLAIN else _value(df, c)).alias(f"f{k}") for k, c in enumerate(features)]
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Like :func:`_value`: missing ones count as 0."""
+    found = column.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    lacking = np.isnan(found)
+    return np.where(lacking, 0.0, found) if lacking.any() else found
+
+
 def _binned(batch: pa.RecordBatch, edges: list[np.ndarray]) -> np.ndarray:
-    columns = [np.searchsorted(e, batch.column(f"f{k}").to_numpy(), side="left").astype(np.uint8) for k, e in enumerate(edges)]
+    columns = [np.searchsorted(e, _numbers(batch.column(f"f{k}")), side="left").astype(np.uint8) for k, e in enumerate(edges)]
     return np.ascontiguousarray(np.stack(columns, axis=1)) if columns else np.empty((batch.num_rows, 0), dtype=np.uint8)
 
 
 def _learning_rows(df: DataFrame, features: Sequence[str], label: str, classes: Sequence[str], key: Sequence[str], o: Options,
                    edges: list[np.ndarray]) -> DataFrame:
-    """Pinned: (lot, step, class, bins): a row as its draws, its class and a byte for each feature."""
+    """(lot, step, class, bins): a row as its draws, its class and a byte for each feature; rows of one kind are one, with the draws of all."""
     code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.trim(col(label).cast("string"))).cast("int") - 1
-    rows = df.select(*[_value(df, c).alias(f"f{k}") for k, c in enumerate(features)], code.alias("class"), *lots(key, o.seed))
+    rows = df.select(*_sent(df, features), code.alias("class"), *lots(key, o.seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _together(batches):
@@ -243,7 +281,20 @@ def _learning_rows(df: DataFrame, features: Sequence[str], label: str, classes:
             yield pa.RecordBatch.from_arrays([_blobs(lot[order].astype("<u4"), at), _blobs(step[order].astype("<u4"), at), pa.array(code[own], pa.int32()),
                                               _blobs(bins[own], np.arange(len(own) + 1))], ["lot", "step", "class", "bins"])
 
-    return pin(rows.mapInArrow(run, "lot binary, step binary, class int, bins binary"))
+    return rows.mapInArrow(run, "lot binary, step binary, class int, bins binary")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Pinned: many learning rows in one, as they are read once a level: their draws, and the rows, class and bins of each kind."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                blob = lambda c: b"".join(batch.column(c).to_pylist())
+                many = pc.binary_length(batch.column("lot")).to_numpy() // 4
+                made = [blob("lot"), blob("step"), many.astype("<u4").tobytes(), batch.column("class").to_numpy().astype("<u2").tobytes(), blob("bins")]
+                yield pa.RecordBatch.from_arrays([pa.array([m], pa.binary()) for m in made], ["lot", "step", "many", "class", "bins"])
+
+    return pin(rows.mapInArrow(run, "lot binary, step binary, many binary, class binary, bins binary"))
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -293,11 +344,22 @@ class Held:
         return np.add.reduceat(times, self.first, dtype=np.int64)
 
 
-def _arrays(batch: pa.RecordBatch, features: int) -> Held:
-    blob = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=kind)
-    many = pc.binary_length(batch.column("lot")).to_numpy().astype(np.int64) // 4
-    return Held(blob("lot", "<u4"), blob("step", "<u4"), np.cumsum(many) - many, batch.column("class").to_numpy().astype(np.int64),
-                blob("bins", np.uint8).reshape(-1, features))
+def _held(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[Held]:
+    """The learning rows of a task, about ``_BYTES_AT_A_TIME`` at a time."""
+    def joined(some: list[pa.RecordBatch]) -> Held:
+        blob = lambda c, kind: np.frombuffer(b"".join(x for b in some for x in b.column(c).to_pylist()), dtype=kind)
+        many = blob("many", "<u4").astype(np.int64)
+        return Held(blob("lot", "<u4"), blob("step", "<u4"), np.cumsum(many) - many, blob("class", "<u2").astype(np.int64), blob("bins", np.uint8).reshape(-1, features))
+
+    some, size = [], 0
+    for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+        some.append(batch)
+        size += batch.nbytes
+        if size >= _BYTES_AT_A_TIME:
+            yield joined(some)
+            some, size = [], 0
+    if some:
+        yield joined(some)
 
 
 def _times(lot: np.ndarray, step: np.ndarray, tree: int, o: Options) -> np.ndarray:
@@ -309,129 +371,140 @@ def _upper(known: pd.DataFrame) -> dict[int, Tree]:
     return {int(t): Tree(*(g[c].to_numpy() for c in ("node", "feature", "bin"))) for t, g in known.groupby("tree")}
 
 
-def _level_counts(rows: DataFrame, known: pd.DataFrame, wanted: set[tuple[int, int]] | None, turn: dict[tuple[int, int], int], o: Options) -> DataFrame:
-    """(tree, node, cell, n) summed over all rows: class counts (cell below 0) and histograms of the wanted nodes.
-
-    With ``wanted`` None only the class counts of all end nodes are made.
-    """
-    held = rows.sparkSession.sparkContext.broadcast((known, wanted, turn))
-
+def _root_counts(rows: DataFrame, o: Options) -> dict[tuple[int, int], np.ndarray]:
+    """The drawn rows of each class, by tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wanted, turn = held.value
-        upper, sums, size = _upper(known), {}, 0
-
-        def ready() -> pa.RecordBatch:
-            parts = [(t, n, np.flatnonzero(h), h) for (t, n), h in sums.items()]
-            column = lambda values, kind: pa.array(np.concatenate(values) if values else np.empty(0), kind)
-            return pa.RecordBatch.from_arrays([
-                column([np.full(len(c), t) for t, _, c, _ in parts], pa.int32()), column([np.full(len(c), n) for _, n, c, _ in parts], pa.int64()),
-                column([c for *_, c, _ in parts], pa.int32()), column([h[c] for *_, c, h in parts], pa.int64())], ["tree", "node", "cell", "n"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _arrays(batch, o.features)
-            classes, bins = rows.classes, rows.bins
+        sums = np.zeros((o.trees, o.classes))
+        for rows in _held(batches, o.features):
             for tree in range(o.trees):
-                if wanted is not None and not any(t == tree for t, _ in wanted):
-                    continue
-                times = rows.times(tree, o)
-                own = np.flatnonzero(times)
-                end = upper[tree].ids[upper[tree].ends(bins[own])]
-                for node in np.unique(end).tolist():
-                    at = own[end == node]
-                    if wanted is None:
-                        found = np.bincount(classes[at], weights=times[at], minlength=o.classes)
-                    elif (tree, node) in wanted:
-                        k = turn[tree, node] * o.tried
-                        tried = feature_order(tree, np.array([node]), o)[:, k:k + o.tried]
-                        found = _histograms(bins[at], classes[at], times[at], np.zeros(len(at), dtype=np.int64), tried, o).reshape(-1)
-                    else:
-                        continue
-                    if (tree, node) not in sums:
-                        size += len(found)
-                    sums[tree, node] = sums.get((tree, node), 0) + found
-                if size > _CELLS:
-                    yield ready()
-                    sums, size = {}, 0
-        if sums:
-            yield ready()
-
-    cells = rows.mapInArrow(run, "tree int, node long, cell int, n long")
-    return cells.groupBy("tree", "node", "cell").agg(F.sum("n").alias("n"))
-
-
-def _choose_splits(counts: DataFrame, o: Options) -> pd.DataFrame:
-    """(tree, node, place, bin) of each counted node: one short row each."""
-    def choose(cells: pd.DataFrame) -> pd.DataFrame:
-        many = int(cells["cell"].max()) // (BINS * o.classes) + 1
-        hist = np.zeros(many * BINS * o.classes)
-        hist[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-        which, b = best_splits(hist.reshape(1, many, BINS, o.classes), o)
-        return pd.DataFrame({"tree": [cells["tree"].iloc[0]], "node": [cells["node"].iloc[0]], "place": which, "bin": b})
+                sums[tree] += np.bincount(rows.classes, weights=rows.times(tree, o), minlength=o.classes)
+        tree, code = np.divmod(np.arange(sums.size), o.classes)
+        yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(code, pa.int32()), pa.array(sums.reshape(-1), pa.int64())], ["tree", "class", "n"])
 
-    return counts.groupBy("tree", "node").applyInPandas(choose, "tree int, node long, place int, bin int").toPandas()
+    held = {(t, 1): np.zeros(o.classes, dtype=np.int64) for t in range(o.trees)}
+    for r in rows.mapInArrow(run, "tree int, class int, n long").groupBy("tree", "class").agg(F.sum("n").alias("n")).collect():  # trees x classes
+        held[r["tree"], 1][r["class"]] = r["n"]
+    return held
 
 
-def _split_large(rows: DataFrame, local_rows: int, o: Options) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """The nodes that were split over the whole table (tree, node, feature, bin; feature -1 at an end), and their class counts.
+def _level_splits(rows: DataFrame, known: pd.DataFrame, turn: dict[tuple[int, int], int], o: Options) -> pd.DataFrame:
+    """(tree, node, place, bin, left, right) of the nodes in ``turn``, one short row each: the best split of the features whose turn it is, and the
+    class counts of its sides. Tasks send histograms, which are summed by node."""
+    shipped = rows.sparkSession.sparkContext.broadcast((known, turn))
 
-    There are at most rows / ``local_rows`` of them on a level of a tree; the rows of the ends fit into a task each, or need no more
-    splitting.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, turn = shipped.value
+        upper, wanted, sums = _upper(known), {}, {}
+        for tree, node in sorted(turn):
+            wanted.setdefault(tree, []).append(node)
+        slots, tries = {}, {}
+        for tree, nodes in wanted.items():
+            slots[tree] = np.full(len(upper[tree].ids), -1)
+            slots[tree][np.searchsorted(upper[tree].ids, nodes)] = np.arange(len(nodes))
+            order, start = feature_order(tree, np.array(nodes), o), np.array([turn[tree, n] for n in nodes]) * o.tried
+            at = np.minimum(start[:, None] + np.arange(o.tried), o.features - 1)  # the last turn may have fewer; repeats lose to the first
+            tries[tree] = np.take_along_axis(order, at, axis=1)
+
+        for held in _held(batches, o.features):
+            for tree, nodes in wanted.items():
+                times = held.times(tree, o)
+                own = np.flatnonzero(times)
+                bins = held.bins.take(own, axis=0)
+                slot = slots[tree].take(upper[tree].ends(bins))
+                on = np.flatnonzero(slot >= 0)
+                if len(on) < len(own):
+                    own, slot, bins = own.take(on), slot.take(on), bins.take(on, axis=0)
+                if len(own):
+                    found = _histograms(bins, held.classes.take(own), times.take(own), slot, tries[tree], o)
+                    sums[tree] = sums[tree] + found if tree in sums else found
+        for tree, found in sums.items():
+            found = found.reshape(len(found), -1)
+            cells = [np.flatnonzero(h) for h in found]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(found), tree), pa.int32()), pa.array(wanted[tree], pa.int64()),
+                pa.array([c.astype("<u4").tobytes() for c in cells], pa.binary()), pa.array([h[c].tobytes() for h, c in zip(found, cells)], pa.binary())],
+                ["tree", "node", "cells", "counts"])
+
+    def choose(parts: pd.DataFrame) -> pd.DataFrame:
+        hist = np.zeros(o.tried * BINS * o.classes)
+        for cells, counts in zip(parts["cells"], parts["counts"]):
+            hist[np.frombuffer(cells, "<u4")] += np.frombuffer(counts)
+        hist = hist.reshape(1, o.tried, BINS, o.classes)
+        which, b = best_splits(hist, o)
+        sides = hist[0, max(which[0], 0)].astype(np.int64)
+        return pd.DataFrame({"tree": [parts["tree"].iloc[0]], "node": [parts["node"].iloc[0]], "place": which, "bin": b,
+                             "left": [sides[:b[0] + 1].sum(axis=0)], "right": [sides[b[0] + 1:].sum(axis=0)]})
+
+    sent = rows.mapInArrow(run, "tree int, node long, cells binary, counts binary")
+    return sent.groupBy("tree", "node").applyInPandas(choose, "tree int, node long, place int, bin int, left array<long>, right array<long>").toPandas()
+
+
+def _split_large(rows: DataFrame, local_rows: int, o: Options) -> tuple[pd.DataFrame, dict[tuple[int, int], np.ndarray]]:
+    """The nodes that were split over the whole table (tree, node, feature, bin; feature -1 at an end, ``open`` where it may be split
+    on), and the class counts of all.
+
+    There are at most rows / ``local_rows`` of them on a level of a tree; the rows of an open end fit into a task.
     """
-    known = pd.DataFrame({"tree": np.arange(o.trees), "node": 1, "feature": -1, "bin": -1})
-    done, held = set(), {}
+    known = pd.DataFrame({"tree": np.arange(o.trees), "node": 1, "feature": -1, "bin": -1, "open": True})
+    held, many = _root_counts(rows, o), max(1, _HELD_CELLS // (o.tried * BINS * o.classes))
+    may = lambda e: bool(_open(held[e][None, :], e[1].bit_length() - 1, o)[0])
+    known["open"] = [may((int(t), 1)) for t in known["tree"]]
     while True:
-        for r in _level_counts(rows, known, None, {}, o).toPandas().itertuples():
-            held.setdefault((r.tree, r.node), np.zeros(o.classes, dtype=np.int64))[r.cell] = r.n
-        ends = [(int(t), int(n)) for t, n, f in zip(known["tree"], known["node"], known["feature"]) if f < 0]
-        large = {e for e in ends if e not in done and e in held and held[e].sum() > local_rows and _open(held[e][None, :], e[1].bit_length() - 1, o)[0]}
+        large = [(int(t), int(n)) for t, n, on in zip(known["tree"], known["node"], known["open"]) if on and held[int(t), int(n)].sum() > local_rows]
         if not large:
-            counts = pd.DataFrame([(t, n, c) for (t, n), c in held.items()], columns=["tree", "node", "counts"])
-            return known, counts
-        turn, todo, found = {e: 0 for e in large}, set(large), []
-        while todo:
-            splits = _choose_splits(_level_counts(rows, known, todo, turn, o), o)
-            for s in splits.itertuples():
-                e = (int(s.tree), int(s.node))
+            return known, held
+        turn, found, done = dict.fromkeys(large, 0), [], set()
+        while turn:
+            splits = {(int(s.tree), int(s.node)): s for at in range(0, len(turn), many)
+                      for s in _level_splits(rows, known, dict(sorted(turn.items())[at:at + many]), o).itertuples()}
+            for e, k in list(turn.items()):
+                s = splits[e]
                 if s.place >= 0:
-                    feature = feature_order(e[0], np.array([e[1]]), o)[0, turn[e] * o.tried + s.place]
-                    found.append((*e, int(feature), int(s.bin)))
-                    todo.discard(e)
+                    feature = feature_order(e[0], np.array([e[1]]), o)[0, k * o.tried + s.place]
+                    found.append((*e, int(feature), int(s.bin), False))
+                    held[e[0], 2 * e[1]], held[e[0], 2 * e[1] + 1] = np.array(s.left), np.array(s.right)
+                    del turn[e]
+                elif (k + 1) * o.tried >= o.features:
+                    done.add(e)
+                    del turn[e]
                 else:
-                    turn[e] += 1
-                    if turn[e] * o.tried >= o.features:
-                        done.add(e)
-                        todo.discard(e)
-        new = pd.DataFrame(found, columns=["tree", "node", "feature", "bin"])
-        below = pd.DataFrame([(t, 2 * n + k, -1, -1) for t, n, _, _ in found for k in (0, 1)], columns=new.columns)
+                    turn[e] = k + 1
+        new = pd.DataFrame(found, columns=known.columns)
+        below = pd.DataFrame([(t, c, -1, -1, may((t, c))) for t, n, *_ in found for c in (2 * n, 2 * n + 1)], columns=known.columns)
         split = set(zip(new["tree"], new["node"]))
-        rest = known[[(t, n) not in split for t, n in zip(known["tree"], known["node"])]]
-        known = pd.concat([rest, new, below], ignore_index=True)
+        rest = known[[(t, n) not in split for t, n in zip(known["tree"], known["node"])]].copy()
+        rest["open"] = [on and (t, n) not in done for t, n, on in zip(rest["tree"], rest["node"], rest["open"])]
+        known = pd.concat([f for f in (rest, new, below) if len(f)], ignore_index=True)
 
 
 def _grow_small(rows: DataFrame, known: pd.DataFrame, o: Options) -> DataFrame:
-    """One row per end of the upper parts: the nodes below and with it, as arrays."""
-    held = rows.sparkSession.sparkContext.broadcast(known)
+    """One row per open end of the upper parts: the nodes below and with it, as arrays. Rows of other ends stay where they are."""
+    shipped = rows.sparkSession.sparkContext.broadcast(known)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        upper = _upper(held.value)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _arrays(batch, o.features)
-            classes, bins = rows.classes, rows.bins
+        known = shipped.value
+        upper = _upper(known)
+        on = {int(t): np.isin(upper[int(t)].ids, g["node"].to_numpy()[g["open"].to_numpy(dtype=bool)]) for t, g in known.groupby("tree")}
+        for rows in _held(batches, o.features):
             for tree in range(o.trees):
+                if not on[tree].any():
+                    continue
                 times = rows.times(tree, o)
                 own = np.flatnonzero(times)
-                end = upper[tree].ends(bins[own])
-                nodes = np.unique(end)
-                parts = [own] if len(nodes) == 1 else [own[end == e] for e in nodes]
-                blob = lambda values, kind: [values[p].astype(kind).tobytes() for p in parts]
+                if len(upper[tree].ids) > 1:
+                    end = upper[tree].ends(rows.bins.take(own, axis=0))
+                    stay = np.flatnonzero(on[tree][end])
+                    order = stay[np.argsort(end[stay].astype(np.uint16) if len(upper[tree].ids) < 65536 else end[stay], kind="stable")]
+                    own, end = own[order], end[order]
+                else:
+                    end = np.zeros(len(own), dtype=np.int32)
+                if not len(own):
+                    continue
+                start = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
+                at = np.append(start, len(own))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(parts), tree), pa.int32()), pa.array(upper[tree].ids[nodes][:len(parts)], pa.int64()),
-                    pa.array(blob(bins, np.uint8), pa.binary()), pa.array(blob(classes, "<u2"), pa.binary()), pa.array(blob(times, "<u4"), pa.binary())],
-                    ["tree", "node", "bins", "classes", "times"]) if len(own) else _no_parts()
+                    pa.array(np.full(len(start), tree), pa.int32()), pa.array(upper[tree].ids[end[start]], pa.int64()), _blobs(rows.bins.take(own, axis=0), at),
+                    _blobs(rows.classes.take(own).astype("<u2"), at), _blobs(times.take(own).astype("<u4"), at)], ["tree", "node", "bins", "classes", "times"])
 
     def finish(part: pd.DataFrame) -> pd.DataFrame:
         tree, node = int(part["tree"].iloc[0]), int(part["node"].iloc[0])
@@ -444,11 +517,6 @@ def _grow_small(rows: DataFrame, known: pd.DataFrame, o: Options) -> DataFrame:
     return parts.groupBy("tree", "node").applyInPandas(finish, _TREES)
 
 
-def _no_parts() -> pa.RecordBatch:
-    kinds = [("tree", pa.int32()), ("node", pa.int64()), ("bins", pa.binary()), ("classes", pa.binary()), ("times", pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array([], k) for _, k in kinds], [n for n, _ in kinds])
-
-
 @dataclass(frozen=True)
 class BaggedForest:
     """A grown forest. ``trees`` is a pinned table of parts of trees; the rest is small."""
@@ -476,8 +544,10 @@ class BaggedForest:
     def _walkers(self, group: list[int]) -> list[tuple[int, Tree]]:
         """The trees of a group, each with the class shares of its nodes."""
         by_tree: dict[int, list] = {}
-        for r in self.trees.filter(col("tree").isin(group)).toLocalIterator():  # at most MODEL_BYTES
-            by_tree.setdefault(r["tree"], []).append([np.array(r[c]) for c in ("ids", "feature", "bin", "counts")])
+        for part in self.trees.filter(col("tree").isin(group)).toArrow().to_batches():  # at most MODEL_BYTES
+            lists = [part.column(c) for c in ("ids", "feature", "bin", "counts")]
+            for i, tree in enumerate(part.column("tree").to_pylist()):
+                by_tree.setdefault(tree, []).append([c[i].values.to_numpy() for c in lists])
         walkers = []
         for tree, parts in sorted(by_tree.items()):
             ids, feature, cut, counts = (np.concatenate(c) for c in zip(*parts))
@@ -490,7 +560,10 @@ class BaggedForest:
         require(df, self.features)
         edges, o, context, unseen = self.edges, self.options, df.sparkSession.sparkContext, bool(lots_of)
         start = [F.array(*[F.lit(0.0)] * len(self.classes)).alias("_votes"), F.lit(0).alias("_voters")]
-        held = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), *[_value(df, c).alias(f"f{k}") for k, c in enumerate(self.features)], *lots_of, *start)
+        types, place = dict(df.dtypes), {c: k for k, c in enumerate(self.features)}
+        once = {c: col(f"f{place[c]}") for c in df.columns if c in place and types[c] in _PLAIN}  # these go to the tasks and back as features alone
+        rest = F.struct(*[col(c) for c in df.columns if c not in once], F.lit(0).alias("_more"))
+        held = df.select(rest.alias("_row"), *_sent(df, self.features), *lots_of, *start)
         shape = held.schema
         passes = self._in_passes()
         for k, group in enumerate(passes):
@@ -504,16 +577,14 @@ class BaggedForest:
                     if unseen:
                         lot, step = (batch.column(c).to_numpy().astype(np.uint32) for c in ("_lot", "_step"))
                     own, kind = _distinct(bins)  # rows of the same bins walk once
-                    bins = bins[own]
+                    alike = 2 * len(own) < n
+                    if alike:
+                        bins = bins[own]
                     for tree, walker in shipped.value:
-                        shares = walker.counts[walker.ends(bins)]
-                        if unseen:
-                            out = np.flatnonzero(_times(lot, step, tree, o) == 0)
-                            votes[out] += shares[kind[out]]
-                            voters[out] += 1
-                        else:
-                            votes += shares[kind]
-                            voters += 1
+                        out = np.flatnonzero(_times(lot, step, tree, o) == 0) if unseen else slice(None)
+                        end = walker.ends(bins)[kind[out]] if alike else walker.ends(bins.take(out, axis=0) if unseen else bins)
+                        votes[out] += walker.counts.take(end, axis=0)
+                        voters[out] += 1
                     kept = [batch.column(c) for c in batch.schema.names[:-2]]
                     listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * votes.shape[1], pa.int32()), pa.array(votes.reshape(-1)))
                     yield pa.RecordBatch.from_arrays([*kept, listed, pa.array(voters, pa.int32())], batch.schema.names)
@@ -521,7 +592,7 @@ class BaggedForest:
             held = held.mapInArrow(run, shape)
             if k < len(passes) - 1:
                 held = pin(held)  # the next trees are shipped when these are done with
-        return held.select("_row.*", "_votes", "_voters")
+        return held.select(*[(once[c] if c in once else col("_row").getField(c)).alias(c) for c in df.columns], "_votes", "_voters")
 
     def shares_column(self, df: DataFrame, flag: Column) -> Column | None:
         """The class shares (array, in the order of ``classes``) of the rows where ``flag`` is true, null elsewhere; a plain column, so
@@ -636,18 +707,17 @@ def train(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str]
     o = Options(len(classes), tuple(float(given.get(c, 1.0)) for c in classes), len(features), _tried(max_features, len(features)), trees,
                 min(depth, _DEEPEST), max(2, min_split), max(1, min_leaf), bootstrap, criterion, seed)
     edges = _edges(df, features)
-    rows = _learning_rows(df, features, label, classes, key, o, edges)
-    kinds, n = rows.agg(F.count(F.lit(1)), F.sum(F.length("lot") / 4).cast("long")).first()
+    rows = _packed(_learning_rows(df, features, label, classes, key, o, edges))
+    kinds, n = rows.agg(F.sum(F.length("class") / 2).cast("long"), F.sum(F.length("lot") / 4).cast("long")).first()
     if kinds > local_rows:
         known, counts = _split_large(rows, local_rows, o)
     else:
-        known, counts = pd.DataFrame({"tree": np.arange(trees), "node": 1, "feature": -1, "bin": -1}), None
+        known, counts = pd.DataFrame({"tree": np.arange(trees), "node": 1, "feature": -1, "bin": -1, "open": True}), {}
     grown = _grow_small(rows, known, o)
-    upper = known[known["feature"] >= 0]
+    upper = known[~known["open"].astype(bool)]
     if len(upper):
-        held = {(t, n): c for t, n, c in counts.itertuples(index=False)}
         parts = [(int(t), 1, [int(x) for x in g["node"]], [int(x) for x in g["feature"]], [int(x) for x in g["bin"]],
-                  [int(x) for e in g["node"] for x in held[t, e]]) for t, g in upper.groupby("tree")]
+                  [int(x) for e in g["node"] for x in counts[int(t), int(e)]]) for t, g in upper.groupby("tree")]
         grown = grown.unionByName(df.sparkSession.createDataFrame(parts, _TREES))
     forest = BaggedForest(pin(grown), list(features), classes, edges, o, {
         "n_samples": n, "n_features": len(features), "n_classes": len(classes), "class_names": classes, "n_estimators": trees, "max_depth": depth, "oob_score": None})

@@ -190,3 +190,38 @@ def test_vectors_are_classified_without_a_model_on_the_driver(spark, tmp_path, m
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     found = entry.queries()[name](spark, str(tmp_path)).first()
     assert set(found) == {200}
+
+
+def test_rows_of_closed_ends_are_not_dealt(flows, monkeypatch):
+    """Trees whose nodes over the whole table are all done need no rows moved; each level is counted in one pass."""
+    dealt, passes = [], []
+    grow, level = bagging._grow_small, bagging._level_splits
+    monkeypatch.setattr(bagging, "_grow_small", lambda rows, known, o: dealt.append(known) or grow(rows, known, o))
+    monkeypatch.setattr(bagging, "_level_splits", lambda *a: passes.append(1) or level(*a))
+    short = dict(trees=4, depth=3, max_features=None, oob_score=False)
+    split = bagging.train(flows.repartition(3), FEATURES, "label", ["id"], local_rows=1, **short)
+    assert not dealt[0]["open"].astype(bool).any() and len(passes) <= 3 and split.trees.count() == 4
+    assert nodes_of(split) == nodes_of(bagging.train(flows, FEATURES, "label", ["id"], **short))
+    monkeypatch.setattr(bagging, "_HELD_CELLS", 4 * 32 * 3 * 3)  # three nodes a pass
+    assert nodes_of(bagging.train(flows, FEATURES, "label", ["id"], local_rows=1, **short)) == nodes_of(split) and len(passes) > 6
+
+
+def test_rows_go_on_past_short_branches():
+    """A deep chain with leaves on every level: walked level by level, rows that have ended stay where they ended."""
+    ids = np.array([1] + [i for d in range(1, 14) for i in (2 ** d * 1 + (2 ** d - 2), 2 ** (d + 1) - 1)])
+    inner = np.array([i == 2 ** int(i).bit_length() - 1 and i < 2 ** 13 for i in ids])
+    tree = bagging.Tree(ids, np.where(inner, 0, -1), np.where(inner, [int(i).bit_length() - 1 for i in ids], -1))
+    ends = tree.ids[tree.ends(np.arange(32, dtype=np.uint8).reshape(-1, 1))]
+    assert ends.tolist() == [2 ** (k + 2) - 2 if k < 13 else 2 ** 14 - 1 for k in range(32)]
+
+
+def test_features_are_sent_once_and_plain(flows):
+    """Plain numbers reach the tasks as they are; missing ones, of any type, count as 0 there."""
+    odd = flows.select("id", "label", *FEATURES).withColumns({"x": F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 1, F.col("x")),
+                                                             "z": F.when(F.col("id") % 5 > 0, F.col("z").cast("int"))})
+    filled = odd.withColumns({"x": F.coalesce(F.nanvl("x", F.lit(0.0)), F.lit(0.0)), "z": F.coalesce("z", F.lit(0)).cast("decimal(9,2)")})
+    a, b = (bagging.train(f, FEATURES, "label", ["id"], trees=5, depth=6) for f in (odd, filled))
+    assert nodes_of(a) == nodes_of(b) and a.stats == b.stats
+    found = a.predict(odd)
+    assert found.columns[:6] == odd.columns and found.select(*odd.columns).exceptAll(odd).count() == 0
+    assert [t for _, t in found.dtypes[:6]] == [t for _, t in odd.dtypes]
