@@ -225,3 +225,35 @@ def test_features_are_sent_once_and_plain(flows):
     found = a.predict(odd)
     assert found.columns[:6] == odd.columns and found.select(*odd.columns).exceptAll(odd).count() == 0
     assert [t for _, t in found.dtypes[:6]] == [t for _, t in odd.dtypes]
+
+
+def test_kinds_of_wide_rows_are_told_apart_when_hashes_meet(monkeypatch):
+    """Rows are compared by a hash of their bytes, and byte by byte where two kinds share one."""
+    rows = np.random.default_rng(5).integers(0, 3, (500, 19)).astype(np.uint8)
+    rows[250:] = rows[:250]
+    rows[:, 4:18] = 1
+    for mixed in (bagging._mixed, lambda x: x * np.uint64(0)):
+        monkeypatch.setattr(bagging, "_mixed", mixed)
+        own, kind = bagging._distinct(rows)
+        assert (rows[own][kind] == rows).all() and len(own) == len(np.unique(rows, axis=0)) < 250
+
+
+def test_edges_without_approximate_percentiles(spark, monkeypatch):
+    """Tasks send digests: the edges are exact for few values, near for many, and right where numbers are missing."""
+    monkeypatch.setattr(bagging.F, "percentile_approx", None)
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, 60_000)
+    df = spark.createDataFrame([(float(v), None if i % 3 == 0 else i % 7) for i, v in enumerate(x)], "a double, b int").withColumn(
+        "c", F.lit(float("nan"))).repartition(5)
+    shares = np.arange(1, 32) / 32
+    exact = np.sort(x)[np.ceil(shares * len(x)).astype(int) - 1]
+    filled = np.sort([0 if i % 3 == 0 else i % 7 for i in range(60_000)])
+    few = np.unique(filled[np.ceil(shares * 60_000).astype(int) - 1])
+    for digest, rows, sent in ((bagging._DIGEST, bagging._DIGESTED_ROWS, 1 << 20), (5_000, 4_096, 5_000)):
+        monkeypatch.setattr(bagging, "_DIGEST", digest)
+        monkeypatch.setattr(bagging, "_DIGESTED_ROWS", rows)
+        monkeypatch.setattr(bagging, "_SENT", sent)
+        a, b, c = bagging._edges(df, ["a", "b", "c"])
+        assert b.tolist() == few[few < filled[-1]].tolist() and c.tolist() == []
+        ranks = np.searchsorted(np.sort(x), a) - np.searchsorted(np.sort(x), exact)
+        assert len(a) == 31 and abs(ranks).max() <= (0 if sent > 60_000 else 60)
